@@ -13,8 +13,8 @@ r AS (
   SELECT doc_id, source IS NULL AS src_null, coalesce(source, '') AS src, size,
          ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard, ('0x' || substr(h, 9, 15))::BIGINT AS pos
   FROM d, k),
-s AS (SELECT src_null, src, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY src_null, src) AS n FROM r GROUP BY ALL),
-w AS (SELECT *, ((n - 1) % 3 + 1)::DOUBLE AS weight FROM s),
+s AS (SELECT src_null, src, sum(size)::BIGINT AS source_size FROM r GROUP BY ALL),
+w AS (SELECT *, ((row_number() OVER (ORDER BY src_null, src) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
 lv AS (
   SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER p, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS lev
   FROM w WINDOW p AS (ORDER BY 3 * source_size / weight, src_null, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, packing, tokenfiles, urls
+from . import html, mixing, packing, quality, tokenfiles, toxicity, urls
 from .common import new_path, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -28,6 +28,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc.doc_id", "held_out", "score", "predicted")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc.doc_id", "held_out", "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of one word, so that the quotas meet the targets to the word."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"], block_tokens=1)
@@ -44,7 +54,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_packing, op5_mixing, op6_url_filters, op7_token_files)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_quality, op4_toxicity, op5_mixing, op6_url_filters, op7_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
