@@ -1,0 +1,29 @@
+"""Connected components of a link table, by label propagation with shortcuts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (the smallest node reachable) of every node in links(a, b); ids are longs.
+
+    A round takes the least label over a node's links, then lets every node jump
+    to the label of its label; the number of rounds is logarithmic in practice.
+    Each round is written to the shared folder.  Hot nodes cost one partial
+    aggregate a task.
+    """
+    e = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct()
+    e = staged(e.union(e.select("b", "a")), "links")
+    labels = staged(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    while True:
+        near = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        moved = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), "component")
+        up = moved.select(F.col("node").alias("next"), F.col("next").alias("jump"))
+        new = staged(moved.join(up, "next", "left").select("node", F.least(F.col("next"), F.coalesce("jump", "next")).alias("component"), (F.col("component") != F.least(F.col("next"), F.coalesce("jump", "next"))).alias("changed")), "labels")
+        labels = new.select("node", "component")
+        if not new.filter("changed").limit(1).count():
+            return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, packing, quality, tokenfiles, toxicity, urls
+from . import html, mixing, neardup_vectors, packing, quality, tokenfiles, topk, toxicity, urls
 from .common import new_path, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -53,8 +53,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+def op9_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_quality, op4_toxicity, op5_mixing, op6_url_filters, op7_token_files)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_quality, op4_toxicity, op5_mixing, op6_url_filters, op7_token_files, op8_topk_search, op9_vector_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
