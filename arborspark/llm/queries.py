@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, neardup_vectors, packing, quality, tokenfiles, topk, toxicity, urls
+from . import html, mixing, neardup_text, neardup_vectors, packing, quality, tokenfiles, topk, toxicity, urls
 from .common import new_path, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -61,8 +61,12 @@ def op9_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_text_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_text.classify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_quality, op4_toxicity, op5_mixing, op6_url_filters, op7_token_files, op8_topk_search, op9_vector_neardup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_quality, op4_toxicity, op5_mixing, op6_url_filters, op7_token_files, op8_topk_search, op9_vector_neardup, op10_text_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
