@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bounded_batches, staged
 from .components import components
@@ -162,7 +163,7 @@ def sketch_documents(docs: DataFrame, length: int, count: int, short: int, short
 def with_key(docs: DataFrame, name: str = "_key") -> DataFrame:
     """docs (text last) with the content key of the text added."""
     bounded_batches(docs.sparkSession)
-    schema = docs.schema.add(name, "long")
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
