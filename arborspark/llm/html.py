@@ -190,8 +190,11 @@ def classify(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
             label = None
         labels.append(label)
         leaning.append(heading or stops >= 0.1 or len(text) >= 140)
-    if not any(labels):
-        return [leaning[i] and label is None for i, label in enumerate(labels)]
+    if not any(labels):  # nothing is certain: what leans to main text decides, else all that is open stays
+        lean = any(le and label is None for le, label in zip(leaning, labels, strict=True))
+        labels = [True if label is None and (le or not lean) else label for le, label in zip(leaning, labels, strict=True)]
+        if not any(labels):
+            return [False] * len(labels)
     decided = [i for i, label in enumerate(labels) if label is not None]
     out, j = [], 0
     for i, label in enumerate(labels):

@@ -93,7 +93,7 @@ class Codebook:
         residual = u - self.coarse[list_]
         out = np.zeros((len(u), len(codes)))
         for i, (s, c) in enumerate(zip(self.parts, self.codes, strict=True)):
-            q = residual[:, s]
+            q, c = residual[:, s], c.astype(np.float64)
             table = (q * q).sum(axis=1)[:, None] - 2 * (q @ c.T) + (c * c).sum(axis=1)
             out += table[:, codes[:, i]]
         return np.sqrt(np.maximum(out, 0))
