@@ -13,12 +13,13 @@ with its occurrence number so that repeats stay apart.
 3. A candidate pair is verified by aligning its labelled k-mers: matches off the
    diagonal by more than the threshold allows are cut, and the longest chain in
    order counts.  aligned / (a + b - aligned) >= threshold makes a link.
-4. Links make components; then texts that share two sketches but stand in
-   different components are verified too, so that a text unlike the popular one
-   keeps its links to others.  Rounds repeat until none is left untested.
+4. Links make components; then texts that share a sketch but stand in different
+   components are verified too, so that a text unlike the popular one keeps its
+   links to others: small buckets as pairs, large ones in cells of two blocks,
+   inside a task, returning only links that join components.
 
-No step holds a bucket or a class in one task: buckets are aggregated, stars are
-salted, and joins run on written tables that Spark can split.
+No step holds a bucket or a class in one task: buckets are aggregated or cut,
+stars are salted, and joins run on written tables that Spark can split.
 
 Defined cases: texts without words (null, empty, white space) are alone in their
 class; texts of fewer than five words are near-duplicates only if equal; repeated
@@ -214,7 +215,71 @@ def verify(pairs: DataFrame, kmers: DataFrame, threshold: float, star: int = 256
     return met.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4, count: int = 18, short: int = 25, short_count: int = 8) -> tuple[DataFrame, DataFrame]:
+def cell_links(component: np.ndarray, turn: np.ndarray, texts: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (positions) that join the components of a cell: each at or over the threshold, between its two blocks.
+
+    Overlaps of all texts come from one incidence matrix, a few thousand k-mers
+    at a time; only pairs whose overlap could reach the threshold are aligned.
+    """
+    n = np.array([len(t) for t in texts])
+    words, inverse, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(texts)), n)
+    common = count > 1
+    name = np.cumsum(common) - 1
+    keep = common[inverse]
+    order = np.argsort(name[inverse[keep]], kind="stable")
+    column, owner = name[inverse[keep]][order], owner[keep][order]
+    overlap = np.zeros((len(texts), len(texts)), np.float32)
+    width = 4096
+    for at in range(0, int(common.sum()), width):
+        i, j = np.searchsorted(column, [at, at + width])
+        part = np.zeros((len(texts), width), np.float32)
+        part[owner[i:j], column[i:j] - at] = 1
+        overlap += part @ part.T
+    both = n[:, None] + n[None, :]
+    apart = component[:, None] != component[None, :]
+    if turn.any() and not turn.all():
+        apart &= turn[:, None] != turn[None, :]
+    found: list[tuple[int, int]] = []
+    parent = {c: c for c in component.tolist()}
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    for i, j in zip(*np.nonzero(np.triu(apart & (overlap >= threshold * both / (1 + threshold) - 1e-3), 1)), strict=True):
+        a, b = top(int(component[i])), top(int(component[j]))
+        if a != b and similarity(texts[i], texts[j], threshold) >= threshold:
+            parent[a] = b
+            found.append((i, j))
+    return found
+
+
+def verify_cells(members: DataFrame, kmers: DataFrame, threshold: float, block: int = 128) -> DataFrame:
+    """Links (a, b) that join components within the buckets of members(band, size, key, component).
+
+    A bucket is cut into blocks and every pair of its blocks is one cell, so a
+    bucket with a large part of all texts is many tasks; no pairs are written
+    but the links found.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int")
+    rows = members.select("band", "key", "component", blocks.alias("blocks"), own.alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("turn"), "key", "component").join(kmers, "key")
+
+    def meet(table: pa.Table) -> pa.Table:
+        texts = [np.frombuffer(k.as_buffer(), "<u4") for k in table.column("kmers")]
+        turn = np.array(table.column("turn").to_pylist(), bool)
+        keys = table.column("key").to_pylist()
+        links = cell_links(table.column("component").to_numpy(), turn, texts, threshold)
+        return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.int64()), "b": pa.array([keys[j] for _, j in links], pa.int64())})
+
+    return rows.groupBy("band", "x", "y").applyInArrow(meet, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4, count: int = 18, short: int = 25, short_count: int = 8, small: int = 8) -> tuple[DataFrame, DataFrame]:
     """(documents, keys): doc_id, key of every row, and key, class_id, lead of every distinct text with words."""
     rows = staged(sketch_documents(docs, length, count, short, short_count), "sketches")
     texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -234,16 +299,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4,
     links = staged(verify(pairs.select("a", "b"), kmers, threshold), "verified")
     found = components(links)
 
-    # Texts that share two sketches across components: only these pairs are still open.
-    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("component"))
+    # What a star left apart: small buckets as pairs, a bounded number a text; large ones in cells.
+    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "size", "key", "n", F.coalesce("component", "key").alias("component"))
     placed = staged(placed, "placed")
     split = staged(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band"), "split")
     left = staged(placed.join(split, "band"), "open")
-    right = left.select("band", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    across = left.join(right, "band").filter((F.col("component") < F.col("component_b")) & fits(F.col("n"), F.col("n_b")))
-    across = across.groupBy(F.least("key", "key_b").alias("lo"), F.greatest("key", "key_b").alias("hi")).agg(F.count("*").alias("shared")).filter("shared > 1")
+    few = left.filter(F.col("size") <= small)
+    right = few.select("band", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    across = few.join(right, "band").filter((F.col("component") < F.col("component_b")) & fits(F.col("n"), F.col("n_b")))
+    across = across.select(F.least("key", "key_b").alias("lo"), F.greatest("key", "key_b").alias("hi")).distinct()
     rest = staged(across.join(pairs.select("lo", "hi"), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b")), "rest")
-    links = links.unionByName(verify(rest, kmers, threshold))
+    links = links.unionByName(verify(rest, kmers, threshold)).unionByName(verify_cells(left.filter(F.col("size") > small), kmers, threshold))
     found = components(links).withColumnRenamed("node", "key")
 
     joined = staged(texts.select("key", "lead").join(found, "key", "left").select("key", "lead", F.coalesce("component", "key").alias("component")), "joined")
