@@ -13,7 +13,7 @@ from ..operators import scoring as S
 from ..operators import shape as H
 from ..operators import spatial as X
 from ..streaming.results import running_means
-from . import reports, views
+from . import detectors, reports, views
 from .views import uniform
 
 XYZ = ("x", "y", "z")
@@ -303,6 +303,27 @@ def axis_limits(s, d):
     return rounded(reports.axis_limits(views.results(s, d)))
 
 
+def las_round_trip(s, d):
+    """Points written as LAS files and read back, in whole millimetres from each scene's corner."""
+    from ..scratch import new_path
+    from ..sources import las
+
+    las.register(s)
+    path = new_path(s, "las")
+    views.points(s, d).repartition("scene_id").write.format("las").mode("append").save(path)
+    back = s.read.format("las").load(path).filter(F.col("cls").isin(2, 3, 4, 5))
+    return back.groupBy("scene_id", "cls").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("z") * 10 + 0.2337).cast("long")).alias("z_dm"))
+
+
+def detected_trees(s, d):
+    """Trees of the watershed detector in every scene."""
+    return rounded(detectors.chm_watershed(views.points(s, d), RES))
+
+
+def adaptive_fusion_trees(s, d):
+    return rounded(detectors.adaptive_fusion(views.points(s, d), RES))
+
+
 def stream_running_mean(s, d):
     return rounded(running_means(s, d))
 
@@ -313,5 +334,6 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     tall_mask, disc_mask, minmax_normalise, percentile_stretch, eps_neighbours, knn_k8, sor_filter, nearest_peak, descent_step, connected_components,
     dbscan_slice, dbscan_link, cluster_stats, vertical_clusters, weighted_centre, radius_percentiles, radial_profile, shape_cone_ball, shape_mean_ratio,
     shape_correlation, suppress_duplicates, suppress_conflicts, tree_similarity, optimal_assignment, unmatched_ref, scene_scores, paired_scores,
-    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, stream_running_mean,
+    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, stream_running_mean, las_round_trip,
+    detected_trees, adaptive_fusion_trees,
 )
