@@ -231,6 +231,9 @@ SELECT scene_id, label, CASE WHEN n < 10 THEN 'spherical' WHEN coalesce(co, 0) >
         + f") SELECT metric, parser, complexity, {r('avg(part)')} AS score FROM u GROUP BY 1, 2, 3",
         "chart_nearest_x": f"WITH {RESULTS}, l AS (SELECT parser, {_COMPLEXITY} AS level, avg(score) AS score FROM res GROUP BY 1, 2) SELECT parser, {r('arg_min(level, (round(abs(level - 0.43), 6), level))')} AS level, {r('arg_min(score, (round(abs(level - 0.43), 6), level))')} AS score FROM l GROUP BY 1",
         "axis_limits": f"WITH {RESULTS} SELECT parser, {r('min(score) - 0.05 * (max(score) - min(score))')} AS low, {r('max(score) + 0.05 * (max(score) - min(score))')} AS high FROM res GROUP BY 1",
+        "run_labels": f"""WITH {RESULTS} SELECT run_id, regexp_replace(printf('%.4f', score), '\\.?0+$', '') AS score_label,
+  regexp_replace(parser || '/' || printf('N%.2f_D%.2f_O%.2f_M%.2f_G%.2f', {', '.join(_FACTORS)}), '[^A-Za-z0-9 _-]', '_', 'g') AS file,
+  printf('%02d:%02d:%02d', (floor(score * 37)::BIGINT // 3600) % 24, (floor(score * 37)::BIGINT // 60) % 60, floor(score * 37)::BIGINT % 60) AS clock FROM res""",
         "las_round_trip": f"WITH {POINTS} SELECT scene_id, cls, count(*) AS n, sum(floor(z * 10 + 0.2337::DOUBLE)::BIGINT)::BIGINT AS z_dm FROM p GROUP BY 1, 2",
         "stream_running_mean": f"SELECT event_type AS parser, count(*) AS runs, {r('avg(value)')} AS score FROM events GROUP BY 1",
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..operators import points as P
 from ..operators import raster as R
 from ..operators import scoring as S
@@ -324,6 +325,12 @@ def adaptive_fusion_trees(s, d):
     return rounded(detectors.adaptive_fusion(views.points(s, d), RES))
 
 
+def run_labels(s, d):
+    """Readable labels of every run."""
+    name = F.concat(F.col("parser"), F.lit("/"), reports.scene_key())
+    return views.results(s, d).select("run_id", labels.number_label(F.col("score")).alias("score_label"), labels.file_name(name).alias("file"), labels.clock(F.col("score") * 37).alias("clock"))
+
+
 def stream_running_mean(s, d):
     return rounded(running_means(s, d))
 
@@ -334,6 +341,6 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     tall_mask, disc_mask, minmax_normalise, percentile_stretch, eps_neighbours, knn_k8, sor_filter, nearest_peak, descent_step, connected_components,
     dbscan_slice, dbscan_link, cluster_stats, vertical_clusters, weighted_centre, radius_percentiles, radial_profile, shape_cone_ball, shape_mean_ratio,
     shape_correlation, suppress_duplicates, suppress_conflicts, tree_similarity, optimal_assignment, unmatched_ref, scene_scores, paired_scores,
-    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, stream_running_mean, las_round_trip,
+    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, las_round_trip,
     detected_trees, adaptive_fusion_trees,
 )

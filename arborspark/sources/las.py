@@ -10,6 +10,7 @@ millimetres.  Paths are URIs that pyarrow's file systems open.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ HEADER = np.dtype(
     ]
 )
 #: Point data record format 3.
-RECORD = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("scene", "<u2"), ("time", "<f8"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2")])
+RECORD = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("point_source", "<u2"), ("time", "<f8"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2")])
 
 
 def header_of(file) -> np.void:
@@ -72,7 +73,9 @@ class LasReader(DataSourceReader):
         for i, f in enumerate(sorted((f for f in found if f.path.lower().endswith((".las", ".laz"))), key=lambda f: f.path)):
             with store.open_input_file(f.path) as file:
                 n = int(header_of(file)["points"])
-            parts += [Records(f.path, at, min(self.step, n - at), i) for at in range(0, n, self.step)]
+            named = re.match(r"scene-(\d+)-", f.base_name)
+            scene = int(named[1]) if named else i
+            parts += [Records(f.path, at, min(self.step, n - at), scene) for at in range(0, n, self.step)]
         return parts or [Records("", 0, 0, 0)]
 
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:
@@ -82,17 +85,17 @@ class LasReader(DataSourceReader):
         with store.open_input_file(part.path) as file:
             head = header_of(file)
             length = int(head["record_length"])
-            names = ["x", "y", "z", "cls", "scene"]
+            names = ["x", "y", "z", "cls"]
             layout = np.dtype({"names": names, "formats": [RECORD[n].str for n in names], "offsets": [RECORD.fields[n][1] for n in names], "itemsize": length})
             for at in range(part.first, part.first + part.count, 1 << 18):
                 n = min(1 << 18, part.first + part.count - at)
                 file.seek(int(head["offset_to_points"]) + at * length)
                 r = np.frombuffer(file.read(n * length), layout)
-                v = {c: r[c] * head["scale"][i] + head["offset"][i] for i, c in enumerate("xyz")} | {"cls": (r["cls"] & 31).astype(np.int32), "scene": r["scene"].astype(np.int32)}
+                v = {c: r[c] * head["scale"][i] + head["offset"][i] for i, c in enumerate("xyz")} | {"cls": (r["cls"] & 31).astype(np.int32)}
                 keep = np.ones(n, bool)
                 for f in self.filters:
                     keep &= self._holds(f, v[f.attribute[0]])
-                out = {"scene_id": v["scene"], "pid": np.arange(at, at + n), **{c: v[c] for c in "xyz"}, "cls": v["cls"]}
+                out = {"scene_id": np.full(n, part.scene, np.int32), "pid": np.arange(at, at + n), **{c: v[c] for c in "xyz"}, "cls": v["cls"]}
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out.values()], names=list(out))
 
     @staticmethod
@@ -118,7 +121,7 @@ class Written(WriterCommitMessage):
 
 
 class LasWriter(DataSourceArrowWriter):
-    """Every task writes its scenes to names of its own; files of failed attempts are removed on abort."""
+    """A file's scene is in its name.  Every task writes its scenes to names of its own; files of failed attempts are removed on abort."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -140,7 +143,7 @@ class LasWriter(DataSourceArrowWriter):
             for i, c in enumerate("xyz"):
                 records[c] = np.rint((xyz[:, i] - low[i]) / 0.001)
                 head[f"min_{c}"], head[f"max_{c}"] = low[i], high[i]
-            records["cls"], records["scene"] = t.column("cls").to_numpy(), scene & 0xFFFF
+            records["cls"] = t.column("cls").to_numpy()
             head["signature"], head["major"], head["minor"], head["format"] = b"LASF", 1, 2, 3
             head["header_size"] = head["offset_to_points"] = HEADER.itemsize
             head["record_length"], head["points"], head["scale"], head["offset"] = RECORD.itemsize, len(xyz), 0.001, low

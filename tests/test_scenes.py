@@ -44,3 +44,14 @@ def test_detectors_find_trees(spark, forest, name):
     assert trees.count() >= 1 and trees.select("tree_id").distinct().count() == trees.count()
     score = S.scores(plan, trees, S.matches(plan, trees)).first().score_total
     assert 0 <= score <= 100
+
+
+def test_benchmark_run_and_reports(spark):
+    from arborspark.plans import benchmark, reports
+
+    tasks = reports.sweep(spark, 1.0).filter("gap_factor = 0 AND overlap_factor = 0 AND mixing_factor = 0 AND dropout_rate = 0")
+    results = written(benchmark.run(benchmark.parameters(tasks, 16.0, 16.0), ["chm_watershed"], step=0.5, density=1.0), "results")
+    assert results.count() == 2 and {r.scene_key for r in results.collect()} == {"N0.00_D0.00_O0.00_M0.00_G0.00", "N1.00_D0.00_O0.00_M0.00_G0.00"}
+    assert all(0 <= r.score_total <= 100 for r in results.collect())
+    made = benchmark.tables(results)
+    assert made["quality"].filter("param = 'noise_level'").count() == 2 and made["components"].count() == 8
