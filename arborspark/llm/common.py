@@ -2,49 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of characters that are not ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-@functools.cache
-def _local_scratch() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="arborspark-")
+from ..scratch import new_path, shared_dir
+from ..scratch import written as staged
+from ..session import table
 
+__all__ = ["WORD", "bounded_batches", "held_out", "new_path", "shared_dir", "staged", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session, whose driver is its one executor, may do without.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return _local_scratch()
-    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arborspark/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a maximal run of characters that are not ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def bounded_batches(spark: SparkSession, mb: int = 16) -> None:

@@ -34,7 +34,7 @@ from .encoding import encoder
 _HEAD = np.dtype([("magic", "S4"), ("width", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("least", "<i8"), ("nulls", "<u8"), ("span", "<u8")])
 _EVERY = 256
 
-MANIFEST = "path string, docs long, ids long, first_id long, part long"
+MANIFEST = "part long, place long, path string, docs long, ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -91,12 +91,49 @@ class EliasFano:
         return ((ones - i).astype("<u8") << np.uint64(self.low)) | self._low(i)
 
 
-def write_files(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "bytes", end_id: int = 2) -> DataFrame:
+class _File:
+    """One file in the making: ids go to a side file, boundaries and doc_ids stay in memory until the end."""
+
+    def __init__(self, store: fs.FileSystem, path: str):
+        self.store, self.path, self.total, self.nulls = store, path, 0, 0
+        self.out = store.open_output_stream(f"{path}.ids")
+        self.ends: list[np.ndarray] = []
+        self.names: list[np.ndarray] = []
+
+    def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
+        for ids in encoded:
+            self.out.write(ids)
+        self.ends.append(self.total + np.cumsum([len(ids) // 4 for ids in encoded]))
+        self.total = int(self.ends[-1][-1])
+        self.nulls += doc_ids.null_count
+        self.names.append(doc_ids.drop_null().to_numpy())
+
+    def finish(self, part: int, place: int, end_id: int, vocabulary: int) -> pa.RecordBatch:
+        self.out.close()
+        doc_ids, bounds = np.concatenate(self.names).astype("<i8"), np.concatenate(self.ends)
+        least = int(doc_ids[0]) if len(doc_ids) else 0
+        span = int(doc_ids[-1]) - least if len(doc_ids) else 0
+        width = 2 if max(vocabulary, end_id + 1) <= 65536 else 4
+        head = np.zeros(1, _HEAD)
+        head[0] = (b"AEF1", width, len(bounds), self.total, least, self.nulls, span)
+        with self.store.open_output_stream(self.path) as file, self.store.open_input_stream(f"{self.path}.ids") as ids:
+            file.write(head.tobytes())
+            while some := ids.read(4 << 20):
+                file.write(np.frombuffer(some, "<u4").astype(f"<u{width}").tobytes())
+            file.write(ef_encode(bounds, self.total))
+            file.write(ef_encode((doc_ids - least).view("<u8"), span))
+        self.store.delete_file(f"{self.path}.ids")
+        row = {"part": [part], "place": [place], "path": [self.path], "docs": [len(bounds)], "ids": [self.total]}
+        return pa.RecordBatch.from_pydict(row)
+
+
+def write_files(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "bytes", end_id: int = 2, file_ids: int = 1 << 26) -> DataFrame:
     """Write docs(doc_id, text) as token-id files under folder (any URI that pyarrow opens); returns the manifest, one row per file.
 
     Rows are dealt by ranges of doc_id, so files follow each other in ascending
     doc_id.  A task writes to a name of its own and the manifest lists only the
-    files of tasks that ended well, so a task that runs twice does no harm.
+    files of tasks that ended well, so a task that runs twice does no harm.  A
+    task begins a new file after file_ids ids, so its memory does not grow.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -106,42 +143,20 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "b
 
         enc, part = encoder(vocabulary, kind), TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
-        path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.aef"
-        head = np.zeros(1, _HEAD)
-        ends: list[np.ndarray] = []
-        names: list[np.ndarray] = []
-        out, nulls, total = None, 0, 0
         end = np.array([end_id], "<u4").tobytes()
+        file, place = None, 0
         for batch in batches:
-            if out is None:
+            if not batch.num_rows:
+                continue
+            if file is None:
                 store.create_dir(base, recursive=True)
-                out = store.open_output_stream(f"{path}.ids")
-            sizes = np.empty(batch.num_rows, "<i8")
-            for i, text in enumerate(batch.column(1)):
-                ids = enc.one(text.as_py() or "") + end
-                out.write(ids)
-                sizes[i] = len(ids) // 4
-            ends.append(total + np.cumsum(sizes))
-            total = int(ends[-1][-1]) if len(sizes) else total
-            nulls += batch.column(0).null_count
-            names.append(batch.column(0).drop_null().to_numpy())
-        if out is None or not sum(map(len, ends)):
-            return
-        out.close()
-        doc_ids, bounds = np.concatenate(names).astype("<i8"), np.concatenate(ends)
-        least = int(doc_ids[0]) if len(doc_ids) else 0
-        span = int(doc_ids[-1]) - least if len(doc_ids) else 0
-        width = 2 if enc.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
-        head[0] = (b"AEF1", width, len(bounds), total, least, nulls, span)
-        with store.open_output_stream(path) as file, store.open_input_stream(f"{path}.ids") as ids:
-            file.write(head.tobytes())
-            while part_ids := ids.read(4 << 20):
-                file.write(np.frombuffer(part_ids, "<u4").astype(f"<u{width}").tobytes())
-            file.write(ef_encode(bounds, total))
-            file.write(ef_encode((doc_ids - least).view("<u8"), span))
-        store.delete_file(f"{path}.ids")
-        first = least if len(doc_ids) else None
-        yield pa.RecordBatch.from_pylist([{"path": path, "docs": len(bounds), "ids": total, "first_id": first, "part": part}], schema=pa.schema([("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first_id", pa.int64()), ("part", pa.int64())]))
+                file = _File(store, f"{base}/part-{part:06d}-{uuid.uuid4().hex}.aef")
+            file.add(batch.column(0), [enc.one(text.as_py() or "") + end for text in batch.column(1)])
+            if file.total >= file_ids:
+                yield file.finish(part, place, end_id, enc.tokenizer.get_vocab_size())
+                file, place = None, place + 1
+        if file is not None:
+            yield file.finish(part, place, end_id, enc.tokenizer.get_vocab_size())
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
@@ -191,10 +206,10 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.mapInArrow(run, ROWS)
 
 
-def encode_and_read(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "bytes", end_id: int = 2) -> DataFrame:
+def encode_and_read(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "bytes", end_id: int = 2, file_ids: int = 1 << 26) -> DataFrame:
     """Write the files and read all documents back.  The driver sees one manifest row per file."""
     spark = docs.sparkSession
-    files = sorted(write_files(docs, vocabulary, folder, kind=kind, end_id=end_id).collect(), key=lambda r: r.part)
+    files = sorted(write_files(docs, vocabulary, folder, kind=kind, end_id=end_id, file_ids=file_ids).collect(), key=lambda r: (r.part, r.place))
     base, placed = 0, []
     for f in files:
         placed.append((f.path, base))

@@ -76,7 +76,11 @@ def test_packing_cases(spark, docs, none):
 
 def test_token_file_cases(spark, docs, none):
     path = queries.vocabulary("byte_bpe_50k.json")
-    got = tokenfiles.encode_and_read(docs, path, new_path(spark, "test")).orderBy("start").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # so that tasks begin new files
+    try:
+        got = tokenfiles.encode_and_read(docs, path, new_path(spark, "test"), file_ids=4).orderBy("start").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     start = 0
     for g, w in zip(got, want, strict=True):
