@@ -47,7 +47,7 @@ class Encoder:
     pieces holds the parts of chunks, at most as many.
     """
 
-    def __init__(self, path: str, kind: str, memo: int = 300_000):
+    def __init__(self, path: str, kind: str, memo: int = 200_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
