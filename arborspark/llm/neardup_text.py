@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.spatial import components
 from .common import bounded_batches, staged
-from .components import components
 
 K = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4,
     pairs = staged(stars.select(F.least("key", "centre").alias("lo"), F.greatest("key", "centre").alias("hi"), F.col("key").alias("a"), F.col("centre").alias("b")).dropDuplicates(["lo", "hi"]), "pairs")
     kmers = staged(kmers_of(docs, texts.join(popular.select("key"), "key", "left_semi").select("key", "lead")), "kmers")
     links = staged(verify(pairs.select("a", "b"), kmers, threshold), "verified")
-    found = components(links)
+    found = components(links, keys=())
 
     # What a star left apart: small buckets as pairs, a bounded number a text; large ones in cells.
     placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "size", "key", "n", F.coalesce("component", "key").alias("component"))
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4,
     across = across.select(F.least("key", "key_b").alias("lo"), F.greatest("key", "key_b").alias("hi")).distinct()
     rest = staged(across.join(pairs.select("lo", "hi"), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b")), "rest")
     links = links.unionByName(verify(rest, kmers, threshold)).unionByName(verify_cells(left.filter(F.col("size") > small), kmers, threshold))
-    found = components(links).withColumnRenamed("node", "key")
+    found = components(links, keys=()).withColumnRenamed("node", "key")
 
     joined = staged(texts.select("key", "lead").join(found, "key", "left").select("key", "lead", F.coalesce("component", "key").alias("component")), "joined")
     classes = staged(joined.groupBy("component").agg(F.min("lead").alias("class_id")), "classes")

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spatial import components
 from .common import staged
-from .components import components
 from .vectors import usable
 
 CODED = "rep long, copies long, dim int, list int, codes binary, error double, probes array<int>, v array<double>"
@@ -206,7 +206,7 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 16
 
     linked = staged(side.unionByName(asks).groupBy("dim", "list", "block", "turn").applyInArrow(meet, LINKED), "vector-links")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")), keys=()).withColumnRenamed("node", "rep")
     found = reps.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")
     found = staged(found.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
     out = names.join(found, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
