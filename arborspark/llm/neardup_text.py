@@ -256,7 +256,7 @@ def cell_links(component: np.ndarray, turn: np.ndarray, texts: list[np.ndarray],
     return found
 
 
-def verify_cells(members: DataFrame, kmers: DataFrame, threshold: float, block: int = 128) -> DataFrame:
+def verify_cells(members: DataFrame, kmers: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     """Links (a, b) that join components within the buckets of members(band, size, key, component).
 
     A bucket is cut into blocks and every pair of its blocks is one cell, so a
