@@ -54,7 +54,7 @@ class Lexicon:
 
     def __post_init__(self):
         self.trie = {}
-        self.heads, self.tails = set(), set()
+        self.halves: dict[int, tuple[int, set, set, set]] = {}  # by length of terms: heads, tails, and both without the middle
         for w in self.words:
             if len(w) < 5:
                 continue
@@ -63,11 +63,21 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = w
             half = len(w) // 2
-            self.heads.add(w[: half - 1])
-            self.tails.add(w[half + 1 :])
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+            _, heads, tails, rims = self.halves.setdefault(len(w), (half, set(), set(), set()))
+            heads.add(w[:half])
+            tails.add(w[half:])
+            rims.add((w[: half - 1], w[half + 1 :]))
         self.stem_sizes = sorted({len(s) for s in self.stems})
-        self.longest = max(map(len, self.words), default=0) + 1
+
+    def _maybe_near(self, w: str) -> bool:
+        """One edit leaves a term's first or second half as it was, or exchanges the letters where they meet."""
+        n = len(w)
+        for size in (n - 1, n, n + 1):
+            if size in self.halves:
+                half, heads, tails, rims = self.halves[size]
+                if w[:half] in heads or w[n - size + half :] in tails or (size == n and (w[: half - 1], w[half + 1 :]) in rims):
+                    return True
+        return False
 
     def near(self, word: str) -> str | None:
         """The term within one edit of word: the automaton's states are (trie node, letters read, edits left)."""
@@ -96,12 +106,11 @@ class Lexicon:
         w = chunk.lower().strip(_EDGE)
         if w in self.words:
             return "word"
-        if any(w[:k] in self.stems for k in self.stem_sizes):
-            return "stem"
-        if 4 <= len(w) <= self.longest and w not in self.exceptions:
-            if any(w[:k] in self.heads for k in self.head_sizes) or any(w[len(w) - k :] in self.tails for k in self.tail_sizes):
-                if self.near(w):
-                    return "near"
+        for k in self.stem_sizes:
+            if w[:k] in self.stems:
+                return "stem"
+        if len(w) >= 4 and self._maybe_near(w) and w not in self.exceptions and self.near(w):
+            return "near"
         return ""
 
 
@@ -181,7 +190,7 @@ def learn_lexicon(rows: DataFrame, *, terms: int = 2000, shortest: int = 3, marg
     return Lexicon(lexicon.words, lexicon.stems, frozenset(r.word for r in known.limit(100_000).collect()))
 
 
-def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 300_000) -> DataFrame:
+def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 250_000) -> DataFrame:
     """docs(carried columns..., text last) with FEATURES in place of the text."""
     bounded_batches(docs.sparkSession)
     carried = docs.columns[:-1]
@@ -190,12 +199,12 @@ def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 300_000) -
         schema = schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, str] = {}
+        memo: dict[str, str] = {}  # of a task, so that workers give the memory back
         for batch in batches:
             rows = []
             for text in batch.column(len(carried)):
                 if len(memo) > memo_size:
-                    memo = {}
+                    memo.clear()
                 rows.append(evidence(text.as_py() or "", lexicon, memo))
             columns = [pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*carried, *FEATURES])

@@ -185,6 +185,7 @@ def test_automaton_equals_edit_distance(word):
 
     near = min(distance(word, w) for w in ("idiot", "worthless")) <= 1
     assert (LEXICON.near(word) is not None) == near
+    assert LEXICON._maybe_near(word) or not near or len(word) < 4
 
 
 def test_quotation_is_told_from_abuse():
