@@ -280,7 +280,10 @@ def verify_cells(members: DataFrame, kmers: DataFrame, threshold: float, block:
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4, count: int = 18, short: int = 25, short_count: int = 8, small: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(documents, keys): doc_id, key of every row, and key, class_id, lead of every distinct text with words."""
+    """(documents, keys): doc_id, key of every row, and key, lead, class_id, component of every distinct text with words.
+
+    component is a content key and names one class only; class_id may name several, if ids are null or repeated.
+    """
     rows = staged(sketch_documents(docs, length, count, short, short_count), "sketches")
     texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     texts = staged(texts, "texts")
@@ -314,7 +317,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4,
 
     joined = staged(texts.select("key", "lead").join(found, "key", "left").select("key", "lead", F.coalesce("component", "key").alias("component")), "joined")
     classes = staged(joined.groupBy("component").agg(F.min("lead").alias("class_id")), "classes")
-    return rows.select("doc_id", "key"), staged(joined.join(classes, "component").select("key", "lead", "class_id"), "text-classes")
+    return rows.select("doc_id", "key"), staged(joined.join(classes, "component").select("key", "lead", "class_id", "component"), "text-classes")
 
 
 def classify(docs: DataFrame, **parameters) -> DataFrame:

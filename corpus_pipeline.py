@@ -25,12 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one of least doc_id, once if its row is repeated."""
+    """One document of each near-duplicate class: of least doc_id (nulls last), then least content key; once if its row is repeated.
+
+    Classes are told apart by their component, so texts that are unlike stay apart though their ids are null or equal.
+    """
     _, keys = neardup_text.near_duplicates(docs)
-    leads = keys.filter(F.col("lead").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("_lead_key"))
+    least = F.min(F.struct(F.col("lead").isNull(), F.col("lead").alias("id"), "key")).alias("least")
+    leads = keys.groupBy("component").agg(least).select(F.col("least.id").alias("_lead_id"), F.col("least.key").alias("_lead_key"))
     keyed = neardup_text.with_key(docs.select("doc_id", "lang", "source", "n_chars", "text"))
     alone = keyed.filter("_key IS NULL")
-    same = (keyed["_key"] == leads["_lead_key"]) & keyed["doc_id"].eqNullSafe(leads["class_id"])
+    same = (keyed["_key"] == leads["_lead_key"]) & keyed["doc_id"].eqNullSafe(leads["_lead_id"])
     first = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
     kept = keyed.join(leads, same, "left_semi").withColumn("_first", first).filter("_first = 1")
     return alone.select(*COLUMNS).unionByName(kept.select(*COLUMNS))

@@ -268,3 +268,13 @@ def test_near_duplicate_stage_cases(spark, docs):
     rows = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"))
     got = Counter(r.doc_id for r in p.drop_near_duplicates(spark, rows, "").collect())
     assert got == Counter([1, 2, 3, 4, 5, None, 7, 9])
+
+
+def test_near_duplicate_stage_tells_classes_apart_without_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(60)) for name in "abcd")
+    rows = [(None, a), (None, a), (None, a + " end"), (None, b), (6, c), (6, d), (6, d), (7, d + " end"), (None, d), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text[:1]) for r in p.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(None, "a"), (None, "b"), (6, "c"), (6, "d"), (None, " ")])
