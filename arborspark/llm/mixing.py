@@ -7,9 +7,17 @@ quotients v / (2k + 1).  Within a shard the documents stand in a seeded order
 and the seats select a seeded circular run of blocks, after as many whole
 passes as the quota holds.
 
+Whole documents are written, and a run cuts at most two documents of its shard.
+A cut document is written with the probability of its part in the run, by one
+systematic draw over all cut documents of a source from long to short: every
+prefix of them counts as many written documents as the sum of its parts, within
+one, so the words written and taken of a source differ by less than its longest
+cut document.
+
 Only DataFrame functions are used.  A window never holds more than one shard
 of one source (about `rows_per_shard` rows of the table), so a source with a
-third of all rows is dealt over as many tasks as its size asks for.
+third of all rows is dealt over as many tasks as its size asks for; only the cut
+documents of a source, two a shard at most, meet in one window, without texts.
 
 Defined cases: a null text has size 0 and is never taken; null sources form
 one source, sorted last; repeated rows are separate documents; an empty table
@@ -89,11 +97,13 @@ def mix(
     seed: str = "mix-1",
     rows_per_shard: int = 250,
     most_shards: int = 20_000,
+    whole: bool = True,
 ) -> DataFrame:
     """One row per document: doc (the carried columns), size, source_size, target, taken, copies.
 
     taken counts words; copies is the whole documents that the mix writes (a
-    document cut by the edge of the run counts if half of it is taken).
+    document cut by the edge of the run counts as the source's draw falls); it is
+    left out, with the work it takes, unless `whole`.
     """
     shards = max(1, min(most_shards, -(-docs.count() // rows_per_shard)))
     h = F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -115,16 +125,17 @@ def mix(
     quotas = sainte_lague(sizes.join(sources, ["src_null", "src"]), ["src_null", "src"], ["shard"], "shard_size", "source_quota")
 
     blocks = F.ceil(F.col("shard_size") / block_tokens).cast("long")
-    passes = F.least(F.lit(cap), F.floor(F.col("quota") / F.col("blocks"))).cast("long")
+    passes = F.least(F.lit(cap), F.floor(F.col("words") / F.col("shard_size"))).cast("long")
     start = F.pmod(_hex(F.concat(F.lit(seed + "|run|"), F.col("src"), F.lit("|"), F.col("shard").cast("string")), 1, 15), F.col("blocks"))
     runs = (
         quotas.filter("shard_size > 0")
         .withColumn("blocks", blocks)
+        .withColumn("words", F.col("quota") * block_tokens)  # the last block of a shard may be short, so passes count words
         .withColumn("passes", passes)
-        .withColumn("rest", F.when(F.col("passes") == cap, F.lit(0)).otherwise(F.col("quota") - F.col("passes") * F.col("blocks")))
+        .withColumn("rest", F.when(F.col("passes") == cap, F.lit(0)).otherwise(F.col("words") - F.col("passes") * F.col("shard_size")))
         .withColumn("from", start * block_tokens)
-        .withColumn("to", (start + F.col("rest")) * block_tokens)
-        .withColumn("wrap", F.greatest(F.lit(0), start + F.col("rest") - F.col("blocks")) * block_tokens)
+        .withColumn("to", F.col("from") + F.col("rest"))
+        .withColumn("wrap", F.greatest(F.lit(0), F.col("to") - F.col("shard_size")))
         .select(*key, "passes", "from", "to", "wrap")
     )
     running = Window.partitionBy(*key).orderBy("_at", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
@@ -134,16 +145,21 @@ def mix(
         return F.greatest(F.lit(0), F.least(F.col("end"), b) - F.greatest(F.col("begin"), a))
 
     part = F.coalesce(overlap(F.col("from"), F.col("to")) + overlap(F.lit(0), F.col("wrap")), F.lit(0))
-    return (
-        placed.join(runs, key, "left")
-        .join(sources.drop("source_quota"), ["src_null", "src"])
-        .withColumn("_part", part)
-        .select(
-            "doc",
-            "size",
-            "source_size",
-            "target",
-            (F.coalesce(F.col("passes"), F.lit(0)) * F.col("size") + F.col("_part")).cast("long").alias("taken"),
-            (F.coalesce(F.col("passes"), F.lit(0)) + ((F.col("size") > 0) & (2 * F.col("_part") >= F.col("size")) & (F.col("_part") > 0)).cast("long")).alias("copies"),
-        )
-    )
+    passes = F.coalesce(F.col("passes"), F.lit(0))
+    placed = placed.join(runs, key, "left").withColumn("_part", part)
+    taken = (passes * F.col("size") + F.col("_part")).cast("long").alias("taken")
+    out = ["doc", "size", "source_size", "target", taken]
+    sources = sources.drop("source_quota")
+    if not whole:
+        return placed.join(sources, ["src_null", "src"]).select(*out)
+
+    # Words before a document are its own within a shard, so they name it.
+    cut = placed.filter((F.col("_part") > 0) & (F.col("_part") < F.col("size"))).select(*key, "begin", "size", "_part")
+    longest = Window.partitionBy("src_null", "src").orderBy(F.desc("size"), "shard", "begin")
+    reach = lambda last: F.coalesce(F.sum(F.col("_part") / F.col("size")).over(longest.rowsBetween(Window.unboundedPreceding, last)), F.lit(0.0))
+    draw = _hex(F.concat(F.lit(seed + "|cut|"), F.col("src_null").cast("string"), F.lit("|"), F.col("src")), 1, 8) / F.lit(2.0**32)
+    cut = cut.withColumn("_until", F.floor(reach(0) + draw)).withColumn("_before", F.floor(reach(-1) + draw)).filter("_until > _before")
+    drawn = cut.groupBy(*key).agg(F.collect_list("begin").alias("drawn"))
+    inside = (F.col("size") > 0) & (F.col("_part") == F.col("size"))
+    once = inside | ((F.col("_part") > 0) & F.coalesce(F.array_contains("drawn", F.col("begin")), F.lit(False)))
+    return placed.join(drawn, key, "left").join(sources, ["src_null", "src"]).select(*out, (passes + once.cast("long")).alias("copies"))

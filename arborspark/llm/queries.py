@@ -40,7 +40,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of one word, so that the quotas meet the targets to the word."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"], block_tokens=1)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"], block_tokens=1, whole=False)
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 

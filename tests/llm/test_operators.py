@@ -278,3 +278,28 @@ def test_near_duplicate_stage_tells_classes_apart_without_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text[:1]) for r in p.drop_near_duplicates(spark, docs, "").collect())
     assert got == Counter([(None, "a"), (None, "b"), (6, "c"), (6, "d"), (None, " ")])
+
+
+def test_mixing_writes_the_words_it_takes(spark):
+    """Each source with one document of 200 times the length, and sources of about one document a shard."""
+    import corpus_pipeline as p
+
+    few = [(i, "w " * (12_000 if i % 100 == 7 else 60), "en", f"s{i % 3}", 1) for i in range(3000)]
+    many = [(i, "w " * (40 + i * 37 % 400), "en", f"s{i % 400:03}", 1) for i in range(1200)]
+    for rows in (few, many):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        mixed = mixing.mix(docs, p.COLUMNS).collect()
+        taken, written, target, longest = Counter(), Counter(), {}, Counter()
+        weight = {s: i % 3 for i, s in enumerate(sorted({r[3] for r in rows}))}
+        for r in mixed:
+            s = r.doc.source
+            taken[s] += r.taken
+            written[s] += r.copies * r.size
+            target[s] = r.target
+            longest[s] = max(longest[s], r.size)
+        assert all(abs(written[s] - taken[s]) < longest[s] for s in target)
+        for w in range(3):
+            of = lambda c: sum(v for s, v in c.items() if weight[s] == w)  # noqa: B023, E731
+            assert abs(of(written) - of(target)) <= 0.05 * of(target)
+        again = p.mix_sources(spark, docs.repartition(3), "")
+        assert again.count() == sum(r.copies for r in mixed)
