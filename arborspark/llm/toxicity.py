@@ -3,9 +3,11 @@
 1. Lexicon: words, and stems shared by several words, whose presence in labelled
    documents speaks for toxicity beyond chance.  Their counts are Spark
    aggregates; only the selected terms (at most `terms`) reach the driver.
-2. Matching: a trie holds the terms.  A Levenshtein automaton (one edit, or two
-   neighbouring letters exchanged) runs over the trie for every new word, so
+2. Matching: tries hold the words and the stems.  A Levenshtein
+   automaton (one edit, or two neighbouring letters exchanged) runs over them for
+   every new word and accepts at a word's end, or at a stem's end as a prefix, so
    misspelled terms are found; words known from clean documents are exceptions.
+   Of four letters, only exchanged, replaced or inserted inner letters count.
 3. Context: each hit is weighed by the window around it.  Hits inside quotation
    marks or after a reporting verb count as quotation, hits near a second-person
    word as directed abuse.
@@ -53,22 +55,29 @@ class Lexicon:
     trie: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
-        self.trie = {}
+        self.trie, self.stem_trie, self.short_trie = {}, {}, {}
         self.halves: dict[int, tuple[int, set, set, set]] = {}  # by length of terms: heads, tails, and both without the middle
-        for w in self.words:
-            if len(w) < 5:
-                continue
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-            half = len(w) // 2
-            _, heads, tails, rims = self.halves.setdefault(len(w), (half, set(), set(), set()))
-            heads.add(w[:half])
-            tails.add(w[half:])
-            rims.add((w[: half - 1], w[half + 1 :]))
+        self.stem_halves: dict[int, tuple[int, set, set, set]] = {}
+        for terms, trie, halves in ((self.words, self.trie, self.halves), (self.stems, self.stem_trie, self.stem_halves)):
+            for w in terms:
+                if len(w) < 5:
+                    if len(w) == 4:
+                        self._insert(self.short_trie, w)
+                    continue
+                self._insert(trie, w)
+                half = len(w) // 2
+                _, heads, tails, rims = halves.setdefault(len(w), (half, set(), set(), set()))
+                heads.add(w[:half])
+                tails.add(w[half:])
+                rims.add((w[: half - 1], w[half + 1 :]))
         self.stem_sizes = sorted({len(s) for s in self.stems})
 
+    @staticmethod
+    def _insert(trie: dict, word: str) -> None:
+        for c in word:
+            trie = trie.setdefault(c, {})
+        trie[""] = word
+
     def _maybe_near(self, w: str) -> bool:
         """One edit leaves a term's first or second half as it was, or exchanges the letters where they meet."""
         n = len(w)
@@ -79,13 +88,20 @@ class Lexicon:
                     return True
         return False
 
-    def near(self, word: str) -> str | None:
-        """The term within one edit of word: the automaton's states are (trie node, letters read, edits left)."""
-        states = [(self.trie, 0, 1)]
+    def _maybe_near_stem(self, w: str) -> bool:
+        """The same for the prefixes of w."""
+        for size, (half, heads, tails, rims) in self.stem_halves.items():
+            if w[:half] in heads or any(w[half + d : size + d] in tails for d in (-1, 0, 1)) or (w[: half - 1], w[half + 1 : size]) in rims:
+                return True
+        return False
+
+    def near(self, word: str, trie: dict | None = None, prefix: bool = False) -> str | None:
+        """The term within one edit of word (or of a prefix of it): the automaton's states are (trie node, letters read, edits left)."""
+        states = [(self.trie if trie is None else trie, 0, 1)]
         n = len(word)
         while states:
             node, i, left = states.pop()
-            if n - i <= left and "" in node:
+            if (prefix or n - i <= left) and "" in node:
                 return node[""]
             if i < n and word[i] in node:
                 states.append((node[word[i]], i + 1, left))
@@ -101,15 +117,24 @@ class Lexicon:
                                 states.append((child[word[i]], i + 2, 0))
         return None
 
+    def _near_short(self, w: str) -> bool:
+        """Within one edit of a term of four letters whose outer letters stand; what begins or ends otherwise is mostly another word."""
+        if len(w) not in (4, 5):
+            return False
+        term = self.near(w, self.short_trie)
+        return term is not None and (len(w) == 4 or (w[0] == term[0] and w[-1] == term[-1]))
+
     def hit(self, chunk: str) -> str:
-        """'' or how a chunk of text matches: word, stem or near."""
+        """'' or how a word, or a chunk of text as a whole, matches: word, stem or near."""
         w = chunk.lower().strip(_EDGE)
         if w in self.words:
             return "word"
         for k in self.stem_sizes:
             if w[:k] in self.stems:
                 return "stem"
-        if len(w) >= 4 and self._maybe_near(w) and w not in self.exceptions and self.near(w):
+        if len(w) < 4 or w in self.exceptions:
+            return ""
+        if (self._maybe_near(w) and self.near(w)) or (self._maybe_near_stem(w) and self.near(w, self.stem_trie, prefix=True)) or self._near_short(w):
             return "near"
         return ""
 
@@ -177,7 +202,7 @@ def learn_lexicon(rows: DataFrame, *, terms: int = 2000, shortest: int = 3, marg
         if not any(r.term[:k] in stems_ for k in range(4, len(r.term))):
             stems_.add(r.term)
     for r in rows:
-        if not r.is_stem and not any(r.term[:k] in stems_ for k in range(4, len(r.term) + 1)):
+        if not r.is_stem:
             words_.add(r.term)
     lexicon = Lexicon(frozenset(words_), frozenset(stems_))
 

@@ -195,6 +195,14 @@ def test_quotation_is_told_from_abuse():
     assert toxicity.evidence("", LEXICON, {}) == (0.0, 0.0, 0.0, 0.0)
 
 
+COVERED = toxicity.Lexicon(frozenset({"idiots", "idiotic", "scum"}), frozenset({"idiot"}), frozenset({"idiom", "swum"}))
+
+
+@pytest.mark.parametrize(("chunk", "kind"), [("idoitic", "near"), ("idoitxyz", "near"), ("xdiotxyz", "near"), ("idi*ts", "near"), ("idiotxyz", "stem"), ("scmu", "near"), ("scvm", "near"), ("scxum", "near"), ("swum", ""), ("scums", ""), ("idiom", ""), ("audios", "")])
+def test_stems_and_short_terms_meet_the_automaton(chunk, kind):
+    assert COVERED.hit(chunk) == kind
+
+
 STOPS = "the story of a town that was by the river and it had been there for all of the years that anyone in it could have known of "
 
 
