@@ -3,7 +3,9 @@
 1. Lexicon: words, and stems shared by several words, whose presence in labelled
    documents speaks for toxicity beyond chance.  Their counts are Spark
    aggregates; only the selected terms (at most `terms`) reach the driver.
-2. Matching: tries hold the words and the stems.  A Levenshtein
+2. Matching: texts are cut at white space, and these chunks into words of letters
+   and digits as the lexicon's are; a chunk is looked up whole (stripped of marks)
+   if none of its words hits.  Tries hold the words and the stems.  A Levenshtein
    automaton (one edit, or two neighbouring letters exchanged) runs over them for
    every new word and accepts at a word's end, or at a stem's end as a prefix, so
    misspelled terms are found; words known from clean documents are exceptions.
@@ -36,6 +38,8 @@ from .common import bounded_batches, held_out, staged
 from .quality import sampled_labels
 
 _EDGE = " \t\n\r.,;:!?\"'()[]{}<>«»“”„‚‘’‹›…*#$%&/\\|-–—_=+~^`"
+#: Words as `learn_lexicon` cuts them.
+_WORD = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = "“„«‹", "”»›"
 
 #: Words that report speech, and second-person words, in the supported languages.
@@ -138,32 +142,46 @@ class Lexicon:
             return "near"
         return ""
 
+    def hits(self, chunk: str) -> int:
+        """How many terms a chunk holds: its words are looked up, then the whole for marks and digits inside a term."""
+        words = _WORD.findall(chunk.lower())
+        found = sum(bool(self.hit(w)) for w in words)
+        if found or (len(words) == 1 and words[0] == chunk.lower().strip(_EDGE)) or any(w in self.exceptions for w in words):
+            return found
+        return int(bool(self.hit(chunk)))
 
-def evidence(text: str, lexicon: Lexicon, memo: dict[str, str], window: int = 8) -> tuple[float, float, float, float]:
+
+def _words(chunk: str) -> list[str]:
+    """The words of a chunk, and the chunk without marks around it."""
+    whole = chunk.lower().strip(_EDGE)
+    return [whole] if whole.isalnum() else [*_WORD.findall(whole), whole]
+
+
+def evidence(text: str, lexicon: Lexicon, memo: dict[str, int], window: int = 8) -> tuple[float, float, float, float]:
     """FEATURES of a whole text."""
     chunks = text.split()
-    hits = set()
+    hits = {}
     for c in set(chunks):
-        kind = memo.get(c)
-        if kind is None:
-            kind = memo[c] = lexicon.hit(c)
-        if kind:
-            hits.add(c)
+        n = memo.get(c)
+        if n is None:
+            n = memo[c] = lexicon.hits(c)
+        if n:
+            hits[c] = n
     if not hits:
         return 0.0, 0.0, 0.0, 0.0
     abuse = quotation = directed = 0.0
     depth, plain = 0, False  # inside typographic quotes; inside straight ones
     for i, c in enumerate(chunks):
         if c in hits:
-            around = [x.lower().strip(_EDGE) for x in chunks[max(0, i - window) : i + window + 1]]
-            before = around[: min(i, window)]
-            inside = depth > 0 or plain or c[0] in "\"“„«‹" or any(x in REPORTING for x in before[-3:])
+            around = [w for x in chunks[max(0, i - window) : i + window + 1] for w in _words(x)]
+            reported = any(w in REPORTING for x in chunks[max(0, i - 3) : i] for w in _words(x))
+            inside = depth > 0 or plain or c[0] in "\"“„«‹" or reported
             closes = c[0] in "\"“„«‹" or any(set(x) & set("\"”»›“") for x in chunks[i : i + 4 * window])
-            if inside and (closes or any(x in REPORTING for x in before[-3:])):
-                quotation += 1
+            if inside and (closes or reported):
+                quotation += hits[c]
             else:
-                abuse += 1
-                directed += any(x in SECOND_PERSON for x in around)
+                abuse += hits[c]
+                directed += hits[c] * any(x in SECOND_PERSON for x in around)
         if '"' in c:
             plain ^= c.count('"') % 2 == 1
         for ch in c:
@@ -224,7 +242,7 @@ def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 250_000) -
         schema = schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, str] = {}  # of a task, so that workers give the memory back
+        memo: dict[str, int] = {}  # of a task, so that workers give the memory back
         for batch in batches:
             rows = []
             for text in batch.column(len(carried)):

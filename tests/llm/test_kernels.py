@@ -203,6 +203,13 @@ def test_stems_and_short_terms_meet_the_automaton(chunk, kind):
     assert COVERED.hit(chunk) == kind
 
 
+@pytest.mark.parametrize(("chunk", "n"), [("idiot,you", 1), ("worthless/clown", 1), ("trash—worthless", 1), ("idiot's", 1), ("worthless-idiot!", 2), ("(x)loweixyz", 1), ("idiom/you", 0), ("wor*hless", 1), ("plain", 0), ("—", 0)])
+def test_joined_words_are_looked_up(chunk, n):
+    assert LEXICON.hits(chunk) == n
+    assert (toxicity.evidence(f"so {chunk} there", LEXICON, {})[0] > 0) == (n > 0)
+    assert (toxicity.evidence(f"so {chunk} there", LEXICON, {})[2] > 0) == (chunk == "idiot,you")
+
+
 STOPS = "the story of a town that was by the river and it had been there for all of the years that anyone in it could have known of "
 
 
