@@ -3,10 +3,14 @@
 A page is cut into blocks at block-level tags.  Elements that never hold main
 text (menus, forms, scripts, page headers and footers, sidebars, adverts,
 notices, reader comments), by tag, role or class name, make their blocks bad.
-Pass 1 classifies the rest: where the page marks its article, blocks in it are
-good and others bad; elsewhere long blocks rich in stop words are good, blocks
+Pass 1 classifies the rest: long blocks rich in stop words are good, blocks
 dense in links bad, and short or unclear blocks stay open.  Pass 2 gives an open
-block the label of its nearest decided neighbours.
+block the label of its nearest decided neighbours.  A marked article is evidence:
+if it holds at least as much running text as the rest of the page (else the marks
+are of teasers, whose open blocks are good between good ones only), blocks in it need fewer stop words to be
+good, and are good where nothing near them is decided; open blocks outside need a
+good block outside.  A link with stop words stays open in the article and is good
+between good blocks.
 
 Each row is handled on its own, so nothing is shuffled.  Defined cases: null or
 empty html gives the empty text; malformed markup is read as far as it goes, an
@@ -170,17 +174,14 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
 
 def classify(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
     """Whether each block is main text: pass 1 decides what it can, pass 2 settles the open blocks."""
-    marked = any(main and not dropped for _, _, dropped, main, _ in blocks)
     labels: list[bool | None] = []
     leaning: list[bool] = []
+    shares: list[float] = []
+    running = [0, 0]  # characters of running text outside and inside a marked article
     for text, link, dropped, main, heading in blocks:
         words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
         stops = sum(w in STOP_WORDS for w in words) / len(words)
-        if dropped:
-            label = False
-        elif marked:
-            label = main and not (link > 0.66 and len(text) < 140)
-        elif link > 0.5 or (link > 0.25 and len(text) < 140):
+        if dropped or link > 0.5 or (link > 0.25 and len(text) < 140):
             label = False
         elif heading or len(text) < 70:
             label = None
@@ -190,6 +191,36 @@ def classify(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
             label = None
         labels.append(label)
         leaning.append(heading or stops >= 0.1 or len(text) >= 140)
+        shares.append(stops)
+        if label is not False and not heading and leaning[-1]:
+            running[main] += len(text)
+    inside = [i for i, b in enumerate(blocks) if b[3] and not b[2]]
+    if not inside or running[1] < running[0]:
+        return _settle(labels, leaning, [b[3] for b in blocks])
+
+    linked = [False] * len(blocks)
+    for i in inside:
+        text, link, _, _, heading = blocks[i]
+        if labels[i] is False:
+            linked[i] = link > 0.66 and len(text) < 140
+            labels[i] = None if shares[i] >= 0.1 or not linked[i] else False
+        elif not heading and shares[i] >= 0.1:
+            labels[i] = True
+    part = [labels[i] for i in inside]
+    if not any(part):  # the mark decides
+        part = [not linked[i] if label is None else label for i, label in zip(inside, part, strict=True)]
+    out = [False] * len(blocks)
+    for i, good in zip(inside, _settle(part, [leaning[i] for i in inside], [linked[i] for i in inside]), strict=True):
+        out[i] = good
+    rest = [i for i, b in enumerate(blocks) if b[2] or not b[3]]
+    if any(labels[i] for i in rest):
+        for i, good in zip(rest, _settle([labels[i] for i in rest], [leaning[i] for i in rest]), strict=True):
+            out[i] = good
+    return out
+
+
+def _settle(labels: list[bool | None], leaning: list[bool], doubted: list[bool] | None = None) -> list[bool]:
+    """Pass 2: the labels with open blocks settled by their neighbours; a doubted one is good between good blocks only."""
     if not any(labels):  # nothing is certain: what leans to main text decides, else all that is open stays
         lean = any(le and label is None for le, label in zip(leaning, labels, strict=True))
         labels = [True if label is None and (le or not lean) else label for le, label in zip(leaning, labels, strict=True)]
@@ -203,7 +234,9 @@ def classify(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
                 j += 1
             before = decided[j - 1] if j else None
             after = decided[j] if j < len(decided) else None
-            if before is None or after is None:
+            if doubted and doubted[i]:
+                label = before is not None and after is not None and labels[before] and labels[after]
+            elif before is None or after is None:
                 label = labels[after if before is None else before]
             elif labels[before] == labels[after] or i - before == after - i:
                 label = labels[before] if labels[before] == labels[after] else leaning[i]

@@ -232,6 +232,24 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONGER = 2 * STOPS
+TEASER = "<article><h3><a href=x>Other news of the day</a></h3><p>Few words of it.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"{TEASER}<div><p>{LONGER}1</p><p>{LONGER}2</p></div>{TEASER}{TEASER}", f"{LONGER}1\n{LONGER}2"),
+        (f"<article><p>{LONGER}1</p><p>{LONGER}2</p></article><div><p>{LONGER}3</p></div><div>All rights reserved</div>{TEASER}", None),
+        (f"<article><p>{LONGER}1</p><p>See <a href=x>the report of the town on it</a></p><p>{LONGER}2</p><p><a href=y>More of the news</a></p></article>", f"{LONGER}1\nSee the report of the town on it\n{LONGER}2"),
+        (f"<div>Menu</div><main><p>{LONGER}1</p><div class=ad>buy</div><p>Short.</p></main><div>All rights reserved</div>", f"{LONGER}1\nShort."),
+    ],
+)
+def test_the_mark_is_evidence(page, text):
+    got = html.main_text(page)
+    assert got == text if text else {f"{LONGER}{i}" for i in (1, 2, 3)} <= set(got.split("\n"))
+
+
 def test_main_text_of_a_very_long_page():
     body = "".join(f"<p>{STOPS}{i}</p>" for i in range(20_000))
     assert html.main_text(f"<article>{body}</article>").count("\n") == 19_999
