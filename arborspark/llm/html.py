@@ -59,10 +59,8 @@ DROPPED_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset(("article-body", "article-content", "article-text", "articlebody", "entry-content", "main-content", "post-body", "post-content", "story-body"))
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"'<]+|\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|[^>]*+(?:>|\Z))",
-    re.S,
-)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile(r"[>\"'<]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s>=/]|$)", re.I)
@@ -85,12 +83,43 @@ def _named(names: str) -> bool:
     return False
 
 
+class _Tags:
+    """Ends of a page's tags: quoted values are read whole, however long.
+
+    A tag that meets a `<` outside quotes, or a quote that nothing closes, ends
+    at its first `>`.  Quotes at which such a tag was open are remembered, so no
+    part of a page is read more than a few times.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.failed, self.unclosed = page, set(), {}  # unclosed: from where on no such quote follows
+
+    def end(self, at: int) -> int:
+        """The position after the tag whose name ends at `at`."""
+        page, i, opened = self.page, at, []
+        while stop := _STOP.search(page, i):
+            c, i = stop[0], stop.end()
+            if c == ">":
+                return i
+            if c == "<" or i in self.failed or i >= self.unclosed.get(c, len(page) + 1):
+                break
+            opened.append(i)
+            close = page.find(c, i)
+            if close < 0:
+                self.unclosed[c] = min(i, self.unclosed.get(c, i))
+                break
+            i = close + 1
+        self.failed.update(opened)
+        return page.find(">", at) + 1 or len(page)
+
+
 def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, share of it in links, dropped, inside a marked article, heading) of each block that has text."""
     done: list[_Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, dropped, inside an article
     now = _Block(False, False, False)
     links = breaks = at = 0
+    tags = _Tags(page)
 
     def cut(heading: bool = False) -> None:
         nonlocal now
@@ -118,7 +147,8 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         at = tag.end()
         if tag[2] is None:
             continue
-        closing, name, rest = tag[1], tag[2].lower(), tag[3]
+        at = tags.end(tag.end())
+        closing, name, rest = tag[1], tag[2].lower(), page[tag.end() : at]
         if name == "br":
             breaks += 1
             now.parts.append(" ")

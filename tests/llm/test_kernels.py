@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -250,6 +251,20 @@ def test_the_mark_is_evidence(page, text):
     assert got == text if text else {f"{LONGER}{i}" for i in (1, 2, 3)} <= set(got.split("\n"))
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attribute_values_are_not_text(quote):
+    value = "<b>leak > " * 1000
+    assert html.main_text(f"<article><div data-x={quote}{value}{quote}><p>Kept</p></div></article>") == "Kept"
+    assert html.main_text(f"<article><p title={quote}open>Kept</p><p>Too</p></article>") == "Kept\nToo"
+
+
+@pytest.mark.parametrize("unit", ["<a \"", "<a '\"", "<a \"'>", "<a x=\"> ' ", "<a \"<b>\"", "<a"])
+def test_odd_quotes_take_linear_time(unit):
+    begin = time.process_time()
+    html.blocks_of("<article>" + unit * 100_000 + "<p>x</p>")
+    assert time.process_time() - begin < 20
+
+
 def test_main_text_of_a_very_long_page():
     body = "".join(f"<p>{STOPS}{i}</p>" for i in range(20_000))
     assert html.main_text(f"<article>{body}</article>").count("\n") == 19_999
