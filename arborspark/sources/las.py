@@ -1,8 +1,11 @@
 """LAS point files as a Spark data source: `spark.read.format("las")` and `df.write.format("las")`.
 
-The public ASPRS LAS 1.2 layout, uncompressed.  Reading: one task for each range
-of records, only the needed bytes of a record are decoded, and filters on cls
-and on x and y reach the reader.  Writing: one file a scene and task, point
+The public ASPRS layout, uncompressed.  Reading: LAS 1.0 to 1.4 with point formats
+0 to 10, other files are an error; one task for each range of records, only the
+needed bytes of a record are decoded, and filters on cls and on x and y reach the
+reader.  Where a folder has `_files.json`, its files are read and no others, so
+that those of failed attempts never count; else all .las files under it.  Writing
+(LAS 1.2): one file a scene and task, point
 format 3, scale 0.001, offsets at the scene's minimum, so coordinates are whole
 millimetres.  Paths are URIs that pyarrow's file systems open.
 """
@@ -31,6 +34,10 @@ HEADER = np.dtype(
         ("by_return", "<u4", 5), ("scale", "<f8", 3), ("offset", "<f8", 3), ("max_x", "<f8"), ("min_x", "<f8"), ("max_y", "<f8"), ("min_y", "<f8"), ("max_z", "<f8"), ("min_z", "<f8"),
     ]
 )
+MANIFEST = "_files.json"
+#: Bytes of a record by point format, and where LAS 1.4 has its 64-bit point count.
+LENGTHS = (20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67)
+POINTS_AT = 247
 #: Point data record format 3.
 RECORD = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("point_source", "<u2"), ("time", "<f8"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2")])
 
@@ -41,9 +48,34 @@ def header_of(file) -> np.void:
         raise ValueError("not a LAS file")
     if head["format"] & 0x80:
         raise ValueError("compressed LAZ needs a codec that is not here; decompress it first")
+    if head["major"] != 1 or head["minor"] > 4 or head["format"] >= len(LENGTHS) or head["record_length"] < LENGTHS[head["format"]]:
+        raise ValueError(f"LAS {head['major']}.{head['minor']}, point format {head['format']} of {head['record_length']} bytes is not supported")
     return head
 
 
+def points_of(file, head: np.void) -> int:
+    """The point count; that of LAS 1.4 stands in a field of its own."""
+    if head["minor"] < 4:
+        return int(head["points"])
+    file.seek(POINTS_AT)
+    return int(np.frombuffer(file.read(8), "<u8")[0])
+
+
+def files_of(store, base: str) -> list:
+    """The .las and .laz files of a path: those its manifest names, or all under it."""
+    info = store.get_file_info(base)
+    if info.type == fs.FileType.File:
+        return [info]
+    if store.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
+        with store.open_input_stream(f"{base}/{MANIFEST}") as file:
+            found = store.get_file_info([f"{base}/{name}" for name in json.loads(file.read())])
+        if lost := [f.path for f in found if f.type != fs.FileType.File]:
+            raise FileNotFoundError(f"named in {MANIFEST}: {lost}")
+    else:
+        found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    return sorted((f for f in found if f.path.lower().endswith((".las", ".laz"))), key=lambda f: f.path)
+
+
 @dataclass
 class Records(InputPartition):
     path: str
@@ -67,12 +99,10 @@ class LasReader(DataSourceReader):
 
     def partitions(self):
         store, base = fs.FileSystem.from_uri(self.path)
-        info = store.get_file_info(base)
-        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(base, recursive=True))
         parts = []
-        for i, f in enumerate(sorted((f for f in found if f.path.lower().endswith((".las", ".laz"))), key=lambda f: f.path)):
+        for i, f in enumerate(files_of(store, base)):
             with store.open_input_file(f.path) as file:
-                n = int(header_of(file)["points"])
+                n = points_of(file, header_of(file))
             named = re.match(r"scene-(\d+)-", f.base_name)
             scene = int(named[1]) if named else i
             parts += [Records(f.path, at, min(self.step, n - at), scene) for at in range(0, n, self.step)]
@@ -85,13 +115,14 @@ class LasReader(DataSourceReader):
         with store.open_input_file(part.path) as file:
             head = header_of(file)
             length = int(head["record_length"])
+            wide = head["format"] >= 6  # a whole byte for the class
             names = ["x", "y", "z", "cls"]
-            layout = np.dtype({"names": names, "formats": [RECORD[n].str for n in names], "offsets": [RECORD.fields[n][1] for n in names], "itemsize": length})
+            layout = np.dtype({"names": names, "formats": [RECORD[n].str for n in names], "offsets": [RECORD.fields[n][1] for n in names[:3]] + [16 if wide else RECORD.fields["cls"][1]], "itemsize": length})
             for at in range(part.first, part.first + part.count, 1 << 18):
                 n = min(1 << 18, part.first + part.count - at)
                 file.seek(int(head["offset_to_points"]) + at * length)
                 r = np.frombuffer(file.read(n * length), layout)
-                v = {c: r[c] * head["scale"][i] + head["offset"][i] for i, c in enumerate("xyz")} | {"cls": (r["cls"] & 31).astype(np.int32)}
+                v = {c: r[c] * head["scale"][i] + head["offset"][i] for i, c in enumerate("xyz")} | {"cls": (r["cls"] & (255 if wide else 31)).astype(np.int32)}
                 keep = np.ones(n, bool)
                 for f in self.filters:
                     keep &= self._holds(f, v[f.attribute[0]])
@@ -121,10 +152,12 @@ class Written(WriterCommitMessage):
 
 
 class LasWriter(DataSourceArrowWriter):
-    """A file's scene is in its name.  Every task writes its scenes to names of its own; files of failed attempts are removed on abort."""
+    """A file's scene is in its name.  Every task writes its scenes to names of its own; commit names the files of successful tasks in the manifest, with those that were there."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
         self.path = options["path"]
+        store, base = fs.FileSystem.from_uri(self.path)
+        self.before = [] if overwrite else [f.path.removeprefix(f"{base}/") for f in files_of(store, base)]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, base = fs.FileSystem.from_uri(self.path)
@@ -155,8 +188,10 @@ class LasWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         store, base = fs.FileSystem.from_uri(self.path)
-        with store.open_output_stream(f"{base}/_files.json") as out:
-            out.write(json.dumps(sorted(p for m in messages if m for p in m.paths)).encode())
+        store.create_dir(base, recursive=True)
+        names = [p.removeprefix(f"{base}/") for m in messages if m for p in m.paths]
+        with store.open_output_stream(f"{base}/{MANIFEST}") as out:
+            out.write(json.dumps(sorted(self.before + names)).encode())
 
     def abort(self, messages) -> None:
         store, _ = fs.FileSystem.from_uri(self.path)
@@ -177,7 +212,7 @@ class LasDataSource(DataSource):
         return LasReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> LasWriter:
-        return LasWriter(self.options)
+        return LasWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

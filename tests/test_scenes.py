@@ -1,5 +1,8 @@
 """Synthetic scenes through files, detectors and scores."""
 
+from pathlib import Path
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +39,53 @@ def test_las_keeps_points_to_the_millimetre(spark, forest):
     assert back.filter("cls = 2 AND x < 5").count() == forest[1].filter("cls = 2 AND x < 5").count() or abs(back.filter("cls = 2 AND x < 5").count() - forest[1].filter("cls = 2 AND x < 5").count()) < 3
 
 
+def test_las_reads_only_committed_files(spark, forest):
+    las.register(spark)
+    path = new_path(spark, "las")
+    few = forest[1].limit(500).coalesce(1)
+    few.write.format("las").mode("append").save(path)
+    folder = Path(path.removeprefix("file://"))
+    first = next(folder.glob("*.las"))
+    (folder / "scene-000000-failed.las").write_bytes(first.read_bytes())  # as a lost executor leaves it
+    assert spark.read.format("las").load(path).count() == 500
+    few.write.format("las").mode("append").save(path)
+    assert spark.read.format("las").load(path).count() == 1000
+
+
+def las_file(path, minor, form, points, legacy):
+    """Two header sizes, and records of 67 bytes at most with x = 1, 2, ... and class 2 (formats to 5) or 200."""
+    head = np.zeros(1, las.HEADER)
+    size = 375 if minor >= 4 else las.HEADER.itemsize
+    for k, v in {"signature": b"LASF", "major": 1, "minor": minor, "format": form, "header_size": size, "offset_to_points": size, "record_length": las.LENGTHS[form], "points": legacy, "scale": 1.0}.items():
+        head[k] = v
+    body = bytearray(head.tobytes().ljust(size, b"\0"))
+    if minor >= 4:
+        body[247:255] = points.to_bytes(8, "little")
+    for i in range(points):
+        r = bytearray(las.LENGTHS[form])
+        r[0:4] = (i + 1).to_bytes(4, "little")
+        r[16 if form >= 6 else 15] = 200 if form >= 6 else 2
+        body += r
+    path.write_bytes(bytes(body))
+
+
+def rows_of(path):
+    reader = las.LasReader({"path": f"file://{path}"})
+    return [(r["x"], r["cls"]) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize(("minor", "form", "legacy", "cls"), [(2, 3, 3, 2), (0, 0, 3, 2), (4, 6, 0, 200), (4, 10, 0, 200), (4, 3, 0, 2)])
+def test_las_versions(tmp_path, minor, form, legacy, cls):
+    las_file(tmp_path / "a.las", minor, form, 3, legacy)
+    assert rows_of(tmp_path) == [(1.0, cls), (2.0, cls), (3.0, cls)]
+
+
+def test_las_unknown_versions_are_an_error(tmp_path):
+    las_file(tmp_path / "a.las", 5, 3, 1, 1)
+    with pytest.raises(ValueError, match="not supported"):
+        rows_of(tmp_path)
+
+
 @pytest.mark.parametrize("name", sorted(DETECTORS))
 def test_detectors_find_trees(spark, forest, name):
     plan, points = forest
