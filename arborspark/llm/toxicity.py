@@ -60,6 +60,7 @@ class Lexicon:
 
     def __post_init__(self):
         self.trie, self.stem_trie, self.short_trie = {}, {}, {}
+        self.short_parts: set[tuple[str, str]] = set()  # halves and outer letters of the terms of four letters
         self.halves: dict[int, tuple[int, set, set, set]] = {}  # by length of terms: heads, tails, and both without the middle
         self.stem_halves: dict[int, tuple[int, set, set, set]] = {}
         for terms, trie, halves in ((self.words, self.trie, self.halves), (self.stems, self.stem_trie, self.stem_halves)):
@@ -67,6 +68,7 @@ class Lexicon:
                 if len(w) < 5:
                     if len(w) == 4:
                         self._insert(self.short_trie, w)
+                        self.short_parts |= {(w[:2], ""), ("", w[2:]), (w[0], w[3])}
                     continue
                 self._insert(trie, w)
                 half = len(w) // 2
@@ -123,7 +125,7 @@ class Lexicon:
 
     def _near_short(self, w: str) -> bool:
         """Within one edit of a term of four letters whose outer letters stand; what begins or ends otherwise is mostly another word."""
-        if len(w) not in (4, 5):
+        if len(w) not in (4, 5) or self.short_parts.isdisjoint(((w[:2], ""), ("", w[-2:]), (w[0], w[-1]))):
             return False
         term = self.near(w, self.short_trie)
         return term is not None and (len(w) == 4 or (w[0] == term[0] and w[-1] == term[-1]))
