@@ -78,14 +78,13 @@ def assign(lengths: list[int], sequence: int, linear: float = 1.0, quadratic: fl
 def pack(docs: DataFrame, vocabulary: str, *, kind: str = "words", sequence: int = 4096, end_id: int = 2, group_tokens: int = 1 << 20) -> DataFrame:
     """Pieces of docs(doc_id, text): see PIECES.  ids are little-endian unsigned 32-bit; a sequence's pieces, by offset, are its tokens."""
     bounded_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc = encoder(vocabulary, kind)
         next_id = TaskContext.get().partitionId() << 33
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, memoryview]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -96,7 +95,7 @@ def pack(docs: DataFrame, vocabulary: str, *, kind: str = "words", sequence: int
                 offset = 0
                 for doc, start, n in pieces:
                     doc_id, ids = held[doc]
-                    for column, value in zip(out, (doc_id, start, n, len(ids) // 4, next_id, offset, ids[4 * start : 4 * (start + n)]), strict=True):
+                    for column, value in zip(out, (doc_id, start, n, len(ids) // 4, next_id, offset, bytes(ids[4 * start : 4 * (start + n)])), strict=True):
                         column.append(value)
                     offset += n
                 next_id += 1
@@ -105,10 +104,11 @@ def pack(docs: DataFrame, vocabulary: str, *, kind: str = "words", sequence: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.one(text.as_py() or "") + end
-                held.append((doc_id, ids))
-                size += len(ids) // 4
+            lengths, ids = enc.encode(batch.column(1), end_id)
+            data, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(lengths).tolist()
+            for doc_id, n, stop in zip(batch.column(0).to_pylist(), lengths.tolist(), ends, strict=True):
+                held.append((doc_id, data[4 * (stop - n) : 4 * stop]))
+                size += n
                 if size >= group_tokens:
                     yield from flush()
         if held:

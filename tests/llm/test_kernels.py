@@ -7,10 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
 
 from arborspark.llm import html, neardup_text, neardup_vectors, packing, tokenfiles, topk, toxicity
 from arborspark.llm.encoding import Encoder
@@ -22,21 +22,31 @@ TEXTS = [
 ]
 
 
+def assert_encodes(mine, texts, end=None):
+    sizes, ids = mine.encode(pa.array(texts, pa.string()), end)
+    at = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        want = mine.tokenizer.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end])
+        assert ids[at : at + n].tolist() == want, repr(t)[:40]
+        at += n
+    assert at == len(ids)
+
+
 @pytest.mark.parametrize("kind", FILES)
-def test_encoder_equals_the_tokenizer(kind):
-    path = public_tokenizers.path(FILES[kind])
-    whole, mine = Tokenizer.from_file(path), Encoder(path, kind, memo=50)
-    for t in TEXTS * 2:
-        assert mine.one(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t[:40])
-    assert mine.encode([None, ""]) == [b"", b""]
+@pytest.mark.parametrize("end", [None, 2])
+def test_encoder_equals_the_tokenizer(kind, end):
+    mine = Encoder(public_tokenizers.path(FILES[kind]), kind, memo=50)
+    assert_encodes(mine, TEXTS * 2, end)
+    assert_encodes(mine, [None, ""], end)
+    assert_encodes(mine, [], end)
+    assert_encodes(mine, [f"a{c}b {c}" for c in map(chr, range(0x2100))], end)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(" \n\t.,'sdréÉñß12²“-a日 "), max_size=60))
-def test_encoder_on_odd_texts(text):
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r.,'sdtSréÉñß12²“-a日 "), max_size=60), max_size=4))
+def test_encoder_on_odd_texts(texts):
     for kind, name in FILES.items():
-        mine = Encoder.__dict__ and _encoder(kind, name)
-        assert mine.one(text) == np.array(mine.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert_encodes(_encoder(kind, name), texts)
 
 
 _made: dict = {}
@@ -81,9 +91,31 @@ def test_elias_fano_round_trip(values):
     data = tokenfiles.ef_encode(values, top)
     assert len(data) == sum(tokenfiles.ef_bytes(len(values), top))
     ef = tokenfiles.EliasFano(data, len(values), top)
-    assert (ef.values() == values).all()
+    assert (ef.run(0, len(values)) == values).all()
     for i in range(0, len(values), 37):
         assert ef.select(i) == values[i]
+        assert (ef.run(i, min(len(values), i + 300)) == values[i : i + 300]).all()
+        assert ef.above(int(values[i]), 0) == np.searchsorted(values, values[i], "right")
+
+
+def test_elias_fano_packs_in_chunks(monkeypatch):
+    values = np.sort(np.random.default_rng(3).integers(0, 2**45, 1000)).astype("<u8")
+    whole = tokenfiles.ef_encode(values, 2**45)
+    monkeypatch.setattr(tokenfiles, "_CHUNK", 64)
+    assert tokenfiles.ef_encode(values, 2**45) == whole
+
+
+def test_rows_equal_to_bounds_are_dealt_in_order():
+    keys = np.sort(np.random.default_rng(1).integers(0, 9, 5000))
+    keys[1000:3500] = keys[1000]
+    keys = np.sort(keys)
+    bounds = tokenfiles.range_bounds(keys, np.ones(len(keys)), 16)
+    to = tokenfiles.place_in(bounds, keys)
+    last = -1
+    for part in range(16):
+        mine = keys[to == part]
+        assert len(mine) < 700 and (not len(mine) or mine[0] >= last)
+        last = mine[-1] if len(mine) else last
 
 
 def test_elias_fano_is_small():

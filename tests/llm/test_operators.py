@@ -91,6 +91,27 @@ def test_token_file_cases(spark, docs, none):
     assert tokenfiles.encode_and_read(none, path, new_path(spark, "test")).count() == 0
 
 
+def test_packing_of_the_table(spark, data):
+    """Every piece of the query holds the ids that it names, and every id lies in one piece."""
+    texts = {r.doc_id: ids_of("word_bpe_49k.json", r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    pieces = sorted(map(tuple, queries.op2_packing(spark, data).collect()))
+    until = Counter()
+    for doc_id, start, length, crc, doc_tokens, _, _ in pieces:
+        ids = texts[doc_id]
+        assert start == until[doc_id] and doc_tokens == len(ids)
+        assert crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+        until[doc_id] += length
+    assert until == {k: len(v) for k, v in texts.items()}
+
+
+def test_token_files_of_one_repeated_row(spark):
+    rows = [(5, "the same row")] * 3000 + [(i, f"another {i}") for i in range(10)] + [(None, "no id")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = tokenfiles.encode_and_read(docs, queries.vocabulary("byte_bpe_50k.json"), new_path(spark, "test")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    assert all(b.start == a.start + a.n_tokens for a, b in itertools.pairwise(got))
+
+
 def test_token_files_of_the_table(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()
     got = queries.op7_token_files(spark, data).orderBy("doc_id").collect()
