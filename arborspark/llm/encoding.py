@@ -33,7 +33,7 @@ _PIECES = {
 #: The printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 bytes are themselves, the others follow from 256 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _AS_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
-_BLOCK = 1 << 20
+_BLOCK, _SLICE = 1 << 20, 8 << 20
 
 
 class Encoder:
@@ -89,9 +89,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Null is the empty text.  end_id, if given, follows the ids of every text."""
-        if not len(texts):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        texts = pc.fill_null(texts, "")
+        parts, at = [(np.zeros(0, np.int64), np.zeros(0, np.uint32))], 0
+        until = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < len(texts):  # a few MB at a time
+            stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + _SLICE, "right")))
+            parts.append(self._encode(pc.fill_null(texts[at:stop], ""), end_id))
+            at = stop
+        return np.concatenate([n for n, _ in parts]), np.concatenate([ids for _, ids in parts])
+
+    def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _ODD)
         if not self.words:
             odd = pc.or_(odd, pc.match_substring_regex(texts, _SPACED))

@@ -169,7 +169,7 @@ def _keys(doc_ids: pa.Array, ties: pa.Array) -> np.ndarray:
     return out
 
 
-def write_files(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "bytes", end_id: int = 2, file_ids: int = 1 << 26, part_mb: int = 256, sample: int = 1 << 20) -> DataFrame:
+def write_files(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "bytes", end_id: int = 2, file_ids: int = 1 << 26, part_mb: int = 128, sample: int = 1 << 20) -> DataFrame:
     """Write docs(doc_id, text) as token-id files under folder (any URI that pyarrow opens); returns the manifest, one row per file.
 
     Rows are dealt by ranges of doc_id, of about part_mb of text at most, so files
@@ -183,7 +183,7 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "b
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     cores = spark.sparkContext.defaultParallelism
-    parts = max(1, min(4 * cores, n), -(-size // (part_mb << 20)))
+    parts = max(1, min(n, max(min(4 * cores, size >> 22), -(-size // (part_mb << 20)))))
     some = rows.select("doc_id", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
     share = min(256 * parts, sample) / max(1, n)
     some = (some.sample(share, seed=1) if share < 1 else some).toArrow().combine_chunks()

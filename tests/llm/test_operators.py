@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, and against brute force."""
 
+import functools
 import itertools
 import math
 import zlib
@@ -34,8 +35,13 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@functools.cache
+def tokenizer(name):
+    return Tokenizer.from_file(queries.vocabulary(name))
+
+
 def ids_of(name, text):
-    return [*Tokenizer.from_file(queries.vocabulary(name)).encode(text or "", add_special_tokens=False).ids, 2]
+    return [*tokenizer(name).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
