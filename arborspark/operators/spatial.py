@@ -8,12 +8,14 @@ ever built.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
 
 
 def _cell(axes: Sequence[str], size: float, prefix: str = "") -> list[Column]:
@@ -70,20 +72,81 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: S
         ring *= 2
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], parts: int = 1000) -> DataFrame:
+    """The keys that hold more than a part in `parts` of all rows: fewer than `parts` of them, so they may be broadcast."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    least = F.broadcast(sizes.agg((F.sum("_n") / parts).alias("_least")))  # one row
+    return written(sizes.join(least, F.col("_n") > F.col("_least")).select(*keys), "hot-keys")
+
+
+def hot_join(rows: DataFrame, unique: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """rows left joined with one row a key: hot keys are broadcast and the rest is shuffled, so no task gets a hot key's rows."""
+    keys = list(keys)
+    some = F.broadcast(hot)  # see hot_keys
+    held = F.broadcast(unique.join(some, keys, "left_semi"))
+    rest = rows.join(some, keys, "left_anti").join(unique, keys, "left")
+    return rows.join(some, keys, "left_semi").join(held, keys, "left").unionByName(rest)
+
+
+def spanning_stars(edges: pa.RecordBatch) -> pa.RecordBatch:
+    """Edges (keys..., node, least node of its component within the batch) in place of edges (keys..., a, b)."""
+    n = edges.num_rows
+    a, b = (edges.column(edges.num_columns - k).to_numpy(zero_copy_only=False) for k in (2, 1))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    group, first = np.zeros(n, np.int64), np.zeros(1, np.int64)
+    for c in edges.columns[:-2]:
+        codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        _, first, group = np.unique(group * (codes.max() + 1) + codes, return_index=True, return_inverse=True)
+    nodes, at = np.unique(np.tile(group, 2) * len(names) + at, return_inverse=True)
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, at[:n], root[at[n:]])
+        np.minimum.at(new, at[n:], root[at[:n]])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = pa.array(first[nodes // len(names)])
+    ends = [pa.array(names[x % len(names)], edges.column(edges.num_columns - 1).type) for x in (nodes, nodes[root])]
+    return pa.RecordBatch.from_arrays([*[c.take(own) for c in edges.columns[:-2]], *ends], schema=edges.schema)
+
+
 def components(edges: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
-    """keys, node, component (the least node reachable) of every node in edges(keys, a, b): label propagation with shortcuts."""
+    """keys, node, component (the least node reachable) of every node in edges(keys, a, b): label propagation with shortcuts.
+
+    The edges of each Arrow batch are replaced by its spanning stars first.  A
+    round gives every node the least label of its neighbours, and then the label
+    of that label.  Nodes with a large part of all edges, and labels with
+    a large part of all nodes, are joined by broadcast instead of in one task.
+    """
     keys = list(keys)
-    both = edges.select(*keys, "a", "b").union(edges.select(*keys, "b", "a")).distinct()
-    both = written(both, "edges")
+    edges = edges.select(*keys, "a", "b")
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield spanning_stars(batch)
+
+    stars = edges.mapInArrow(contract, edges.schema)
+    both = written(stars.union(stars.select(*keys, "b", "a")).distinct(), "edges")
     labels = written(both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    hubs = hot_keys(both, [*keys, "b"])
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = labels.join(near, [*keys, "node"]).select(*keys, "node", "component", F.least("component", "near").alias("next"))
-        up = moved.select(*keys, F.col("node").alias("next"), F.col("next").alias("jump"))
+        near = hot_join(both, labels.withColumnRenamed("node", "b"), [*keys, "b"], hubs).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        moved = written(labels.join(near, [*keys, "node"]).select(*keys, "node", "component", F.least("component", "near").alias("next")), "moved")
+        wanted = moved.select(*keys, "next").distinct()
+        jumps = wanted.join(moved.select(*keys, F.col("node").alias("next"), F.col("next").alias("jump")), [*keys, "next"])
+        hot = hot_keys(moved, [*keys, "next"])
         label = F.least(F.col("next"), F.coalesce("jump", "next"))
-        new = written(moved.join(up, [*keys, "next"], "left").select(*keys, "node", label.alias("component"), (label != F.col("component")).alias("changed")), "labels")
+        new = hot_join(moved, jumps, [*keys, "next"], hot).select(*keys, "node", label.alias("component"), (label != F.col("component")).alias("changed"))
+        old, new = labels, written(new, "labels")
         labels = new.drop("changed")
-        if not new.filter("changed").limit(1).count():
+        done = not new.filter("changed").limit(1).count()
+        discard(moved, hot, old)
+        labels.scratch_path = new.scratch_path
+        if done:
+            discard(both, hubs)
             return labels
 
 
