@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import new_path, shared_dir
+from ..scratch import discard, new_path, shared_dir
 from ..scratch import written as staged
 from ..session import table
 
-__all__ = ["WORD", "bounded_batches", "held_out", "new_path", "shared_dir", "staged", "table"]
+__all__ = ["WORD", "bounded_batches", "discard", "held_out", "new_path", "shared_dir", "staged", "table"]
 
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

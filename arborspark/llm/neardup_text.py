@@ -7,7 +7,7 @@ with its occurrence number so that repeats stay apart.
    `length` least labelled k-mers under its own hash and keeps their text order,
    so it agrees with the edit similarity and not only with shared content.
    Texts of few k-mers also get single-k-mer sketches.
-2. Texts with equal keys collapse to one.  Texts that share a sketch are
+2. Texts with equal keys (two 64-bit hashes) collapse to one.  Texts that share a sketch are
    candidates of the most popular text in it (the one that meets most others),
    never of each other.
 3. A candidate pair is verified by aligning its labelled k-mers: matches off the
@@ -24,7 +24,7 @@ stars are salted, and joins run on written tables that Spark can split.
 Defined cases: texts without words (null, empty, white space) are alone in their
 class; texts of fewer than five words are near-duplicates only if equal; repeated
 rows are copies; class_id is the least doc_id of the class (null ids last); a key
-is 64 bits, so two of n texts share one by chance with probability n^2 / 2^65.
+is 128 bits, so two of n texts share one by chance with probability n^2 / 2^129.
 """
 
 from __future__ import annotations
@@ -38,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.spatial import components
-from .common import bounded_batches, staged
+from ..operators.spatial import components, hot_join, hot_keys
+from .common import bounded_batches, discard, staged
 
 K = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_AT_ONCE = 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -76,9 +77,17 @@ def word_hashes(text: str | None) -> np.ndarray:
     return _mixed(np.add.reduceat(values, first) + sizes.astype(np.uint64) * _MIX)
 
 
-def content_key(words: np.ndarray) -> int:
+def content_key(words: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of the words in order."""
     place = np.arange(len(words), dtype=np.uint64) * _MIX + np.uint64(1)
-    return int(_mixed(np.add.reduce(_mixed(words + place))[None])[0].view(np.int64))
+    one = _mixed(words + place)
+    two = _mixed(words * np.uint64(0xD6E8FEB86659FD93) ^ _mixed(place))
+    k1, k2 = _mixed(np.array([np.add.reduce(one), np.add.reduce(two)], np.uint64)).view(np.int64)
+    return int(k1), int(k2)
+
+
+def _key_columns(keys: list[tuple[int, int] | None]) -> list[pa.Array]:
+    return [pa.array([k and k[i] for k in keys], pa.int64()) for i in range(2)]
 
 
 def labelled_kmers(words: np.ndarray) -> np.ndarray:
@@ -100,9 +109,13 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
 
 
 def sketches(x: np.ndarray, length: int, count: int, short: int, short_count: int) -> np.ndarray:
-    """Order MinHash sketches of labelled k-mers, as signed 64-bit bucket names."""
+    """Order MinHash sketches of labelled k-mers, as signed 64-bit bucket names; of a long text, a few seeds at a time."""
 
     def of(length: int, seeds: np.ndarray, salt: int) -> np.ndarray:
+        some = max(1, _AT_ONCE // len(x))
+        return np.concatenate([at_once(length, seeds[at : at + some], salt) for at in range(0, len(seeds), some)])
+
+    def at_once(length: int, seeds: np.ndarray, salt: int) -> np.ndarray:
         h = x[None, :] * seeds[:, None]
         h ^= h >> np.uint64(32)
         least = np.argpartition(h, length - 1, axis=1)[:, :length] if length < h.shape[1] else np.broadcast_to(np.arange(h.shape[1]), h.shape)
@@ -143,9 +156,9 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def sketch_documents(docs: DataFrame, length: int, count: int, short: int, short_count: int) -> DataFrame:
-    """doc_id, key, n, bands of docs(doc_id, text); key is null for a text without words."""
+    """doc_id, k1, k2, n, bands of docs(doc_id, text); k1 and k2 are null for a text without words."""
     bounded_batches(docs.sparkSession)
-    schema = "doc_id long, key long, n int, bands array<long>"
+    schema = "doc_id long, k1 long, k2 long, n int, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,26 +169,27 @@ def sketch_documents(docs: DataFrame, length: int, count: int, short: int, short
                 keys.append(content_key(w) if len(w) else None)
                 sizes.append(len(x) if len(w) else 0)
                 bands.append(sketches(x, length, count, short, short_count) if len(w) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bands"])
+            columns = [batch.column(0), *_key_columns(keys), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def with_key(docs: DataFrame, name: str = "_key") -> DataFrame:
-    """docs (text last) with the content key of the text added."""
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs (text last) with the content key of the text added: _k1, _k2."""
     bounded_batches(docs.sparkSession)
-    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    schema = StructType([*docs.schema.fields, StructField("_k1", LongType()), StructField("_k2", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = (word_hashes(t.as_py()) for t in batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([content_key(w) if len(w) else None for w in words], pa.int64())], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_key_columns([content_key(w) if len(w) else None for w in words])], names=[f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 
 
 def kmers_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """key, kmers (32 bits each) of the chosen (key, lead) texts; one row a text."""
+    """key, kmers (32 bits each) of the chosen (key, k1, k2, lead, rows) texts; one row a text, though `rows` rows may hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,11 +198,13 @@ def kmers_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 w = word_hashes(text.as_py())
                 keys.append(content_key(w) if len(w) else None)
                 out.append((labelled_kmers(w) >> np.uint64(32)).astype("<u4").tobytes() if len(w) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "key", "kmers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(keys), pa.array(out, pa.binary())], names=["doc_id", "k1", "k2", "kmers"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, kmers binary")
-    same = (rows.key == chosen.key) & rows.doc_id.eqNullSafe(chosen.lead)
-    return rows.join(chosen, same, "left_semi").select("key", "kmers")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, k1 long, k2 long, kmers binary")
+    same = (rows.k1 == chosen.k1) & (rows.k2 == chosen.k2) & rows.doc_id.eqNullSafe(chosen.lead)
+    found = staged(rows.join(chosen, same).select("key", "rows", "kmers"), "kmers-of-rows")
+    once = found.filter("rows > 1").groupBy("key").agg(F.first("kmers").alias("kmers"))
+    return found.filter("rows = 1").select("key", "kmers").unionByName(once)
 
 
 def verify(pairs: DataFrame, kmers: DataFrame, threshold: float, star: int = 256) -> DataFrame:
@@ -256,14 +272,14 @@ def cell_links(component: np.ndarray, turn: np.ndarray, texts: list[np.ndarray],
     return found
 
 
-def verify_cells(members: DataFrame, kmers: DataFrame, threshold: float, block: int = 256) -> DataFrame:
-    """Links (a, b) that join components within the buckets of members(band, size, key, component).
+def verify_cells(members: DataFrame, kmers: DataFrame, threshold: float, block: int = 256, block_kmers: int = 1 << 20) -> DataFrame:
+    """Links (a, b) that join components within the buckets of members(band, size, total, key, component).
 
-    A bucket is cut into blocks and every pair of its blocks is one cell, so a
-    bucket with a large part of all texts is many tasks; no pairs are written
-    but the links found.
+    A bucket is cut into blocks, of about `block` texts and `block_kmers` k-mers
+    at most, and every pair of its blocks is one cell, so a bucket with a large
+    part of all texts is many tasks; no pairs are written but the links found.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("total") / block_kmers)).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks.cast("long")).cast("int")
     rows = members.select("band", "key", "component", blocks.alias("blocks"), own.alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -280,16 +296,18 @@ def verify_cells(members: DataFrame, kmers: DataFrame, threshold: float, block:
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4, count: int = 18, short: int = 25, short_count: int = 8, small: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(documents, keys): doc_id, key of every row, and key, lead, class_id, component of every distinct text with words.
+    """(documents, texts): doc_id, k1, k2 of every row, and k1, k2, lead, copies, class_id, component of every distinct text with words.
 
-    component is a content key and names one class only; class_id may name several, if ids are null or repeated.
+    component names one class only; class_id may name several, if ids are null or repeated.
     """
     rows = staged(sketch_documents(docs, length, count, short, short_count), "sketches")
-    texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    texts = staged(texts, "texts")
+    own = F.struct(F.col("doc_id").isNull(), "doc_id")
+    texts = rows.filter("k1 IS NOT NULL").groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = texts.groupBy("k1", "k2").agg(F.min(own).alias("own"), F.min_by("rows", own).alias("rows"), F.sum("rows").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = staged(texts.select(F.monotonically_increasing_id().alias("key"), "k1", "k2", F.col("own.doc_id").alias("lead"), "rows", "copies", "n", "bands"), "texts")
 
     bands = texts.select("key", "n", F.explode("bands").alias("band"))
-    shared = staged(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1")
     members = staged(bands.join(shared, "band"), "members")
     popular = staged(members.groupBy("key").agg(F.sum("size").alias("meets")), "popular")
     ranked = members.join(popular, "key")
@@ -298,30 +316,35 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, length: int = 4,
     fits = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
     stars = members.join(centres, "band").filter((F.col("key") != F.col("centre")) & fits(F.col("n"), F.col("centre_n")))
     pairs = staged(stars.select(F.least("key", "centre").alias("lo"), F.greatest("key", "centre").alias("hi"), F.col("key").alias("a"), F.col("centre").alias("b")).dropDuplicates(["lo", "hi"]), "pairs")
-    kmers = staged(kmers_of(docs, texts.join(popular.select("key"), "key", "left_semi").select("key", "lead")), "kmers")
+    kmers = staged(kmers_of(docs, texts.join(popular.select("key"), "key", "left_semi").select("key", "k1", "k2", "lead", "rows")), "kmers")
     links = staged(verify(pairs.select("a", "b"), kmers, threshold), "verified")
     found = components(links, keys=())
 
     # What a star left apart: small buckets as pairs, a bounded number a text; large ones in cells.
-    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "size", "key", "n", F.coalesce("component", "key").alias("component"))
+    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "size", "total", "key", "n", F.coalesce("component", "key").alias("component"))
     placed = staged(placed, "placed")
-    split = staged(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band"), "split")
+    split = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
     left = staged(placed.join(split, "band"), "open")
     few = left.filter(F.col("size") <= small)
     right = few.select("band", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     across = few.join(right, "band").filter((F.col("component") < F.col("component_b")) & fits(F.col("n"), F.col("n_b")))
     across = across.select(F.least("key", "key_b").alias("lo"), F.greatest("key", "key_b").alias("hi")).distinct()
     rest = staged(across.join(pairs.select("lo", "hi"), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b")), "rest")
-    links = links.unionByName(verify(rest, kmers, threshold)).unionByName(verify_cells(left.filter(F.col("size") > small), kmers, threshold))
-    found = components(links, keys=()).withColumnRenamed("node", "key")
+    both = links.unionByName(verify(rest, kmers, threshold)).unionByName(verify_cells(left.filter(F.col("size") > small), kmers, threshold))
+    found = components(both, keys=()).withColumnRenamed("node", "key")
 
-    joined = staged(texts.select("key", "lead").join(found, "key", "left").select("key", "lead", F.coalesce("component", "key").alias("component")), "joined")
-    classes = staged(joined.groupBy("component").agg(F.min("lead").alias("class_id")), "classes")
-    return rows.select("doc_id", "key"), staged(joined.join(classes, "component").select("key", "lead", "class_id", "component"), "text-classes")
+    joined = staged(texts.select("key", "k1", "k2", "lead", "copies").join(found, "key", "left").withColumn("component", F.coalesce("component", "key")), "joined")
+    classes = joined.groupBy("component").agg(F.min("lead").alias("class_id"))
+    out = staged(hot_join(joined, classes, ["component"], hot_keys(joined, ["component"])).select("k1", "k2", "lead", "copies", "class_id", "component"), "text-classes")
+    discard(texts, members, popular, centres, pairs, kmers, links, placed, left, rest, joined)
+    return rows.select("doc_id", "k1", "k2"), out
 
 
 def classify(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, class_id, kept for every row of docs(doc_id, text)."""
-    rows, keys = near_duplicates(docs, **parameters)
-    out = rows.join(keys, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    rows, texts = near_duplicates(docs, **parameters)
+    classes = texts.select("k1", "k2", "class_id")
+    hot = texts.join(F.broadcast(texts.agg((F.sum("copies") / 1000).alias("least"))), F.col("copies") > F.col("least")).select("k1", "k2")  # under 1000
+    worded = hot_join(rows.filter("k1 IS NOT NULL"), classes, ["k1", "k2"], hot).select("doc_id", "class_id")
+    alone = rows.filter("k1 IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    return worded.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

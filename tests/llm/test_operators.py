@@ -251,6 +251,22 @@ def test_text_near_duplicates_cases(spark, docs, none):
     assert neardup_text.classify(none).count() == 0
 
 
+def test_one_row_repeated_beside_a_near_copy(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    other = " ".join(f"v{i}" for i in range(200))
+    rows = [(3, text)] * 10_000 + [(1, text + " end"), (2, other), (None, "two words")] + [(None, "")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in neardup_text.classify(docs).collect())
+    assert got == Counter({(3, 1, False): 10_000, (1, 1, True): 1, (2, 2, True): 1, (None, None, True): 3001})
+
+
+def test_sketches_of_long_texts_are_made_in_parts(monkeypatch):
+    x = neardup_text.labelled_kmers(neardup_text.word_hashes(" ".join(f"w{i % 700}" for i in range(5000))))
+    whole = neardup_text.sketches(x, 4, 18, 25, 8)
+    monkeypatch.setattr(neardup_text, "_AT_ONCE", 6000)
+    assert (neardup_text.sketches(x, 4, 18, 25, 8) == whole).all()
+
+
 def test_text_near_duplicates_equal_brute_force(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").collect()
     x = [neardup_text.labelled_kmers(neardup_text.word_hashes(r.text)) for r in rows]
