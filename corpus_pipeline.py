@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.llm import mixing, neardup_text, packing, quality, toxicity
@@ -29,14 +29,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Classes are told apart by their component, so texts that are unlike stay apart though their ids are null or equal.
     """
-    _, keys = neardup_text.near_duplicates(docs)
-    least = F.min(F.struct(F.col("lead").isNull(), F.col("lead").alias("id"), "key")).alias("least")
-    leads = keys.groupBy("component").agg(least).select(F.col("least.id").alias("_lead_id"), F.col("least.key").alias("_lead_key"))
+    _, texts = neardup_text.near_duplicates(docs)
+    least = F.min(F.struct(F.col("lead").isNull(), F.col("lead").alias("id"), "k1", "k2")).alias("least")
+    leads = texts.groupBy("component").agg(least).select(F.col("least.id").alias("_lead_id"), F.col("least.k1").alias("_lead_k1"), F.col("least.k2").alias("_lead_k2"))
     keyed = neardup_text.with_key(docs.select("doc_id", "lang", "source", "n_chars", "text"))
-    alone = keyed.filter("_key IS NULL")
-    same = (keyed["_key"] == leads["_lead_key"]) & keyed["doc_id"].eqNullSafe(leads["_lead_id"])
-    first = F.row_number().over(Window.partitionBy("_key", "doc_id").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
-    kept = keyed.join(leads, same, "left_semi").withColumn("_first", first).filter("_first = 1")
+    alone = keyed.filter("_k1 IS NULL")
+    same = (keyed["_k1"] == leads["_lead_k1"]) & (keyed["_k2"] == leads["_lead_k2"]) & keyed["doc_id"].eqNullSafe(leads["_lead_id"])
+    # Of the rows of a kept text and id one is taken; a partial aggregate finds it, so repeated rows do not meet in one task.
+    least = F.min(F.struct(*[F.struct(F.col(c).isNull(), F.col(c)).alias(c) for c in ("lang", "source", "n_chars", "text")])).alias("row")
+    kept = keyed.join(leads, same, "left_semi").groupBy("_k1", "_k2", "doc_id").agg(least)
+    kept = kept.select("doc_id", *[F.col(f"row.{c}.{c}").alias(c) for c in ("text", "lang", "source", "n_chars")])
     return alone.select(*COLUMNS).unionByName(kept.select(*COLUMNS))
 
 
