@@ -15,10 +15,14 @@ Lists are cut into cells of at most about `members` x `queries` vectors, so a
 list with a third of all vectors is many tasks.  A cell returns one row a linked
 vector (its links, and the least vector of its component in the cell), never
 pairs.  Recall is limited by the probes alone; see the tests for the measure.
+probes=None is exact: a list is probed unless its radius, or the plane between
+its centroid and the vector's own, puts all its members beyond the threshold.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components link with nothing; vectors of different dimensions do not link; a
-repeated row is another vector; an empty table gives an empty result.
+repeated row is another vector; a row without vec_id is no vector for others to
+link with, and has the links of its equals that have one (its component_id is
+theirs); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.spatial import components
+from ..operators.spatial import components, hot_join
 from .common import staged
 from .vectors import usable
 
@@ -77,12 +81,29 @@ class Codebook:
         parts = tuple(np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1])))
         return cls(coarse, parts, tuple(kmeans(residual[:, p], 256, 6, rng) for p in parts))
 
+    def home(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List of unit rows, and their distance to its centroid."""
+        lists = nearest(u.astype(np.float32), self.coarse)
+        return lists, np.linalg.norm(u - self.coarse[lists], axis=1)
+
+    def open_lists(self, u: np.ndarray, radii: np.ndarray, reach: float) -> list[np.ndarray]:
+        """For each unit row all lists that may hold a row within reach: neither the list's radius nor the plane between two centroids excludes it."""
+        lists, own = self.home(u)
+        c = self.coarse.astype(np.float64)
+        squares = np.maximum(0, (u * u).sum(axis=1)[:, None] - 2 * (u @ c.T) + (c * c).sum(axis=1))
+        apart = np.linalg.norm(c[lists][:, None] - c[None], axis=2)
+        may = (np.sqrt(squares) <= reach + radii + 1e-6) & (squares - (own * own)[:, None] <= 2 * reach * apart + 1e-6)
+        may[np.arange(len(u)), lists] = False
+        return [np.concatenate([[h], np.flatnonzero(m)]) for h, m in zip(lists, may, strict=True)]
+
     def encode(self, u: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """List, codes, coding error and probed lists (the own one first) of unit rows."""
         d = (self.coarse * self.coarse).sum(axis=1) - 2 * (u.astype(np.float32) @ self.coarse.T)
         p = min(probes, d.shape[1])
         near = np.argpartition(d, p - 1, axis=1)[:, :p]
         near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+        near[:, 0], swapped = nearest(u.astype(np.float32), self.coarse), near[:, 0].copy()
+        near[:, 1:][near[:, 1:] == near[:, :1]] = np.broadcast_to(swapped[:, None], near[:, 1:].shape)[near[:, 1:] == near[:, :1]]
         residual = u - self.coarse[near[:, 0]]
         codes = np.stack([nearest(residual[:, s].astype(np.float32), c) for s, c in zip(self.parts, self.codes, strict=True)], axis=1)
         left = residual - np.concatenate([c[codes[:, i]] for i, c in enumerate(self.codes)], axis=1)
@@ -120,7 +141,7 @@ def cell_links(book: Codebook, list_: int, q: dict, m: dict, threshold: float) -
     keep = [np.einsum("ij,ij->i", u[i[c : c + 65536]], w[j[c : c + 65536]]) >= threshold for c in range(0, len(i), 65536)]
     keep = np.concatenate(keep) if keep else np.zeros(0, bool)
     i, j = i[keep], j[keep]
-    back = ~(m["probes"][j] == q["list"][i][:, None]).any(axis=1)
+    back = ~m["met"](j, q["list"][i])
     reps = np.concatenate([q["rep"], m["rep"]])
     nodes, at = np.unique(reps, return_inverse=True)
     a, b = at[: len(q["rep"])][i], at[len(q["rep"]) :][j]
@@ -138,7 +159,32 @@ def cell_links(book: Codebook, list_: int, q: dict, m: dict, threshold: float) -
     return nodes[linked], links[linked].astype(np.int64), nodes[root[linked]]
 
 
-def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 16_384, probes: int = 12, most_lists: int = 8192, members: int = 256, queries: int = 512) -> DataFrame:
+def _met(probes: list[list[int]]):
+    """(rows, lists) -> whether each row probes the list beside it."""
+    sizes = np.array([len(p) for p in probes])
+    pairs = np.repeat(np.arange(len(probes)), sizes) << 32 | np.concatenate([np.array(p, np.int64) for p in probes])
+    pairs.sort()
+
+    def met(rows: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        wanted = rows.astype(np.int64) << 32 | lists
+        return pairs[np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)] == wanted
+
+    return met
+
+
+def _home_distances(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                lists, d = shared.value[int(dim)].home(_unit(_matrix(part.column("v"), part.num_rows)))
+                yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(lists, pa.int32()), pa.array(d)], names=["dim", "list", "d"])
+
+    return run
+
+
+def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 65_536, probes: int | None = 12, most_lists: int = 4096, members: int = 256, queries: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of rows(vec_id, embedding)."""
     spark = rows.sparkSession
     v = usable(F.col("embedding"))
@@ -156,6 +202,11 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 16
         x = _unit(np.array(some["v"].tolist(), np.float64)) if len(some) else np.eye(1, dim)
         books[dim] = Codebook.fit(x, min(most_lists, max(1, int(4 * np.sqrt(n)))))
     shared = spark.sparkContext.broadcast(books)  # bounded by most_lists
+    reach = float(np.sqrt(2 - 2 * threshold))
+    radii: dict[int, np.ndarray] = {}
+    if probes is None:
+        for r in reps.select("dim", "v").mapInArrow(_home_distances(shared), "dim int, list int, d double").groupBy("dim", "list").agg(F.max("d").alias("d")).collect():  # at most most_lists rows a dimension
+            radii.setdefault(r.dim, np.full(len(books[r.dim].coarse), -1.0))[r.list] = r.d
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +214,11 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 16
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 vectors = _matrix(part.column("v"), part.num_rows)
-                lists, codes, error, near = shared.value[int(dim)].encode(_unit(vectors), probes)
+                book, u = shared.value[int(dim)], _unit(vectors)
+                lists, codes, error, near = book.encode(u, probes or 1)
+                near = near.astype(np.int32).tolist() if probes else [x.tolist() for at in range(0, len(u), 256) for x in book.open_lists(u[at : at + 256], radii[int(dim)], reach)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), part.column("copies"), part.column("dim"), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), part.column("v")],
+                    [part.column("rep"), part.column("copies"), part.column("dim"), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(near, pa.list_(pa.int32())), part.column("v")],
                     names=[c.split()[0] for c in CODED.split(", ")],
                 )
 
@@ -200,7 +253,7 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 16
             t, n, m = take(~asking)
             m["codes"] = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(n, -1)
             m["error"] = t.column("error").to_numpy()
-            m["probes"] = np.array(t.column("probes").to_pylist(), np.int64)
+            m["met"] = _met(t.column("probes").to_pylist())
             out = cell_links(shared.value[dim], list_, q, m, threshold)
         return pa.table({"rep": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.int64())})
 
@@ -208,6 +261,9 @@ def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 16
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")), keys=()).withColumnRenamed("node", "rep")
     found = reps.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")
-    found = staged(found.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
-    out = names.join(found, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    found = staged(found.select("k1", "k2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
+    hot = found.join(F.broadcast(found.agg((F.sum("copies") / 1000).alias("least"))), F.col("copies") > F.col("least")).select("k1", "k2")  # under 1000
+    linked = hot_join(names.filter("k1 IS NOT NULL"), found.drop("copies"), ["k1", "k2"], hot)
+    none = names.filter("k1 IS NULL").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = linked.select("vec_id", "n_links", "component_id").unionByName(none).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

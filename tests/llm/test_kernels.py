@@ -137,6 +137,25 @@ def test_block_topk_equals_brute_force(seed):
         assert [(-v, w) for v, w in best] == list(zip(s[a == name], b[a == name], strict=True))
 
 
+def test_block_topk_from_a_known_score():
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(3000, 64)) * 60)
+    ids, q = np.arange(3000), x[:40]
+    a, b, s = topk.block_topk(ids[:40], q, ids, x, 5)
+    least = s.reshape(40, 5)[:, -1]
+    a2, b2, s2 = topk.block_topk(ids[:40], q, ids, x, 5, least)
+    assert (a == a2).all() and (b == b2).all() and (s == s2).all()
+    shares = topk.alive_shares(q, x, least.astype(float))
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.5
+    assert len(topk.block_topk(ids[:40], q, ids[100:], x[100:], 5, least + 10**9)[0]) == 0
+
+
+def test_block_topk_beyond_doubles():
+    x = np.array([[2.0**30, 1], [2.0**30, 2], [2.0**30, 3], [-(2.0**30), 5]])
+    a, b, s = topk.block_topk(np.arange(4)[:1], x[:1], np.arange(4), x, 3)
+    assert list(zip(b.tolist(), s.tolist(), strict=True)) == [(2, 2**60 + 3), (1, 2**60 + 2), (3, -(2**60) + 5)]
+
+
 def test_segment_bound_holds():
     rng = np.random.default_rng(2)
     q, x = rng.normal(size=(30, 10)), rng.normal(size=(40, 10))

@@ -223,6 +223,14 @@ def test_topk_cases(spark):
     assert topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_topk_of_many_rows_of_one_id(spark):
+    rows = [(50, [1.0, float(i)]) for i in range(300)] + [(i, [float(i % 7), 1.0]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_topk(df, block=32).collect()
+    best = sorted((-(65536 * (x[0] + 299 * x[1]) if i % 7 else 65536 * 299), i) for i, x in rows[300:])[:5]
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(k + 1, i, int(-v)) for k, (v, i) in enumerate(best)]
+
+
 def test_vector_near_duplicates_cases(spark):
     nan = float("nan")
     vectors = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.3]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [nan, 1.0]), (8, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [None, 1.0])]
@@ -233,16 +241,58 @@ def test_vector_near_duplicates_cases(spark):
     assert neardup_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_vector_near_duplicates_recall(spark):
+def linked(rows):
+    """n_links, component_id, kept of (vec_id, vector or None) by comparing all pairs."""
+    fine = [(i, np.array(v, np.float64)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    ids = [i for i, _ in fine]
+    u = np.array([v / np.linalg.norm(v) for _, v in fine])
+    near = u @ u.T >= 0.9
+    root = list(range(len(fine)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        root[find(i)] = find(j)
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(i, least.get(find(k), i))
+    out = {i: (0, i, True) for i, _ in rows}
+    return out | {i: (int(near[k].sum()) - 1, least[find(k)], least[find(k)] == i) for k, i in enumerate(ids)}
+
+
+def planted():
     rng = np.random.default_rng(4)
     base = rng.normal(size=(1200, 32))
     copies = base[rng.integers(0, 300, 600)] + rng.normal(size=(600, 32)) * rng.choice([0.1, 0.3, 0.45], (600, 1))
-    x = np.concatenate([base, copies]).astype(np.float32).astype(np.float64)
-    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    true = (u @ u.T >= 0.9).sum(axis=1) - 1
-    found = np.array([got[i].n_links for i in range(len(x))])
-    assert (found <= true).all() and found.sum() >= 0.95 * true.sum()
+    return [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, copies]).astype(np.float32).astype(np.float64))]
+
+
+def test_vector_near_duplicates_recall(spark):
+    rows = planted()
+    got = {r.vec_id: r.n_links for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    true = {i: v[0] for i, v in linked(rows).items()}
+    assert all(got[i] <= true[i] for i in true) and sum(got.values()) >= 0.95 * sum(true.values())
+
+
+def test_vector_near_duplicates_exact_probes(spark):
+    rows = planted()
+    got = neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probes=None).collect()
+    assert {r.vec_id: tuple(r)[1:] for r in got} == linked(rows)
+
+
+def test_vector_near_duplicates_of_the_table(spark, data):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    got = {r.vec_id: tuple(r)[1:] for r in queries.op9_vector_neardup(spark, data).collect()}
+    assert got == linked(rows)
+
+
+def test_vector_near_duplicates_without_ids(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.1]), (None, [0.0, 1.0]), *[(7, [0.5, 0.5])] * 500]
+    got = Counter(tuple(r) for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter({(None, 1, 4, True): 2, (4, 1, 4, True): 1, (5, 1, 4, False): 1, (None, 0, None, True): 1, (7, 499, 7, True): 500})
 
 
 def test_text_near_duplicates_cases(spark, docs, none):
