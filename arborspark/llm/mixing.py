@@ -16,8 +16,10 @@ cut document.
 
 Only DataFrame functions are used.  A window never holds more than one shard
 of one source (about `rows_per_shard` rows of the table), so a source with a
-third of all rows is dealt over as many tasks as its size asks for; only the cut
-documents of a source, two a shard at most, meet in one window, without texts.
+third of all rows is dealt over as many tasks as its size asks for.  Seats reach
+the shards of a source in levels of at most `fan` parties each.  Only small rows
+meet in one window: one a source, and the cut documents of a source, two a shard
+at most, without texts.
 
 Defined cases: a null text has size 0 and is never taken; null sources form
 one source, sorted last; repeated rows are separate documents; an empty table
@@ -96,7 +98,7 @@ def mix(
     block_tokens: int = 64,
     seed: str = "mix-1",
     rows_per_shard: int = 250,
-    most_shards: int = 20_000,
+    fan: int = 20_000,
     whole: bool = True,
 ) -> DataFrame:
     """One row per document: doc (the carried columns), size, source_size, target, taken, copies.
@@ -105,7 +107,7 @@ def mix(
     document cut by the edge of the run counts as the source's draw falls); it is
     left out, with the work it takes, unless `whole`.
     """
-    shards = max(1, min(most_shards, -(-docs.count() // rows_per_shard)))
+    shards = max(1, -(-docs.count() // rows_per_shard))
     h = F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     key = ["src_null", "src", "shard"]
     rows = docs.select(
@@ -122,7 +124,18 @@ def mix(
     sources = fair_targets(sizes.groupBy("src_null", "src").agg(F.sum("shard_size").alias("source_size")), weights, cap)
     sources = sources.withColumn("seats", F.floor(F.sum("source_size").over(Window.partitionBy()) / block_tokens).cast("long"))
     sources = sainte_lague(sources, [], ["src_null", "src"], "target", "seats").select("src_null", "src", "source_size", "target", F.col("quota").alias("source_quota"))
-    quotas = sainte_lague(sizes.join(sources, ["src_null", "src"]), ["src_null", "src"], ["shard"], "shard_size", "source_quota")
+    width = 1  # shards under one party of the level
+    while width * fan < shards:
+        width *= fan
+    above, seats = ["src_null", "src"], sources.select("src_null", "src", F.col("source_quota").alias("seats"))
+    while width > 1:
+        group = F.floor(F.col("shard") / width).alias("group")
+        parties = sizes.groupBy("src_null", "src", group).agg(F.sum("shard_size").alias("size"))
+        parties = parties.withColumn("above", F.floor(F.col("group") / fan)) if "above" in above else parties
+        seats = sainte_lague(parties.join(seats, above), above, ["group"], "size", "seats").select("src_null", "src", F.col("group").alias("above"), F.col("quota").alias("seats"))
+        above, width = ["src_null", "src", "above"], width // fan
+    parties = sizes.withColumn("above", F.floor(F.col("shard") / fan)) if "above" in above else sizes
+    quotas = sainte_lague(parties.join(seats, above), above, ["shard"], "shard_size", "seats")
 
     blocks = F.ceil(F.col("shard_size") / block_tokens).cast("long")
     passes = F.least(F.lit(cap), F.floor(F.col("words") / F.col("shard_size"))).cast("long")

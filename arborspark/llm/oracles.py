@@ -8,7 +8,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS h
   FROM documents),
-k AS (SELECT greatest(1, least(20000, (count(*) + 249) // 250)) AS shards FROM d),
+k AS (SELECT greatest(1, (count(*) + 249) // 250) AS shards FROM d),
 r AS (
   SELECT doc_id, source IS NULL AS src_null, coalesce(source, '') AS src, size,
          ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard, ('0x' || substr(h, 9, 15))::BIGINT AS pos

@@ -6,8 +6,8 @@
 3. A lasso logistic regression over the rules keeps few of them.
 4. The kept rules are compiled into one Spark column expression, the score.
 
-Models are fitted on at most `sample` labelled rows (a documented bound, picked
-by hash of doc_id); scoring covers every row and shuffles nothing.
+Models are fitted on about `sample` labelled ids, and twice as many rows at most
+(a documented bound, picked by hash); scoring covers every row and shuffles nothing.
 
 Defined cases: a null text counts as empty; empty texts have all-zero statistics
 and get the score of such a text; without labels of both kinds the score is the
@@ -63,11 +63,23 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, lis
     return docs.select(*[c for c in docs.columns if c != text], *[c.alias(f"stat_{k}") for k, c in s.items()]), [f"stat_{k}" for k in s]
 
 
+_SHARES = 1 << 20
+
+
 def sampled_labels(labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """doc_id, label of about `sample` learnable rows, chosen by hash of doc_id; never over twice as many, even where one id is repeated."""
-    rows = labels.filter(~held_out("doc_id") & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("double").alias("label"))
+    """doc_id, label of about `sample` learnable ids, chosen by hash; an id with several labels has the highest."""
+    rows = labels.filter(~held_out("doc_id") & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
     share = min(1.0, sample / max(1, rows.count()))
-    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample)
+    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)) < int(share * _SHARES))
+
+
+def learnable(docs: DataFrame, chosen: DataFrame, sample: int, name: str) -> DataFrame:
+    """Staged label and columns of docs(doc_id, hash, columns...) that chosen labels cover: equal rows once, about 2 * sample at most, though ids repeat."""
+    columns = [c for c in docs.columns if c not in ("doc_id", "hash")]
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "hash", "label").agg(*[F.first(c).alias(c) for c in columns])
+    rows = staged(rows, name)
+    share = min(1.0, 2 * sample / max(1, rows.count()))
+    return rows.filter(F.pmod(F.xxhash64("doc_id", "hash"), F.lit(_SHARES)) < int(share * _SHARES)).select("label", *columns)
 
 
 def tree_paths(debug: str) -> list[Rule]:
@@ -129,8 +141,8 @@ def rule_score(intercept: float, rules: Sequence[tuple[Rule, float]], names: Seq
 def score_quality(docs: DataFrame, labels: DataFrame, *, carry: Sequence[str] = ("doc_id",), threshold: float = 0.3, sample: int = 20_000) -> DataFrame:
     """doc (the carried columns), held_out, score, predicted for every row of docs(doc_id, text)."""
     chosen = sampled_labels(labels, "quality", sample)
-    learn, names = with_statistics(docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id"))
-    learn = staged(learn.select("label", *names), "quality-sample").coalesce(6)
+    stats, names = with_statistics(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+    learn = learnable(stats, chosen, sample, "quality-sample").coalesce(6)
     intercept, rules = fit_rules(learn, names)
     rows, names = with_statistics(docs.select(F.struct(*carry).alias("doc"), held_out("doc_id").alias("held_out"), F.col("text").alias("text")))
     score = rule_score(intercept, rules, names)

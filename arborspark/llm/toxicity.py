@@ -15,7 +15,7 @@
    word as directed abuse.
 4. A logistic model over the evidence of a document gives its score.
 
-Fitted on at most `sample` labelled rows (picked by hash of doc_id); scoring
+Fitted on about `sample` labelled ids (picked by hash), twice as many rows at most; scoring
 reads every whole text in place and shuffles nothing.
 
 Defined cases: null and empty texts have no evidence and get the lowest score;
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, held_out, staged
-from .quality import sampled_labels
+from .quality import learnable, sampled_labels
 
 _EDGE = " \t\n\r.,;:!?\"'()[]{}<>«»“”„‚‘’‹›…*#$%&/\\|-–—_=+~^`"
 #: Words as `learn_lexicon` cuts them.
@@ -194,17 +194,22 @@ def evidence(text: str, lexicon: Lexicon, memo: dict[str, int], window: int = 8)
     return math.log1p(abuse), math.log1p(quotation), math.log1p(directed), math.log1p(100 * abuse / len(chunks))
 
 
-def learn_lexicon(rows: DataFrame, *, terms: int = 2000, shortest: int = 3, margin: float = 3.0) -> Lexicon:
-    """The lexicon of staged rows(label, text).  Words and stems pass a likelihood-ratio test against the number of candidates."""
+def learn_lexicon(rows: DataFrame, *, terms: int = 2000, shortest: int = 3, margin: float = 3.0, stem_sizes: Sequence[int] = (4, 5, 6, 7), most_exceptions: int = 100_000) -> Lexicon:
+    """The lexicon of rows(label, text).
+
+    Words and stems pass a likelihood-ratio test against the number of
+    candidates; the `terms` of highest ratio stay, and of the clean words near
+    them the `most_exceptions` of most documents.
+    """
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if toxic < 1 or toxic == n:
         return Lexicon()
     base = toxic / n
     bag = rows.select("label", F.monotonically_increasing_id().alias("doc"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("words"))
-    each = bag.select("label", "doc", F.explode("words").alias("word")).filter(F.length("word").between(shortest, 40))
+    each = bag.select("label", "doc", F.explode("words").alias("word")).filter(F.length("word") >= shortest)
     words = staged(each.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")), "toxicity-words")
 
-    sizes = F.array(*map(F.lit, range(4, 8)))
+    sizes = F.array(*map(F.lit, stem_sizes))
     cut = lambda: F.explode(F.transform(F.filter(sizes, lambda k: k < F.length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("stem")
     in_toxic = each.filter("label = 1").select("doc", "word", cut()).groupBy("stem", "doc").agg(F.first("word").alias("word"))
     in_toxic = in_toxic.groupBy("stem").agg(F.count("*").cast("double").alias("toxic"), F.count_distinct("word").alias("forms"))
@@ -219,7 +224,7 @@ def learn_lexicon(rows: DataFrame, *, terms: int = 2000, shortest: int = 3, marg
     rows = found.filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), "term").limit(terms).collect()
     stems_, words_ = set(), set()
     for r in sorted((r for r in rows if r.is_stem and r.p >= 0.95), key=lambda r: (len(r.term), r.term)):
-        if not any(r.term[:k] in stems_ for k in range(4, len(r.term))):
+        if not any(r.term[:k] in stems_ for k in stem_sizes if k < len(r.term)):
             stems_.add(r.term)
     for r in rows:
         if not r.is_stem:
@@ -231,8 +236,9 @@ def learn_lexicon(rows: DataFrame, *, terms: int = 2000, shortest: int = 3, marg
             near = [w for w in b.column(0).to_pylist() if lexicon.hit(w) == "near"]
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["word"])
 
-    known = words.filter(F.col("clean") > F.col("toxic")).select("word").mapInArrow(clean_neighbours, "word string")
-    return Lexicon(lexicon.words, lexicon.stems, frozenset(r.word for r in known.limit(100_000).collect()))
+    known = words.filter(F.col("clean") > F.col("toxic")).select("word").mapInArrow(clean_neighbours, "word string").join(words, "word")
+    known = known.orderBy(F.desc("clean"), "word").limit(most_exceptions).collect()
+    return Lexicon(lexicon.words, lexicon.stems, frozenset(r.word for r in known))
 
 
 def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 250_000) -> DataFrame:
@@ -275,7 +281,7 @@ def fit_evidence(rows: DataFrame) -> tuple[float, tuple[float, ...]]:
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, carry: Sequence[str] = ("doc_id",), threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
     """doc (the carried columns), held_out, score, predicted for every row of docs(doc_id, text)."""
     chosen = sampled_labels(labels, "toxic", sample)
-    learn = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")), "toxicity-sample")
+    learn = learnable(docs.select("doc_id", F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).alias("text")), chosen, sample, "toxicity-sample")
     lexicon = learn_lexicon(learn)
     intercept, weights = fit_evidence(staged(with_evidence(learn, lexicon), "toxicity-evidence").coalesce(6))
     total = F.lit(intercept)

@@ -4,10 +4,12 @@ The pages that a rule judges are the labelled outcomes (block = bad).  A host's
 bad rate is shrunk through beta-binomial priors: all pages -> public suffix ->
 registered domain -> host, with the prior strength of each level estimated from
 the spread of its members (method of moments).  A host is blocked when the lower
-posterior bound of its bad rate passes `threshold`.
+posterior bound of its bad rate passes `threshold`; the bound is the normal
+approximation of the beta posterior, mean - z deviations.
 
-Only DataFrame functions are used.  Counts are aggregated per host before any
-shuffle of pages, so one host with a third of all pages costs one row there.
+Only DataFrame functions are used.  Counts are aggregated per host and written
+once; pages then meet their verdicts, hosts with many of them by broadcast, so
+one host with a third of all pages is never one task.
 
 Defined cases: a null url or one without :// has empty host and path, fits no
 rule, and is judged by the overall prior; a table without outcomes allows what
@@ -21,6 +23,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spatial import hot_join
+from .common import staged
+
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 
@@ -46,14 +51,16 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return found
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, long_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """The public suffix: one label, or two where `long_suffixes` lists them; an address is its own."""
     name = F.regexp_replace(host, r":\d*$", "")
     two, one = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
-    return F.when(name.rlike(r"^\d+(\.\d+){3}$"), name).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(one)
+    return F.when(name.rlike(r"^\d+(\.\d+){3}$"), name).when(two.isin(*long_suffixes), two).otherwise(one)
 
 
-def domain_of(host: Column) -> Column:
-    name, suffix = F.regexp_replace(host, r":\d*$", ""), suffix_of(host)
+def domain_of(host: Column, long_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """The registered domain: one label more than the suffix."""
+    name, suffix = F.regexp_replace(host, r":\d*$", ""), suffix_of(host, long_suffixes)
     labels = F.size(F.split(suffix, r"\.")) + 1
     return F.when(name == suffix, name).when(labels == 2, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -3))
 
@@ -68,12 +75,12 @@ def _strength(parent_mean: Column) -> Column:
     return F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.coalesce(F.try_divide(1 - rho, F.when(rho > 0, rho)), F.lit(1000.0))))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645, threshold: float = 0.5, long_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """hosts(host) -> host, bad_rate, lower, blocked, from outcomes(host, n, bad), one row per host in each.
 
     The four scalars of the priors are read by the driver; everything else is joined.
     """
-    o = outcomes.filter("n > 0").select("host", "n", "bad").withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    o = outcomes.filter("n > 0").select("host", "n", "bad").withColumn("domain", domain_of(F.col("host"), long_suffixes)).withColumn("suffix", suffix_of(F.col("host"), long_suffixes))
     m0 = o.agg((F.sum("bad") / F.sum("n")).alias("m")).first().m
     m0 = 0.0 if m0 is None else m0
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
@@ -92,8 +99,8 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645,
     mean = a / (a + b)
     lower = mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))
     return (
-        hosts.withColumn("domain", domain_of(F.col("host")))
-        .withColumn("suffix", suffix_of(F.col("host")))
+        hosts.withColumn("domain", domain_of(F.col("host"), long_suffixes))
+        .withColumn("suffix", suffix_of(F.col("host"), long_suffixes))
         .join(o.select("host", "n", "bad"), "host", "left")
         .join(domains, "domain", "left")
         .join(suffixes, "suffix", "left")
@@ -102,14 +109,14 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645,
     )
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], *, z: float = 1.645, threshold: float = 0.5, long_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages(page_id, url)."""
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     p = p.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    per_host = p.groupBy("host").agg(
-        F.count("fit").alias("n"),
-        F.sum((F.col("fit.verdict") == "block").cast("long")).alias("bad"),
-    ).withColumn("bad", F.coalesce("bad", F.lit(0)))
-    verdicts = host_reputation(per_host, per_host.select("host"), z=z, threshold=threshold).select("host", "blocked")
+    bad = F.coalesce(F.sum((F.col("fit.verdict") == "block").cast("long")), F.lit(0))
+    per_host = staged(p.groupBy("host").agg(F.count("*").alias("pages"), F.count("fit").alias("n"), bad.alias("bad")), "hosts")
+    verdicts = host_reputation(per_host, per_host.select("host"), z=z, threshold=threshold, long_suffixes=long_suffixes).select("host", "blocked")
+    least = F.broadcast(per_host.agg((F.sum("pages") / 1000).alias("least")))
+    hot = per_host.join(least, F.col("pages") > F.col("least")).select("host")  # under 1000
     method = F.when(F.col("blocked"), "block").otherwise("allow")
-    return p.join(verdicts, "host", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"))
+    return hot_join(p, verdicts, ["host"], hot).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"))

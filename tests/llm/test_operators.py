@@ -156,6 +156,15 @@ def test_tree_paths_read_the_public_form():
     assert quality.tree_paths(debug) == [(("2", True, 0.5),), (("0", True, 1.0), ("2", True, 0.5)), (("0", False, 1.0), ("2", True, 0.5)), (("2", False, 0.5),)]
 
 
+def test_learnable_rows_are_bounded_though_ids_repeat(spark):
+    _, labels = labelled(spark)
+    docs = spark.range(30_000).select((F.col("id") % 20).alias("doc_id"), F.xxhash64("id").alias("hash"), F.col("id").cast("string").alias("text"))
+    chosen = quality.sampled_labels(labels.unionByName(labels), "quality", 1000)
+    assert chosen.count() == chosen.select("doc_id").distinct().count()
+    rows = quality.learnable(docs.unionByName(docs), chosen, 500, "test").collect()
+    assert 800 <= len(rows) <= 1200 and len({r.text for r in rows}) == len(rows)
+
+
 def test_toxicity_learns_and_covers_odd_texts(spark, docs, none):
     train, labels = labelled(spark)
     odd = docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")
@@ -181,6 +190,10 @@ def test_mixing_cases(spark, docs, none):
     assert all(v <= 3 * k[0] + 1e-6 for k, v in target.items())
     again = mixing.mix(docs.repartition(3), ["doc_id", "size"], block_tokens=1, rows_per_shard=2).collect()
     assert Counter(rows) == Counter(again)
+    deep = mixing.mix(docs, ["doc_id", "size"], block_tokens=1, rows_per_shard=1, fan=2).collect()
+    assert sum(r.taken for r in deep) == total and all(0 <= r.taken <= 3 * r.size for r in deep)
+    blank = docs.withColumn("text", F.lit(None).cast("string"))
+    assert [(r.size, r.taken, r.target) for r in mixing.mix(blank, ["doc_id"]).collect()] == [(0, 0, 0.0)] * docs.count()
     assert mixing.mix(none, ["doc_id"]).count() == 0
 
 
