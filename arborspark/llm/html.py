@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags.  Elements that never hold main
 text (menus, forms, scripts, page headers and footers, sidebars, adverts,
-notices, reader comments), by tag, role or class name, make their blocks bad.
-Pass 1 classifies the rest: long blocks rich in stop words are good, blocks
+notices, reader comments), by tag, role or class name, are left out.
+Pass 1 classifies the blocks: long blocks rich in stop words are good, blocks
 dense in links bad, and short or unclear blocks stay open.  Pass 2 gives an open
 block the label of its nearest decided neighbours.  A marked article is evidence:
 if it holds at least as much running text as the rest of the page (else the marks
@@ -44,9 +44,11 @@ DROPPED = frozenset("applet aside audio button canvas datalist dialog embed fiel
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset(
-    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
-    "legend li main menu nav noscript ol option p pre script section select style summary table tbody td template textarea tfoot th thead title tr ul".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Roots of foreign content, where "/>" closes an element.
+FOREIGN = ("svg", "math")
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -57,6 +59,9 @@ DROPPED_NAMES = frozenset(
     "pagination paywall popup promo promotion recommended related replies reply respond search share sharebar sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription "
     "tagcloud toolbar topbar widget widgets".split()
 )
+#: Class names of elements with main text, and words that end the name of a layout or a setting.
+CONTENT_NAMES = frozenset("article content entry main post story".split())
+SETTINGS = frozenset("active disabled enabled layout off on".split())
 ARTICLE_NAMES = frozenset(("article-body", "article-content", "article-text", "articlebody", "entry-content", "main-content", "post-body", "post-content", "story-body"))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
@@ -67,18 +72,53 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s>=/]|$)", re.I)
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "dropped", "main", "heading")
+    __slots__ = ("parts", "linked", "main", "heading")
 
-    def __init__(self, dropped: bool, main: bool, heading: bool):
+    def __init__(self, main: bool, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.dropped, self.main, self.heading = 0, dropped, main, heading
+        self.linked, self.main, self.heading = 0, main, heading
 
 
-def _named(names: str) -> bool:
-    """Whether a class name, id or role marks something other than main text."""
-    for name in names.split():
+class _Scope:
+    """An open block element: name, whether its text is left out, whether it is in a marked article, and its open inline elements."""
+
+    __slots__ = ("name", "drop", "main", "inline", "count")
+
+    def __init__(self, name: str, drop: bool, main: bool):
+        self.name, self.drop, self.main = name, drop, main
+        self.inline: list[tuple[str, bool]] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, name: str, drop: bool) -> None:
+        self.inline.append((name, self.drop))
+        self.count[name] = self.count.get(name, 0) + 1
+        self.drop = self.drop or drop
+
+    def close(self, name: str) -> None:
+        if self.count.get(name):
+            while True:
+                last, self.drop = self.inline.pop()
+                self.count[last] -= 1
+                if last == name:
+                    return
+
+
+def _named(names: str, tag: str = "div") -> bool:
+    """Whether a class name, id or role marks something other than main text.
+
+    A name of one word always does; one of several by its first or last word,
+    but not on an article or beside a name of main text, and not as a setting.
+    """
+    found = names.split()
+    whole = tag == "article" or any(n.lower() in CONTENT_NAMES for n in found)
+    for name in found:
         words = [w.lower() for w in _NAME_WORDS.findall(name)]
-        if words and not {"with", "has", "no", "without"} & set(words) and (words[0] in DROPPED_NAMES or words[-1] in DROPPED_NAMES):
+        if not words or {"with", "has", "no", "without"} & set(words):
+            continue
+        if len(words) == 1:
+            if words[0] in DROPPED_NAMES:
+                return True
+        elif not whole and words[-1] not in SETTINGS and (words[0] in DROPPED_NAMES or words[-1] in DROPPED_NAMES):
             return True
     return False
 
@@ -113,11 +153,12 @@ class _Tags:
         return page.find(">", at) + 1 or len(page)
 
 
-def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, share of it in links, dropped, inside a marked article, heading) of each block that has text."""
+def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
+    """(text, share of it in links, inside a marked article, heading) of each block with text that is not left out."""
     done: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, dropped, inside an article
-    now = _Block(False, False, False)
+    scopes = [_Scope("", False, False)]
+    opened: dict[str, int] = {}  # block elements in scopes, by name
+    now = _Block(False, False)
     links = breaks = at = 0
     tags = _Tags(page)
 
@@ -125,12 +166,11 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         nonlocal now
         if now.parts:
             done.append(now)
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        now = _Block(dropped, main, heading)
+        now = _Block(scopes[-1].main, heading)
 
     def add(text: str) -> None:
         nonlocal breaks
-        if text:
+        if text and not scopes[-1].drop:
             text = charrefs.unescape(text) if "&" in text else text
             now.parts.append(text)
             if links:
@@ -138,6 +178,9 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if not text.isspace():
                 breaks = 0
 
+    def pop() -> None:
+        opened[scopes.pop().name] -= 1
+
     while at < len(page):
         tag = _TAG.search(page, at)
         if not tag:
@@ -158,37 +201,42 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if name == "a":
             links = 0 if closing else 1
         if closing:
-            if name in BLOCK or name in DROPPED or any(s[0] == name for s in stack):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                cut()
+            if name not in BLOCK:
+                scopes[-1].close(name)
+                continue
+            while opened.get(name):
+                last = scopes[-1].name
+                pop()
+                if last == name:
+                    break
+            cut()
             continue
         if name in VOID:
             if name == "hr":
                 cut()
             continue
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        drop = name in DROPPED
+        scope = scopes[-1]
+        drop, main = name in DROPPED, scope.main
         if "=" in rest or "hidden" in rest:
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
             names = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
             if name not in ("html", "body", "main"):
-                drop = drop or _named(names) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)))
+                drop = drop or _named(names, name) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)))
                 drop = drop or "display:none" in attributes.get("style", "").replace(" ", "").lower()
             main = main or attributes.get("itemprop") == "articleBody" or attributes.get("role") in ("main", "article") or any(n.lower() in ARTICLE_NAMES for n in names.split())
         if name == "header" and not main:
             drop = True
         main = main or name in ("article", "main")
-        if name in BLOCK or drop:
-            if name in ("p", *HEADINGS) and stack and stack[-1][0] == "p":
-                stack.pop()
-                dropped = stack[-1][1] if stack else False
-            if name == "li" and stack and stack[-1][0] in ("li", "p"):
-                stack.pop()
-            stack.append((name, dropped or drop, main))
+        if name in BLOCK:
+            if name in ("p", *HEADINGS) and scope.name == "p":
+                pop()
+            if name == "li" and scope.name in ("li", "p"):
+                pop()
+            scopes.append(_Scope(name, drop or scopes[-1].drop, main))
+            opened[name] = opened.get(name, 0) + 1
             cut(name in HEADINGS)
+        elif not (rest.endswith("/>") and (name in FOREIGN or any(scope.count.get(f) for f in FOREIGN))):
+            scope.push(name, drop)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])|\Z", re.I).search(page, at)
             at = end.start()
@@ -198,20 +246,20 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     for b in done:
         text = " ".join("".join(b.parts).split())
         if text:
-            out.append((text, min(1.0, b.linked / len(text)), b.dropped, b.main, b.heading))
+            out.append((text, min(1.0, b.linked / len(text)), b.main, b.heading))
     return out
 
 
-def classify(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
+def classify(blocks: list[tuple[str, float, bool, bool]]) -> list[bool]:
     """Whether each block is main text: pass 1 decides what it can, pass 2 settles the open blocks."""
     labels: list[bool | None] = []
     leaning: list[bool] = []
     shares: list[float] = []
     running = [0, 0]  # characters of running text outside and inside a marked article
-    for text, link, dropped, main, heading in blocks:
+    for text, link, main, heading in blocks:
         words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
         stops = sum(w in STOP_WORDS for w in words) / len(words)
-        if dropped or link > 0.5 or (link > 0.25 and len(text) < 140):
+        if link > 0.5 or (link > 0.25 and len(text) < 140):
             label = False
         elif heading or len(text) < 70:
             label = None
@@ -224,13 +272,13 @@ def classify(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
         shares.append(stops)
         if label is not False and not heading and leaning[-1]:
             running[main] += len(text)
-    inside = [i for i, b in enumerate(blocks) if b[3] and not b[2]]
+    inside = [i for i, b in enumerate(blocks) if b[2]]
     if not inside or running[1] < running[0]:
-        return _settle(labels, leaning, [b[3] for b in blocks])
+        return _settle(labels, leaning, [b[2] for b in blocks])
 
     linked = [False] * len(blocks)
     for i in inside:
-        text, link, _, _, heading = blocks[i]
+        text, link, _, heading = blocks[i]
         if labels[i] is False:
             linked[i] = link > 0.66 and len(text) < 140
             labels[i] = None if shares[i] >= 0.1 or not linked[i] else False
@@ -242,7 +290,7 @@ def classify(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
     out = [False] * len(blocks)
     for i, good in zip(inside, _settle(part, [leaning[i] for i in inside], [linked[i] for i in inside]), strict=True):
         out[i] = good
-    rest = [i for i, b in enumerate(blocks) if b[2] or not b[3]]
+    rest = [i for i, b in enumerate(blocks) if not b[2]]
     if any(labels[i] for i in rest):
         for i, good in zip(rest, _settle([labels[i] for i in rest], [leaning[i] for i in rest]), strict=True):
             out[i] = good

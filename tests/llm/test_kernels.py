@@ -2,12 +2,15 @@
 
 import itertools
 import random
+import re
 import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -284,6 +287,92 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("a<span class='ad'>Buy <span>now</span> cheap stuff</span> b", "a b"),
+        ("before <svg class='icon'/> after.", "before after."),
+        ("before <svg><path d='x'/><g><path d=y></g></svg><button>Go</button><script>x</script> after.", "before after."),
+        ("one <b>two <i>three</b> four</i> five", "one two three four five"),
+        ("x <math><mi>y</mi><mspace/></math> z", "x y z"),
+    ],
+)
+def test_inline_elements_do_not_cut(inner, text):
+    assert html.main_text(f"<article><p>{inner}</p></article>") == text
+
+
+@pytest.mark.parametrize(
+    ("tag", "kept"),
+    [
+        ("<div class='content sidebar-right'>", True), ("<article class='post related-posts-enabled'>", True), ("<div class='sidebar-right'>", False), ("<div class='post comments'>", False),
+        ("<div class='page-with-sidebar'>", True), ("<div class='menu-on'>", True), ("<div id=commentList>", False), ("<div role=navigation>", False), ("<div class=related-posts>", False),
+    ],
+)
+def test_class_names(tag, kept):
+    assert html.main_text(f"{tag}<p>{STOPS}{STOPS}</p></div></article>") == (f"{STOPS}{STOPS}".strip() if kept else "")
+
+
+def test_nesting_of_any_depth_takes_linear_time():
+    def took(unit, n):
+        begin = time.process_time()
+        html.main_text(unit * n)
+        return time.process_time() - begin
+
+    for unit in ("<dd><b>w</b>", "<div><span>w</div>", "<i><p><b>w</i>", "<b>w</x>"):
+        took(unit, 1000)
+        assert took(unit, 40_000) < 25 * max(0.05, took(unit, 5000))  # squares would be 64 times
+
+
+class Marked(HTMLParser):
+    """A slow plain reading of the generated pages: the text of <article> by block elements."""
+
+    SKIPPED = {"nav", "footer", "aside", "form", "script", "style", "title", "head", "button", "noscript"}
+    BLOCKS = {"p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "article", "section", "table", "tr", "td", "th", "blockquote", "pre", *SKIPPED}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "img", "hr", "meta", "link", "input"):
+            self.blocks[-1] += " "
+            return
+        names = set(" ".join(v or "" for k, v in attrs if k in ("class", "id")).split())
+        self.open.append((tag, tag in self.SKIPPED or bool(names & {"ad", "sidebar", "comments", "comment", "notice", "menu", "share", "related", "cookie", "banner"})))
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+            pass
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(skip for _, skip in self.open):
+            self.blocks[-1] += data
+
+
+def pages_of(folder):
+    return [r["html"] or "" for r in pq.read_table(f"{folder}/pages.parquet", columns=["html"]).to_pylist()]
+
+
+def test_the_passes_alone_find_the_marked_text():
+    """With the marks withheld, stop words, length and link density give the same text on the whole table."""
+    pages = pages_of("/root/testdata/sf0.01")
+    plain = [re.sub(r"<(/?)(?:article|main)(?=[\s>])", r"<\1div", page) for page in pages]
+    assert sum(html.main_text(a) == html.main_text(b) for a, b in zip(pages, plain, strict=True)) >= 0.95 * len(pages)
+
+
+def test_another_parser_agrees_on_the_table():
+    for page in pages_of("/root/testdata/sf0.01"):
+        other = Marked()
+        other.feed(page)
+        other.close()
+        text = "\n".join(t for t in (" ".join(b.split()) for b in other.blocks) if t)
+        assert html.main_text(page) == text
+
+
 LONGER = 2 * STOPS
 TEASER = "<article><h3><a href=x>Other news of the day</a></h3><p>Few words of it.</p></article>"
 
