@@ -15,7 +15,7 @@ __all__ = ["WORD", "bounded_batches", "discard", "held_out", "new_path", "shared
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bound the bytes of an Arrow batch, so that long texts do not fill a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("bB")) > mb << 20:

@@ -33,7 +33,7 @@ _PIECES = {
 #: The printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 bytes are themselves, the others follow from 256 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _AS_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
-_BLOCK, _SLICE = 1 << 20, 8 << 20
+_BLOCK, _SLICE = 1 << 19, 4 << 20
 
 
 class Encoder:
@@ -44,7 +44,7 @@ class Encoder:
     generation becomes the old one, from which pieces in use are taken over.
     """
 
-    def __init__(self, path: str, kind: str, memo: int = 300_000):
+    def __init__(self, path: str, kind: str, memo: int = 150_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,6 +95,7 @@ class Encoder:
             stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + _SLICE, "right")))
             parts.append(self._encode(pc.fill_null(texts[at:stop], ""), end_id))
             at = stop
+            pa.default_memory_pool().release_unused()
         return np.concatenate([n for n, _ in parts]), np.concatenate([ids for _, ids in parts])
 
     def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
