@@ -20,7 +20,3 @@ def clock(seconds: Column) -> Column:
     """HH:MM:SS of a duration below a day."""
     s = F.floor(seconds).cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60)
-
-
-def isclose(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)

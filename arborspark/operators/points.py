@@ -23,9 +23,9 @@ def height_normalise(points: DataFrame) -> DataFrame:
 
 def vegetation(points: DataFrame, min_z: float = 2.0) -> DataFrame:
     """Vegetation returns of normalised points; scenes without any keep all points of at least min_z."""
-    has = F.max(F.col("cls").isin(*VEGETATION).cast("int")).over(Window.partitionBy("scene_id"))
-    kept = F.when(F.col("_has") == 1, F.col("cls").isin(*VEGETATION)).otherwise(F.col("z") >= min_z)
-    return points.withColumn("_has", has).filter(kept).drop("_has")
+    has = points.groupBy("scene_id").agg(F.max(F.col("cls").isin(*VEGETATION)).alias("_has"))
+    kept = F.when(F.col("_has"), F.col("cls").isin(*VEGETATION)).otherwise(F.col("z") >= min_z)
+    return points.join(has, "scene_id").filter(kept).drop("_has")
 
 
 def min_height(points: DataFrame, h: float) -> DataFrame:
@@ -81,10 +81,17 @@ def polygon_crop(points: DataFrame, polygon: Sequence[tuple[float, float]]) -> D
     return points.filter(box & (crossings % 2 == 1))
 
 
+def nearest_vertex(x: Column, y: Column, polygon: Sequence[tuple[float, float]], tolerance: float) -> Column:
+    """Number of the polygon's vertex nearest to (x, y), the first of equals; null if it is not nearer than tolerance."""
+    at = [F.struct(F.hypot(x - vx, y - vy).alias("d"), F.lit(i).alias("i")) for i, (vx, vy) in enumerate(polygon)]
+    near = F.array_min(F.array(*at))
+    return F.when(near["d"] < tolerance, near["i"])
+
+
 def height_slices(points: DataFrame, thickness: float = 0.5) -> DataFrame:
     """slice_id from the top of each scene down; a slice holds (bottom, top]."""
-    top = F.max("z").over(Window.partitionBy("scene_id"))
-    return points.withColumn("slice_id", F.floor((top - F.col("z")) / thickness).cast("int"))
+    top = points.groupBy("scene_id").agg(F.max("z").alias("_top"))
+    return points.join(top, "scene_id").withColumn("slice_id", F.floor((F.col("_top") - F.col("z")) / thickness).cast("int")).drop("_top")
 
 
 def axis_samples(nodes: DataFrame, spacing: float = 0.5) -> DataFrame:

@@ -6,8 +6,12 @@ rows and then columns, so a raster is never joined with its own offsets.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,12 @@ def pixel_of(points: DataFrame, geo: DataFrame, res: float) -> DataFrame:
     return p.filter((F.col("ix") >= 0) & (F.col("ix") < F.col("n_cols")) & (F.col("iy") >= 0) & (F.col("iy") < F.col("n_rows"))).drop(*[c for c in geo.columns if c != "scene_id"])
 
 
+def pixel_xy(pixels: DataFrame, geo: DataFrame, res: float, row: str = "iy", col: str = "ix") -> DataFrame:
+    """pixels with x, y of their corner."""
+    g = geo.select("scene_id", "x_min", "y_max")
+    return pixels.join(g, "scene_id").withColumn("x", F.col("x_min") + F.col(col) * res).withColumn("y", F.col("y_max") - F.col(row) * res).drop("x_min", "y_max")
+
+
 def rasterise(points: DataFrame, geo: DataFrame, res: float) -> DataFrame:
     """The highest point of each pixel that has points."""
     return pixel_of(points, geo, res).groupBy("scene_id", "iy", "ix").agg(F.max("z").alias("h"))
@@ -129,6 +139,58 @@ def basins(raster: DataFrame, floor: float) -> DataFrame:
             return now.drop("cell")
 
 
+def flood(h: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Labels of the mask's pixels by flooding from the markers, the highest pixels first and of equals the one met first.
+
+    A pixel gets the label of the neighbour (of 4) from which the flood meets it.
+    """
+    rows, cols = h.shape
+    labels = np.where(mask, markers, 0)
+    queue = [(-h[y, x], i, y, x) for i, (y, x) in enumerate(zip(*np.nonzero(labels), strict=True))]
+    heapq.heapify(queue)
+    met = len(queue)
+    while queue:
+        _, _, y, x = heapq.heappop(queue)
+        for v, u in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= v < rows and 0 <= u < cols and mask[v, u] and not labels[v, u]:
+                labels[v, u] = labels[y, x]
+                heapq.heappush(queue, (-h[v, u], met, v, u))
+                met += 1
+    return labels
+
+
+def watershed(raster: DataFrame, markers: DataFrame, floor: float) -> DataFrame:
+    """scene_id, iy, ix, h, label of the pixels above floor that the flood from markers(scene_id, iy, ix, peak_id) meets.
+
+    The flood is sequential, so a scene's raster is one group; scenes are bounded and their number grows.
+    """
+    rows = raster.join(markers.select("scene_id", "iy", "ix", F.col("peak_id").cast("long").alias("label")), ["scene_id", "iy", "ix"], "left")
+    rows = rows.select("scene_id", "iy", "ix", "h", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        y, x, h, label = (table.column(c).to_numpy() for c in ("iy", "ix", "h", "label"))
+        shape = (int(y.max()) + 1, int(x.max()) + 1)
+        high, seeds = np.full(shape, -np.inf), np.zeros(shape, np.int64)
+        high[y, x], seeds[y, x] = h, label
+        found = flood(high, seeds, high > floor)[y, x]
+        return table.set_column(4, "label", pa.array(found)).filter(pa.array(found > 0))
+
+    return rows.groupBy("scene_id").applyInArrow(solve, rows.schema)
+
+
+def window_max(centres: DataFrame, raster: DataFrame, keys: Sequence[str], size: str = "size") -> DataFrame:
+    """keys, canopy: the highest pixel in the square of `size` pixels around each centre (keys, iy, ix)."""
+    spread = lambda c: F.explode(F.sequence(F.col(c) - F.col(size), F.col(c) + F.col(size))).alias(c)
+    square = centres.select(*keys, size, spread("iy"), "ix").select(*keys, "iy", spread("ix"))
+    return square.join(raster, ["scene_id", "iy", "ix"]).groupBy(*keys).agg(F.max("h").alias("canopy"))
+
+
+def uncover(raster: DataFrame, taken: DataFrame) -> DataFrame:
+    """raster with 0 in the pixels of a mask."""
+    rows = raster.join(taken.select("scene_id", "iy", "ix").withColumn("_taken", F.lit(True)), ["scene_id", "iy", "ix"], "left")
+    return rows.select("scene_id", "iy", "ix", F.when(F.col("_taken").isNull(), F.col("h")).otherwise(0.0).alias("h"))
+
+
 def region_properties(labels: DataFrame, res: float) -> DataFrame:
     """One row a label: max_h, mean_h, row, col (means), area, radius."""
     n = F.count("*")
@@ -153,8 +215,8 @@ def disc_mask(centres: DataFrame, radius: Column) -> DataFrame:
 
 
 def minmax(raster: DataFrame) -> DataFrame:
-    w = Window.partitionBy("scene_id")
-    return raster.withColumn("h", (F.col("h") - F.min("h").over(w)) / (F.max("h").over(w) - F.min("h").over(w) + 1e-6))
+    lim = raster.groupBy("scene_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    return raster.join(lim, "scene_id").withColumn("h", (F.col("h") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-6)).drop("lo", "hi")
 
 
 def percentile_stretch(raster: DataFrame, low: float = 0.05, high: float = 0.99) -> DataFrame:

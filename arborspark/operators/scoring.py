@@ -7,8 +7,10 @@ it is joins and aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,18 +70,35 @@ def assign_rows(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """The pairs of a best one-to-one assignment of every scene."""
+    """The pairs of a best one-to-one assignment of every scene.  A task holds one batch and one scene."""
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ref_id", "pred_id"])
-        refs, i = np.unique(rows["ref_id"], return_inverse=True)
-        preds, j = np.unique(rows["pred_id"], return_inverse=True)
+    def best(refs: np.ndarray, preds: np.ndarray, similar: np.ndarray) -> np.ndarray:
+        refs, i = np.unique(refs, return_inverse=True)
+        preds, j = np.unique(preds, return_inverse=True)
         cost, at = np.ones((len(refs), len(preds))), np.full((len(refs), len(preds)), -1)
-        cost[i, j], at[i, j] = 1 - rows["avg_sim"].to_numpy(), np.arange(len(rows))
-        a, b = assign_rows(cost)
-        return rows.iloc[at[a, b][at[a, b] >= 0]]
-
-    return pairs.groupBy("scene_id").applyInPandas(solve, pairs.schema)
+        cost[i, j], at[i, j] = 1 - similar, np.arange(len(similar))
+        chosen = at[assign_rows(cost)]
+        return chosen[chosen >= 0]
+
+    def solve(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        refs, preds, similar = (table.column(c).to_numpy() for c in ("ref_id", "pred_id", "avg_sim"))
+        kept = [a + best(refs[a:b], preds[a:b], similar[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        return table.take(pa.array(np.concatenate(kept)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            scenes = table.column("scene_id").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], scenes[1:] != scenes[:-1]])) if len(scenes) else np.zeros(0, int)
+            if len(starts) > 1:
+                yield from solve(table, starts).to_batches()
+            held = table.slice(starts[-1]) if len(starts) else table
+        if held is not None and held.num_rows:
+            yield from solve(held, np.array([0, held.num_rows])).to_batches()
+
+    return pairs.repartition("scene_id").sortWithinPartitions("scene_id", "ref_id", "pred_id").mapInArrow(run, pairs.schema)
 
 
 def matches(ref: DataFrame, pred: DataFrame) -> DataFrame:

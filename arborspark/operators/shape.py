@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONE, BALL, UNKNOWN = "conical", "spherical", "undefined"
@@ -28,6 +28,13 @@ def weighted_centre(points: DataFrame, keys: Sequence[str], power: int = 4) -> D
     return points.groupBy(*keys).agg(F.try_divide(F.sum(F.col("x") * w), F.sum(w)).alias("wx"), F.try_divide(F.sum(F.col("y") * w), F.sum(w)).alias("wy"))
 
 
+def mean_of_top(nodes: DataFrame, keys: Sequence[str], p: float = 0.8) -> DataFrame:
+    """keys, x, y: mean of each cluster's nodes above percentile p of their heights, else of all."""
+    high = nodes.groupBy(*keys).agg(F.percentile("z", F.lit(p)).alias("_high"))
+    at = lambda c: F.coalesce(F.avg(F.when(F.col("z") > F.col("_high"), F.col(c))), F.avg(c)).alias(c)
+    return nodes.join(high, list(keys)).groupBy(*keys).agg(at("x"), at("y"))
+
+
 def percentile_radius(points: DataFrame, keys: Sequence[str], p: float = 0.9) -> DataFrame:
     """radius: percentile p, and r_max: maximum, of the horizontal distance to the centroid."""
     centre = points.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
@@ -76,12 +83,3 @@ def shape_by_correlation(points: DataFrame, keys: Sequence[str], least: int = 10
     out = q.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("r"), F.col("depth")).alias("corr"), F.coalesce(F.try_divide(F.avg("z"), F.max("top")), F.lit(1.0)).alias("low"))
     cone = (F.coalesce("corr", F.lit(0.0)) > 0.7) | (F.col("low") < 0.45)
     return out.select(*keys, F.when(F.col("n") < least, BALL).when(cone, CONE).otherwise(BALL).alias("shape"))
-
-
-def pairs_of_steps(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], closed: bool = False) -> DataFrame:
-    """Consecutive rows side by side (suffix 2); closed joins the last to the first, as polygon edges are."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for c in columns:
-        rows = rows.withColumn(f"{c}2", F.coalesce(F.lead(c).over(w), F.first(c).over(first)) if closed else F.lead(c).over(w))
-    return rows if closed else rows.filter(F.col(f"{columns[0]}2").isNotNull())

@@ -1,9 +1,8 @@
 """Spatial joins on grid cells: neighbours within a radius, k nearest neighbours, components.
 
 A radius join is an equi-join on cells of the radius' size: every left point is
-sent to the cells around it.  A k-nearest join grows the ring of cells of the
-points whose k-th neighbour might still be outside, so no pair of far points is
-ever built.
+sent to the cells around it.  A k-nearest join doubles the cells of the points
+whose k-th neighbour might still be outside.
 """
 
 from __future__ import annotations
@@ -50,26 +49,37 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: Sequence
 
 
 def nearest_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: Sequence[str], left_id: str, right_id: str, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
-    """The k nearest right rows (prefixed r_) of every left row, with d2 and rank; ties by r_<right_id>."""
+    """The k nearest right rows (prefixed r_) of every left row, with d2 and rank; ties by r_<right_id>.
+
+    A row searches its cell and those around it, which hold all rows within one
+    cell's width; a row whose k-th neighbour may be farther searches again with
+    cells of twice the width, so rounds grow with the logarithm of its distance.
+    """
     cells = [f"c{i}" for i in range(len(axes))]
     far = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    for c, at in zip(cells, _cell(axes, cell, "r_"), strict=True):
-        far = far.withColumn(c, at)
     sizes = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("_want"))
     rank = F.row_number().over(Window.partitionBy(*keys, left_id).orderBy("d2", f"r_{right_id}"))
-    rest, ring, done = left.join(sizes, list(keys)), 1, None
+    whole = Window.partitionBy(*keys, left_id)
+    rest, done = left.join(sizes, list(keys)), None
     while True:
-        pairs = _around(rest, axes, cell, ring).join(far, [*keys, *cells]).withColumn("d2", distance2(axes, "", "r_"))
+        met = far.withColumns(dict(zip(cells, _cell(axes, cell, "r_"), strict=True)))
+        pairs = _around(rest, axes, cell, 1).join(met, [*keys, *cells]).withColumn("d2", distance2(axes, "", "r_"))
         best = pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop(*cells)
-        reach = F.max("d2").over(Window.partitionBy(*keys, left_id))
-        count = F.count("*").over(Window.partitionBy(*keys, left_id))
-        best = written(best.withColumn("_full", (count >= F.col("_want")) & (F.sqrt(reach) <= ring * cell)), "nearest")
-        full = best.filter("_full").drop("_full", "_want")
-        done = full if done is None else done.unionByName(full)
-        rest = written(rest.join(best.filter("_full").select(*keys, left_id).distinct(), [*keys, left_id], "left_anti"), "unfinished")
+        full = (F.count("*").over(whole) >= F.col("_want")) & (F.max("d2").over(whole) <= cell * cell)
+        best = written(best.withColumn("_full", full), "nearest")
+        found = best.filter("_full").drop("_full", "_want")
+        done = found if done is None else done.unionByName(found)
+        rest = written(rest.join(best.filter("_full AND rank = 1").select(*keys, left_id), [*keys, left_id], "left_anti"), "unfinished")
         if not rest.limit(1).count():
             return done
-        ring *= 2
+        cell *= 2
+
+
+def snap_to_top(peaks: DataFrame, points: DataFrame, k: int, cell: float, peak_id: str = "axis_id") -> DataFrame:
+    """scene_id, peak_id, x, y, z of the highest of the k points nearest to each peak; of equals the least pid."""
+    near = nearest_join(peaks, points.select("scene_id", "pid", "x", "y", "z"), k, cell, "xyz", peak_id, "pid")
+    top = near.groupBy("scene_id", peak_id).agg(F.max_by(F.struct("r_x", "r_y", "r_z"), F.struct("r_z", -F.col("r_pid"))).alias("t"))
+    return top.select("scene_id", peak_id, F.col("t.r_x").alias("x"), F.col("t.r_y").alias("y"), F.col("t.r_z").alias("z"))
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], parts: int = 1000) -> DataFrame:

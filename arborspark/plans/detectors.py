@@ -21,12 +21,6 @@ TREE = ("scene_id", "tree_id", "x", "y", "height", "radius", "shape")
 LABEL = ("scene_id", "label")
 
 
-def _at_pixel(df: DataFrame, geo: DataFrame, res: float, row: str = "iy", col: str = "ix") -> DataFrame:
-    """x and y of a pixel's corner."""
-    g = geo.select("scene_id", "x_min", "y_max")
-    return df.join(g, "scene_id").withColumn("x", F.col("x_min") + F.col(col) * res).withColumn("y", F.col("y_max") - F.col(row) * res).drop("x_min", "y_max")
-
-
 def _vegetation(points: DataFrame, min_z: float = 2.0) -> DataFrame:
     return written(P.vegetation(P.height_normalise(points), min_z), "vegetation")
 
@@ -41,12 +35,13 @@ def _far() -> Column:
 
 
 def chm_watershed(points: DataFrame, res: float = 0.5) -> DataFrame:
-    """Canopy raster, closed and smoothed; basins climb to their tops; one tree a basin."""
+    """Canopy raster, closed and smoothed; the flood from its peaks, about 2 m apart, gives one tree a peak."""
     p = _vegetation(points)
     geo = written(R.extent(p, res), "extent")
     raster = written(R.gaussian(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), 1.0), "raster")
-    regions = R.region_properties(R.basins(raster, 2.0), res).filter("max_h >= 2.0")
-    trees = H.shape_by_mean(_at_pixel(regions, geo, res, "row", "col"))
+    peaks = R.local_maxima(raster, geo, int(2.0 / res), 2.0)
+    regions = R.region_properties(R.watershed(raster, peaks, 2.0), res).filter("max_h >= 2.0")
+    trees = H.shape_by_mean(R.pixel_xy(regions, geo, res, "row", "col"))
     return trees.select("scene_id", _rank("max_h").alias("tree_id"), "x", "y", F.col("max_h").alias("height"), "radius", "shape")
 
 
@@ -85,10 +80,8 @@ def _crown(points: DataFrame, min_z: float, strict: bool) -> DataFrame:
     p = written(p.filter(F.col("z") >= min_z), "points") if strict else p
     geo = written(R.extent(p, 0.5), "extent")
     raster = written(R.gaussian(R.densify(R.rasterise(p, geo, 0.5), geo), 1.5), "raster")
-    peaks = written(_at_pixel(R.local_maxima(raster, geo, 5, min_z), geo, 0.5).select("scene_id", F.col("peak_id").alias("axis_id"), "x", "y", F.col("h").alias("z")), "peaks")
-    near = X.nearest_join(peaks, p.select("scene_id", "pid", "x", "y", "z"), 15, 1.0, "xyz", "axis_id", "pid")
-    top = near.groupBy("scene_id", "axis_id").agg(F.max_by(F.struct("r_x", "r_y", "r_z"), F.struct("r_z", -F.col("r_pid"))).alias("t"))
-    now = written(top.select("scene_id", "axis_id", F.lit(0).alias("step"), F.col("t.r_x").alias("x"), F.col("t.r_y").alias("y"), F.col("t.r_z").alias("z")), "axes")
+    peaks = written(R.pixel_xy(R.local_maxima(raster, geo, 5, min_z), geo, 0.5).select("scene_id", F.col("peak_id").alias("axis_id"), "x", "y", F.col("h").alias("z")), "peaks")
+    now = written(X.snap_to_top(peaks, p, 15, 1.0).withColumn("step", F.lit(0)).select("scene_id", "axis_id", "step", "x", "y", "z"), "axes")
     axes, step = now, 0
     base = p.select("scene_id", "pid", "x", "y", "z")
     while True:  # one round lowers every axis by up to 2 m
@@ -128,16 +121,12 @@ def smart_fusion(points: DataFrame, res: float = 0.3) -> DataFrame:
     geo = written(R.extent(p, res), "extent")
     raster = written(R.gaussian(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), 0.8), "raster")
     n = _linked(_slice_nodes(p, 0.9, 5), 4.0, 2.0)
-    high = n.groupBy(*LABEL).agg(F.percentile("z", F.lit(0.8)).alias("high"), F.percentile("r", F.lit(0.9)).alias("radius"), F.max("z").alias("height"))
-    above = F.col("z") > F.col("high")
-    at = lambda c: F.coalesce(F.avg(F.when(above, F.col(c))), F.avg(c)).alias(c)
-    stacks = n.join(high, list(LABEL)).groupBy(*LABEL, "radius", "height").agg(at("x"), at("y"))
+    high = n.groupBy(*LABEL).agg(F.percentile("r", F.lit(0.9)).alias("radius"), F.max("z").alias("height"))
+    stacks = H.mean_of_top(n, LABEL).join(high, list(LABEL))
     size = F.least(F.lit(30), F.greatest(F.lit(2), F.floor(F.col("radius") / res))).cast("int")
     placed = stacks.join(geo, "scene_id").withColumn("iy", F.floor((F.col("y_max") - F.col("y")) / res).cast("int")).withColumn("ix", F.floor((F.col("x") - F.col("x_min")) / res).cast("int")).withColumn("size", size)
     placed = written(placed.drop("x_min", "y_max", "n_cols", "n_rows"), "placed")
-    spread = lambda c: F.explode(F.sequence(F.col(c) - F.col("size"), F.col(c) + F.col("size"))).alias(c)
-    window = placed.select(*LABEL, "size", spread("iy"), "ix").select(*LABEL, "iy", spread("ix"))
-    canopy = window.join(raster, ["scene_id", "iy", "ix"]).groupBy(*LABEL).agg(F.max("h").alias("canopy"))
+    canopy = R.window_max(placed, raster, LABEL)
     height = F.when((F.col("canopy") > F.col("height")) & (F.col("canopy") < F.col("height") + 5), F.col("canopy")).otherwise(F.col("height"))
     m = n.join(high.select(*LABEL, "height"), list(LABEL)).join(n.groupBy(*LABEL).agg(F.max("r").alias("r_top"), F.count("*").alias("count")), list(LABEL))
     h, r = F.col("z") / (F.col("height") + 0.01), F.col("r") / (F.col("r_top") + 0.01)
@@ -145,8 +134,8 @@ def smart_fusion(points: DataFrame, res: float = 0.3) -> DataFrame:
     shapes = m.groupBy(*LABEL).agg(F.when((F.max("count") >= 5) & (line > root), H.CONE).otherwise(H.BALL).alias("shape"))
     main = placed.join(canopy, list(LABEL), "left").join(shapes, list(LABEL)).select("scene_id", _rank("height").alias("tree_id"), "x", "y", height.alias("height"), "radius", "shape")
     taken = R.dilate_square(R.disc_mask(placed, F.col("size")), 4)
-    free = written(raster.join(taken.withColumn("t", F.lit(1)), ["scene_id", "iy", "ix"], "left").select("scene_id", "iy", "ix", F.when(F.col("t").isNull(), F.col("h")).otherwise(0.0).alias("h")), "free")
-    found = _at_pixel(R.local_maxima(free, geo, 10, 2.5), geo, res)
+    free = written(R.uncover(raster, taken), "free")
+    found = R.pixel_xy(R.local_maxima(free, geo, 10, 2.5), geo, res)
     extra = found.select("scene_id", (100_000 + F.col("peak_id")).cast("int").alias("tree_id"), "x", "y", F.col("h").alias("height"), F.greatest(F.lit(1.5), 0.2 * F.col("h")).alias("radius"), F.lit(H.BALL).alias("shape"))
     both = written(main.unionByName(extra), "trees")
     widest = both.agg(F.max("radius")).first()[0] or 0.0
@@ -154,11 +143,12 @@ def smart_fusion(points: DataFrame, res: float = 0.3) -> DataFrame:
 
 
 def adaptive_fusion(points: DataFrame, res: float = 0.2) -> DataFrame:
-    """Basins of the canopy raster own their points; centres weigh high points; radii come from a height band; conflicts fall."""
+    """The flood of the smooth canopy from the peaks of a sharper one owns its points; centres weigh high points; radii come from a height band; conflicts fall."""
     p = written(X.outlier_filter(P.min_height(P.height_normalise(points), 1.0), 12, 2.5), "points")
     geo = written(R.extent(p, res), "extent")
-    raster = written(R.gaussian(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), 0.8), "raster")
-    labels = R.basins(raster, 1.0).select("scene_id", "iy", "ix", "label")
+    closed = written(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), "closed")
+    peaks = R.local_maxima(written(R.gaussian(closed, 0.35), "sharp"), geo, max(1, int(1.1 / res)), 1.0)
+    labels = R.watershed(R.gaussian(closed, 0.8), peaks, 1.0).select("scene_id", "iy", "ix", "label")
     c = written(R.pixel_of(p, geo, res).join(labels, ["scene_id", "iy", "ix"]), "crowns")
     stats = H.vertical_clusters(H.cluster_stats(c, LABEL))
     centre = H.weighted_centre(c, LABEL)

@@ -139,7 +139,7 @@ _FACTORS = ("noise_level", "dropout_rate", "overlap_factor", "mixing_factor", "g
 RESULTS = "res AS (SELECT event_id AS run_id, event_type AS parser, value AS score, value / 7.0::DOUBLE AS duration, " + ", ".join(
     f"CASE WHEN event_id % 5 = {i} THEN (user_id % 11) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS {f}" for i, f in enumerate(_FACTORS)
 ) + " FROM events)"
-_UNPIVOT = " UNION ALL ".join(f"SELECT '{f}' AS param, parser, {f} AS val, score, duration FROM res" for f in _FACTORS)
+_UNPIVOT = " UNION ALL ".join(f"SELECT '{f}' AS param, parser, {f} AS val, score FROM res" for f in _FACTORS)
 _COMPLEXITY = f"round({' + '.join(_FACTORS)}, 2)"
 
 
@@ -197,7 +197,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d2, near) AS rank F
 s AS (SELECT scene_id, count(*) AS n, avg(m) + 1.5 * stddev_pop(m) AS lim FROM m GROUP BY 1) SELECT pid FROM m JOIN s USING (scene_id) WHERE n < 100 OR m < lim""",
         "nearest_peak": f"""WITH {POINTS}, d AS (SELECT a.pid, b.pid AS g, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z * 0.3::DOUBLE - b.z * 0.3::DOUBLE) * (a.z * 0.3::DOUBLE - b.z * 0.3::DOUBLE) AS d2
 FROM p a JOIN p b ON a.scene_id = b.scene_id AND a.cls > 2 AND b.cls = 2) SELECT pid, arg_min(g, (d2, g)) AS ground_pid FROM d GROUP BY 1""",
-        "descent_step": f"""WITH {POINTS}, {_near(2.5)} SELECT a.pid, count(*) AS n, {r('avg(b.x)')} AS x, {r('avg(b.y)')} AS y, {r('avg(b.z)')} AS z
+        "descent_step": f"""WITH {POINTS}, {_near(2.5)} SELECT a.pid, count(*) AS n, {r('avg(b.x)')} AS x, {r('avg(b.y)')} AS y, sum(round(b.z * 1000)::BIGINT)::BIGINT AS z_mm
 FROM e JOIN p a ON a.pid = e.a JOIN p b ON b.pid = e.b WHERE a.cls = 2 AND b.z < a.z AND b.z > a.z - 2.0 GROUP BY 1""",
         "connected_components": f"WITH RECURSIVE {POINTS}, {_near(0.7)}, w(pid, lab) AS (SELECT pid, pid FROM p UNION SELECT e.b, w.lab FROM w JOIN e ON e.a = w.pid WHERE w.lab < e.b) SELECT pid, min(lab) AS component FROM w GROUP BY 1",
         "dbscan_slice": f"""WITH RECURSIVE {POINTS}, t AS (SELECT p.*, floor((m - z) / 2.0) AS sl FROM p JOIN (SELECT scene_id, max(z) AS m FROM p GROUP BY 1) USING (scene_id)),
@@ -205,7 +205,7 @@ e AS MATERIALIZED (SELECT a.pid AS a, b.pid AS b FROM t a JOIN t b ON a.scene_id
         + _DBSCAN.format(k=4),
         "dbscan_link": f"WITH RECURSIVE {POINTS}, t AS (SELECT * REPLACE (z / 2 AS z) FROM p), {_near(1.2, 't')}, " + _DBSCAN.format(k=5),
         "cluster_stats": f"WITH {STATS} SELECT scene_id, label, n, {r('cx')} AS cx, {r('cy')} AS cy, {r('z_min')} AS z_min, {r('z_max')} AS z_max, {r('z_dev')} AS z_dev, {r('top[1]')} AS top_x, {r('top[2]')} AS top_y, top[3] AS top_pid FROM s",
-        "vertical_clusters": f"WITH {STATS} SELECT scene_id, label FROM s WHERE n >= 90 AND coalesce(z_dev / nullif(z_max, 0), 0) >= 0.3",
+        "vertical_clusters": f"WITH {STATS} SELECT scene_id, label FROM s WHERE n >= 38 AND coalesce(z_dev / nullif(z_max, 0), 0) >= 0.195",
         "weighted_centre": f"WITH {LABELS} SELECT scene_id, label, {r('sum(x * power(z, 4)) / nullif(sum(power(z, 4)), 0)')} AS wx, {r('sum(y * power(z, 4)) / nullif(sum(power(z, 4)), 0)')} AS wy FROM c GROUP BY 1, 2",
         "radius_percentiles": f"WITH {STATS}, d AS (SELECT c.scene_id, c.label, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM c JOIN s USING (scene_id, label)) SELECT scene_id, label, {r('quantile_cont(d, 0.9)')} AS radius, {r('max(d)')} AS r_max FROM d GROUP BY 1, 2",
         "radial_profile": f"WITH {PROFILE} SELECT scene_id, label, bin, {r('depth')} AS depth, {r('r')} AS r FROM pr",
@@ -225,7 +225,7 @@ SELECT scene_id, label, CASE WHEN n < 10 THEN 'spherical' WHEN coalesce(co, 0) >
         "shape_report": f"WITH {TREES} SELECT scene_id, shape, count(*) AS n, {r('avg(height)')} AS height, {r('avg(radius)')} AS radius FROM ref GROUP BY ROLLUP (scene_id, shape)",
         "scene_keys": f"WITH {RESULTS} SELECT printf('N%.2f_D%.2f_O%.2f_M%.2f_G%.2f', {', '.join(_FACTORS)}) AS scene_key, count(*) AS runs FROM res GROUP BY 1",
         "report_quality": f"WITH {RESULTS}, u AS ({_UNPIVOT}) SELECT param, parser, val, {r('avg(score)')} AS score FROM u GROUP BY 1, 2, 3",
-        "report_time": f"WITH {RESULTS}, u AS ({_UNPIVOT}) SELECT param, parser, val, {r('avg(duration)')} AS time FROM u GROUP BY 1, 2, 3",
+        "report_time": f"WITH {RESULTS} SELECT parser, {_COMPLEXITY} AS complexity, {r('avg(duration)')} AS time FROM res GROUP BY 1, 2",
         "report_components": f"WITH {RESULTS}, u AS ("
         + " UNION ALL ".join(f"SELECT '{m}' AS metric, parser, {_COMPLEXITY} AS complexity, score / {k} AS part FROM res" for m, k in (("type", 2), ("height", 3), ("radius", 4), ("position", 5)))
         + f") SELECT metric, parser, complexity, {r('avg(part)')} AS score FROM u GROUP BY 1, 2, 3",
@@ -235,5 +235,16 @@ SELECT scene_id, label, CASE WHEN n < 10 THEN 'spherical' WHEN coalesce(co, 0) >
   regexp_replace(parser || '/' || printf('N%.2f_D%.2f_O%.2f_M%.2f_G%.2f', {', '.join(_FACTORS)}), '[^A-Za-z0-9 _-]', '_', 'g') AS file,
   printf('%02d:%02d:%02d', (floor(score * 37)::BIGINT // 3600) % 24, (floor(score * 37)::BIGINT // 60) % 60, floor(score * 37)::BIGINT % 60) AS clock FROM res""",
         "las_round_trip": f"WITH {POINTS} SELECT scene_id, cls, count(*) AS n, sum(floor(z * 10 + 0.2337::DOUBLE)::BIGINT)::BIGINT AS z_dm FROM p GROUP BY 1, 2",
+        "pixel_to_xy": f"WITH {POINTS}, {_geo('p')}, q AS (SELECT scene_id, pid, floor(y_max - y)::INTEGER AS iy, floor(x - x_min)::INTEGER AS ix, x_min, y_max FROM p JOIN geo USING (scene_id)) SELECT scene_id, pid, iy, ix, {r('x_min + ix')} AS x, {r('y_max - iy')} AS y FROM q",
+        "nearest_vertex": f"WITH {POINTS}, e(x1, y1, x2, y2) AS (VALUES {edges}), v AS (SELECT (row_number() OVER () - 1)::INTEGER AS i, x1, y1 FROM e), d AS (SELECT pid, i, sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) AS d FROM p, v) SELECT pid, arg_min(i, (d, i)) AS vertex FROM d GROUP BY 1 HAVING min(d) < 1.5",
+        "peak_snap": f"""WITH {PEAKS}, d AS (SELECT k.scene_id, k.peak_id AS axis_id, n.pid, n.x, n.y, n.z,
+  row_number() OVER (PARTITION BY k.scene_id, k.peak_id ORDER BY power(n.x - (x_min + ix), 2) + power(n.y - (y_max - iy), 2) + power(n.z - h, 2), n.pid) AS rank
+FROM peaks k JOIN geo USING (scene_id) JOIN n ON n.scene_id = k.scene_id), t AS (SELECT scene_id, axis_id, arg_max((x, y, z), (z, -pid)) AS t FROM d WHERE rank <= 15 GROUP BY 1, 2)
+SELECT scene_id, axis_id, {r('t[1]')} AS x, {r('t[2]')} AS y, {r('t[3]')} AS z FROM t""",
+        "mean_of_top": f"WITH {LABELS}, h AS (SELECT scene_id, label, quantile_cont(z, 0.8) AS high FROM c GROUP BY 1, 2) SELECT scene_id, label, {r('coalesce(avg(x) FILTER (z > high), avg(x))')} AS x, {r('coalesce(avg(y) FILTER (z > high), avg(y))')} AS y FROM c JOIN h USING (scene_id, label) GROUP BY 1, 2",
+        "points_in_regions": f"WITH {BASINS}, q AS (SELECT scene_id, floor(y_max - y)::INTEGER AS iy, floor(x - x_min)::INTEGER AS ix FROM v JOIN geo USING (scene_id)) SELECT scene_id, label, count(*) AS n FROM q JOIN b USING (scene_id, iy, ix) GROUP BY 1, 2",
+        "canopy_around": f"WITH {PEAKS}, o AS (SELECT *, least(4, floor(h / 12))::INTEGER AS rad FROM peaks) SELECT o.scene_id, peak_id, {r('max(c.h)')} AS canopy FROM o JOIN c ON c.scene_id = o.scene_id AND abs(c.iy - o.iy) <= rad AND abs(c.ix - o.ix) <= rad GROUP BY 1, 2",
+        "uncovered_canopy": f"""WITH {PEAKS}, o AS (SELECT *, least(4, floor(h / 12))::INTEGER AS rad FROM peaks)
+SELECT scene_id, iy, ix, {r('CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.scene_id = c.scene_id AND power(o.iy - c.iy, 2) + power(o.ix - c.ix, 2) <= rad * rad) THEN 0 ELSE h END')} AS h FROM c""",
         "stream_running_mean": f"SELECT event_type AS parser, count(*) AS runs, {r('avg(value)')} AS score FROM events GROUP BY 1",
     }

@@ -13,6 +13,7 @@ from ..operators import raster as R
 from ..operators import scoring as S
 from ..operators import shape as H
 from ..operators import spatial as X
+from ..scratch import written
 from ..streaming.results import running_means
 from . import detectors, reports, views
 from .views import uniform
@@ -150,12 +151,12 @@ def eps_neighbours(s, d):
 
 def knn_k8(s, d):
     p = views.points(s, d).select("scene_id", "pid", *XYZ)
-    near = X.nearest_join(p, p, 8, 2.5, XYZ, "pid", "pid")
+    near = X.nearest_join(p, p, 8, 3.2, XYZ, "pid", "pid")
     return rounded(near.select("pid", "rank", F.col("r_pid").alias("near"), "d2"))
 
 
 def sor_filter(s, d):
-    return X.outlier_filter(views.points(s, d), 8, 1.5, 2.5).select("pid")
+    return X.outlier_filter(views.points(s, d), 8, 1.5, 3.2).select("pid")
 
 
 def nearest_peak(s, d):
@@ -170,7 +171,8 @@ def descent_step(s, d):
     p = views.points(s, d).select("scene_id", "pid", *XYZ)
     ball = X.radius_join(p.join(views.points(s, d).filter("cls = 2").select("pid"), "pid"), p, 2.5, XYZ)
     below = ball.filter((F.col("r_z") < F.col("z")) & (F.col("r_z") > F.col("z") - 2.0))
-    return rounded(below.groupBy("pid").agg(F.count("*").alias("n"), *[F.avg(f"r_{c}").alias(c) for c in XYZ]))
+    millimetres = F.sum(F.round(F.col("r_z") * 1000).cast("long")).alias("z_mm")  # heights are whole millimetres, so their sum is exact
+    return rounded(below.groupBy("pid").agg(F.count("*").alias("n"), *[F.avg(f"r_{c}").alias(c) for c in "xy"], millimetres))
 
 
 def connected_components(s, d):
@@ -204,7 +206,7 @@ def cluster_stats(s, d):
 
 
 def vertical_clusters(s, d):
-    return H.vertical_clusters(H.cluster_stats(_clusters(s, d), KEYS), 90, 0.3).select(*KEYS)
+    return H.vertical_clusters(H.cluster_stats(_clusters(s, d), KEYS), 38, 0.195).select(*KEYS)
 
 
 def weighted_centre(s, d):
@@ -325,6 +327,80 @@ def adaptive_fusion_trees(s, d):
     return rounded(detectors.adaptive_fusion(views.points(s, d), RES))
 
 
+def layer_stack_trees(s, d):
+    """Stacks of a dense scan: the same points on a twenty-fifth of the area."""
+    dense = views.points(s, d).withColumn("x", F.col("x") * 0.2).withColumn("y", F.col("y") * 0.2)
+    return rounded(detectors.layer_stack(dense))
+
+
+def crown_axis_trees(s, d):
+    return rounded(detectors.crown_axis(views.points(s, d)))
+
+
+def crown_axis_strict_trees(s, d):
+    return rounded(detectors.crown_axis_strict(views.points(s, d)))
+
+
+def smart_fusion_trees(s, d):
+    return rounded(detectors.smart_fusion(views.points(s, d)))
+
+
+def watershed_labels(s, d):
+    """The flood of the smoothed 1 m canopy from its peaks."""
+    raster, geo = _canopy(s, d)
+    smooth = written(R.gaussian(raster, 0.8), "raster")
+    return R.watershed(smooth, R.local_maxima(smooth, geo, 2, 2.0), 2.0).select("scene_id", "iy", "ix", "label")
+
+
+def pixel_to_xy(s, d):
+    """Corner of the pixel of every point."""
+    p = views.points(s, d)
+    geo = R.extent(p, RES)
+    return rounded(R.pixel_xy(R.pixel_of(p, geo, RES).select("scene_id", "pid", "iy", "ix"), geo, RES))
+
+
+def nearest_vertex(s, d):
+    """The vertex of the polygon within 1.5 m of every point."""
+    near = P.nearest_vertex(F.col("x"), F.col("y"), POLYGON, 1.5)
+    return views.points(s, d).select("pid", near.alias("vertex")).filter("vertex IS NOT NULL")
+
+
+def peak_snap(s, d):
+    """The highest of the 15 points nearest to every canopy peak."""
+    raster, geo = _canopy(s, d)
+    peaks = written(R.pixel_xy(R.local_maxima(raster, geo, 2, 2.0), geo, RES).select("scene_id", F.col("peak_id").alias("axis_id"), "x", "y", F.col("h").alias("z")), "peaks")
+    return rounded(X.snap_to_top(peaks, P.height_normalise(views.points(s, d)), 15, 4.0))
+
+
+def mean_of_top(s, d):
+    return rounded(H.mean_of_top(_clusters(s, d), KEYS))
+
+
+def points_in_regions(s, d):
+    """Vegetation points of every basin."""
+    p = P.vegetation(P.height_normalise(views.points(s, d)))
+    geo = R.extent(p, RES)
+    labels = R.basins(R.densify(R.rasterise(p, geo, RES), geo), 2.0)
+    return R.pixel_of(p, geo, RES).join(labels.select("scene_id", "iy", "ix", "label"), ["scene_id", "iy", "ix"]).groupBy("scene_id", "label").agg(F.count("*").alias("n"))
+
+
+def _sized_peaks(s, d) -> tuple[DataFrame, DataFrame]:
+    raster, geo = _canopy(s, d)
+    return raster, R.local_maxima(raster, geo, 2, 2.0).withColumn("size", F.least(F.lit(4), F.floor(F.col("h") / 12)).cast("int"))
+
+
+def canopy_around(s, d):
+    """The highest pixel of a square around every peak."""
+    raster, peaks = _sized_peaks(s, d)
+    return rounded(R.window_max(peaks, raster, ("scene_id", "peak_id")))
+
+
+def uncovered_canopy(s, d):
+    """The canopy outside the discs of its peaks."""
+    raster, peaks = _sized_peaks(s, d)
+    return rounded(R.uncover(raster, R.disc_mask(peaks, F.col("size"))))
+
+
 def run_labels(s, d):
     """Readable labels of every run."""
     name = F.concat(F.col("parser"), F.lit("/"), reports.scene_key())
@@ -342,5 +418,6 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     dbscan_slice, dbscan_link, cluster_stats, vertical_clusters, weighted_centre, radius_percentiles, radial_profile, shape_cone_ball, shape_mean_ratio,
     shape_correlation, suppress_duplicates, suppress_conflicts, tree_similarity, optimal_assignment, unmatched_ref, scene_scores, paired_scores,
     shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, las_round_trip,
-    detected_trees, adaptive_fusion_trees,
+    detected_trees, adaptive_fusion_trees, layer_stack_trees, crown_axis_trees, crown_axis_strict_trees, smart_fusion_trees,
+    watershed_labels, pixel_to_xy, nearest_vertex, peak_snap, mean_of_top, points_in_regions, canopy_around, uncovered_canopy,
 )

@@ -45,8 +45,13 @@ def quality(results: DataFrame) -> DataFrame:
 
 
 def time(results: DataFrame) -> DataFrame:
-    """Mean duration by (factor, parser, level)."""
-    return _unpivot(results, ["parser", "duration"], FACTORS, "param", "val").groupBy("param", "parser", "val").agg(F.avg("duration").alias("time"))
+    """Mean duration by (parser, complexity)."""
+    return results.groupBy("parser", complexity().alias("complexity")).agg(F.avg("duration").alias("time"))
+
+
+def total_operations(tasks: DataFrame, parsers: int) -> int:
+    """Operations of a run: each task is generated once, and each parser detects and is compared once."""
+    return tasks.count() * (1 + 2 * parsers)
 
 
 def components(results: DataFrame, parts: tuple[str, ...]) -> DataFrame:
