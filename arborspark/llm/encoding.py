@@ -44,7 +44,7 @@ class Encoder:
     generation becomes the old one, from which pieces in use are taken over.
     """
 
-    def __init__(self, path: str, kind: str, memo: int = 150_000):
+    def __init__(self, path: str, kind: str, memo: int = 100_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,6 +55,11 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memo's memory back; called where a task ends, for workers live on."""
+        self.young, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -131,7 +136,7 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, kind: str) -> Encoder:
-    """The Python worker's encoder; its memo outlives a task."""
+    """The Python worker's encoder: tasks share the tokenizer."""
     if (path, kind) not in _encoders:
         _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]

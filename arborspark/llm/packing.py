@@ -113,5 +113,6 @@ def pack(docs: DataFrame, vocabulary: str, *, kind: str = "words", sequence: int
                     yield from flush()
         if held:
             yield from flush()
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)

@@ -201,6 +201,7 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, *, kind: str = "b
             data = memoryview(ids.astype(f"<u{width}")).cast("B")
             to = pa.array(place_in(bounds.value, _keys(doc_ids, ties)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([to, doc_ids, ties, pa.array([bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["to", "doc_id", "tie", "ids"])
+        enc.forget()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -241,7 +241,7 @@ def learn_lexicon(rows: DataFrame, *, terms: int = 2000, shortest: int = 3, marg
     return Lexicon(lexicon.words, lexicon.stems, frozenset(r.word for r in known))
 
 
-def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 250_000) -> DataFrame:
+def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 150_000) -> DataFrame:
     """docs(carried columns..., text last) with FEATURES in place of the text."""
     bounded_batches(docs.sparkSession)
     carried = docs.columns[:-1]
@@ -259,6 +259,7 @@ def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 250_000) -
                 rows.append(evidence(text.as_py() or "", lexicon, memo))
             columns = [pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*carried, *FEATURES])
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
