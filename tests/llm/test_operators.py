@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -165,6 +166,43 @@ def test_learnable_rows_are_bounded_though_ids_repeat(spark):
     assert 800 <= len(rows) <= 1200 and len({r.text for r in rows}) == len(rows)
 
 
+def test_statistics_of_the_table(spark, data):
+    """Every statistic of every whole text, counted again in Python."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n "), (-4, LONG)], docs.schema))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.with_statistics(docs)[0].collect():
+        t = texts[r.doc_id]
+        words = [w for w in regex.split(r"[\x20\x09-\x0D]+", t) if w]
+        lines = [x for x in t.split("\n") if x]
+        count = lambda pattern: len(regex.findall(pattern, t))  # noqa: B023, E731
+        of = lambda top, bottom: top / bottom if bottom else 0.0
+        want = {
+            "log_words": math.log1p(len(words)), "word_length": of(len(t), len(words)), "distinct_words": of(len(set(words)), len(words)), "distinct_lines": of(len(set(lines)), len(lines)),
+            "words_per_line": of(len(words), len(lines)), "marks": of(count(r"[^\p{L}\p{N} \t\n\x0B\f\r]"), len(t)), "odd_marks": of(sum(t.count(c) for c in "#$%&*|<>{}[]\\^~_=+@"), len(t)),
+            "loud_marks": of(t.count("!") + t.count("?"), len(t)), "capitals": of(count(r"\p{Lu}"), len(t)), "digits": of(count(r"\p{N}"), len(t)),
+        }
+        assert all(r[f"stat_{k}"] == pytest.approx(v, abs=1e-12) for k, v in want.items()), r.doc_id
+
+
+def test_rules_compile_to_their_score(spark):
+    rows = [(0.1, 5.0), (0.9, 5.0), (0.5, 1.0), (float("0"), 9.0)]
+    rules = [((("0", True, 0.5), ("1", False, 2.0)), 1.25), ((("1", True, 5.0),), -0.5), ((("0", False, 0.0), ("0", True, 0.9)), 2.0)]
+    got = spark.createDataFrame(rows, "a double, b double").select(quality.rule_score(-0.3, rules, ["a", "b"])).collect()
+    for r, (score,) in zip(rows, got, strict=True):
+        total = -0.3 + sum(w for rule, w in rules if all(r[int(f)] <= x if below else r[int(f)] > x for f, below, x in rule))
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_evidence_of_the_table(spark, data):
+    """Every document's evidence with its task's memo, against one word at a time without any."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    lexicon = toxicity.Lexicon(frozenset({"idiot", "scum", "worthless", "there"}), frozenset({"moro"}), frozenset({"these"}))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.with_evidence(docs, lexicon).collect():
+        assert tuple(r)[1:] == toxicity.evidence(texts[r.doc_id], lexicon, {})
+
+
 def test_toxicity_learns_and_covers_odd_texts(spark, docs, none):
     train, labels = labelled(spark)
     odd = docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")
@@ -368,6 +406,22 @@ def test_pipeline_stages_take_effect(spark, data):
     assert docs.agg(F.sum("length")).first()[0] == sum(len(ids_of("word_bpe_49k.json", r.text)) for r in before.collect())
 
 
+def test_pipeline_stages_on_odd_tables(spark, docs, data):
+    """Nulls, blank and long texts and repeated rows, and no rows at all, through every stage."""
+    import corpus_pipeline as p
+
+    odd = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"))
+    for rows in (odd, odd.limit(0)):
+        n = rows.count()
+        for name, stage in p.STAGES:
+            out = stage(spark, rows, data)
+            if name == "packing":
+                whole = out.groupBy("doc_id").agg(F.sum("length").alias("n")).agg(F.sum("n")).first()[0] or 0
+                assert whole == sum(len(ids_of("word_bpe_49k.json", r.text)) for r in rows.collect())
+            else:
+                assert set(out.columns) == set(p.COLUMNS) and (n or out.count() == 0)
+
+
 def test_near_duplicate_stage_cases(spark, docs):
     import corpus_pipeline as p
 
