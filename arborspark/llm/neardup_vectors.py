@@ -184,7 +184,7 @@ def _home_distances(shared):
     return run
 
 
-def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 65_536, probes: int | None = 12, most_lists: int = 4096, members: int = 256, queries: int = 512) -> DataFrame:
+def near_duplicates(rows: DataFrame, *, threshold: float = 0.9, sample: int = 16_384, probes: int | None = 12, most_lists: int = 2048, members: int = 256, queries: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of rows(vec_id, embedding)."""
     spark = rows.sparkSession
     v = usable(F.col("embedding"))
