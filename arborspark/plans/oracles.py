@@ -235,6 +235,10 @@ SELECT scene_id, label, CASE WHEN n < 10 THEN 'spherical' WHEN coalesce(co, 0) >
   regexp_replace(parser || '/' || printf('N%.2f_D%.2f_O%.2f_M%.2f_G%.2f', {', '.join(_FACTORS)}), '[^A-Za-z0-9 _-]', '_', 'g') AS file,
   printf('%02d:%02d:%02d', (floor(score * 37)::BIGINT // 3600) % 24, (floor(score * 37)::BIGINT // 60) % 60, floor(score * 37)::BIGINT % 60) AS clock FROM res""",
         "las_round_trip": f"WITH {POINTS} SELECT scene_id, cls, count(*) AS n, sum(floor(z * 10 + 0.2337::DOUBLE)::BIGINT)::BIGINT AS z_dm FROM p GROUP BY 1, 2",
+        "las_crop": f"""WITH {POINTS}, low AS (SELECT scene_id, min(x) AS lx, min(y) AS ly FROM p GROUP BY 1), e(x1, y1, x2, y2) AS (VALUES {edges}),
+m AS (SELECT scene_id, pid, cls, round((x - lx) / 0.001::DOUBLE) * 0.001::DOUBLE + lx AS x, round((y - ly) / 0.001::DOUBLE) * 0.001::DOUBLE + ly AS y FROM p JOIN low USING (scene_id)),
+i AS (SELECT scene_id, pid, cls FROM m, e GROUP BY ALL HAVING sum(((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1)::INT) % 2 = 1)
+SELECT scene_id, cls, count(*) AS n FROM i GROUP BY 1, 2""",
         "pixel_to_xy": f"WITH {POINTS}, {_geo('p')}, q AS (SELECT scene_id, pid, floor(y_max - y)::INTEGER AS iy, floor(x - x_min)::INTEGER AS ix, x_min, y_max FROM p JOIN geo USING (scene_id)) SELECT scene_id, pid, iy, ix, {r('x_min + ix')} AS x, {r('y_max - iy')} AS y FROM q",
         "nearest_vertex": f"WITH {POINTS}, e(x1, y1, x2, y2) AS (VALUES {edges}), v AS (SELECT (row_number() OVER () - 1)::INTEGER AS i, x1, y1 FROM e), d AS (SELECT pid, i, sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) AS d FROM p, v) SELECT pid, arg_min(i, (d, i)) AS vertex FROM d GROUP BY 1 HAVING min(d) < 1.5",
         "peak_snap": f"""WITH {PEAKS}, d AS (SELECT k.scene_id, k.peak_id AS axis_id, n.pid, n.x, n.y, n.z,

@@ -318,6 +318,17 @@ def las_round_trip(s, d):
     return back.groupBy("scene_id", "cls").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("z") * 10 + 0.2337).cast("long")).alias("z_dm"))
 
 
+def las_crop(s, d):
+    """Scenes written as LAS files and cropped to the polygon, whole records from file to file."""
+    from ..scratch import new_path
+    from ..sources import las
+
+    las.register(s)
+    path = new_path(s, "las")
+    views.points(s, d).repartition("scene_id").write.format("las").mode("append").save(path)
+    return las.crop(s, path, new_path(s, "las-crop"), POLYGON).groupBy("scene_id", "cls").agg(F.count("*").alias("n"))
+
+
 def detected_trees(s, d):
     """Trees of the watershed detector in every scene."""
     return rounded(detectors.chm_watershed(views.points(s, d), RES))
@@ -417,7 +428,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     tall_mask, disc_mask, minmax_normalise, percentile_stretch, eps_neighbours, knn_k8, sor_filter, nearest_peak, descent_step, connected_components,
     dbscan_slice, dbscan_link, cluster_stats, vertical_clusters, weighted_centre, radius_percentiles, radial_profile, shape_cone_ball, shape_mean_ratio,
     shape_correlation, suppress_duplicates, suppress_conflicts, tree_similarity, optimal_assignment, unmatched_ref, scene_scores, paired_scores,
-    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, las_round_trip,
+    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, las_round_trip, las_crop,
     detected_trees, adaptive_fusion_trees, layer_stack_trees, crown_axis_trees, crown_axis_strict_trees, smart_fusion_trees,
     watershed_labels, pixel_to_xy, nearest_vertex, peak_snap, mean_of_top, points_in_regions, canopy_around, uncovered_canopy,
 )

@@ -4,10 +4,15 @@ The public ASPRS layout, uncompressed.  Reading: LAS 1.0 to 1.4 with point forma
 0 to 10, other files are an error; one task for each range of records, only the
 needed bytes of a record are decoded, and filters on cls and on x and y reach the
 reader.  Where a folder has `_files.json`, its files are read and no others, so
-that those of failed attempts never count; else all .las files under it.  Writing
-(LAS 1.2): one file a scene and task, point
-format 3, scale 0.001, offsets at the scene's minimum, so coordinates are whole
-millimetres.  Paths are URIs that pyarrow's file systems open.
+that those of failed attempts never count; else all .las files under it.  Files of
+at most `minBytes` bytes (option, 0) are skipped.  Writing (LAS 1.2): one file a
+scene and task, point format 3, scale 0.001, offsets at the scene's minimum, so
+coordinates are whole millimetres.  Paths are URIs that pyarrow's file systems open.
+
+With the option `records` rows also hold their file and the bytes of their record.
+Rows with these two columns are written as they were read: one file a source and
+task, with the source's header and variable-length records, new counts and bounds.
+Extended records at a file's end (LAS 1.4) are left out.
 """
 
 from __future__ import annotations
@@ -20,11 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..operators.points import polygon_crop
+
 SCHEMA = "scene_id int, pid long, x double, y double, z double, cls int"
+WITH_RECORDS = SCHEMA + ", source string, record binary"
 
 #: The public header block of LAS 1.2.
 HEADER = np.dtype(
@@ -38,6 +47,10 @@ MANIFEST = "_files.json"
 #: Bytes of a record by point format, and where LAS 1.4 has its 64-bit point count.
 LENGTHS = (20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67)
 POINTS_AT = 247
+#: The fields that follow the header of LAS 1.2 in LAS 1.4, at byte 227.
+HEADER_14 = np.dtype([("waveforms_at", "<u8"), ("extended_at", "<u8"), ("extended", "<u4"), ("points", "<u8"), ("by_return", "<u8", 15)])
+#: The byte of a record that holds its return number.
+RETURN_AT = 14
 #: Point data record format 3.
 RECORD = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("point_source", "<u2"), ("time", "<f8"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2")])
 
@@ -61,6 +74,24 @@ def points_of(file, head: np.void) -> int:
     return int(np.frombuffer(file.read(8), "<u8")[0])
 
 
+def head_of_part(prefix: bytes, records: np.ndarray) -> bytes:
+    """The bytes before a file's records, with the counts and bounds of these records (rows of bytes) instead of all."""
+    out = bytearray(prefix)
+    head = np.frombuffer(out, HEADER, 1)
+    wide, n = head["format"][0] >= 6, len(records)
+    for i, c in enumerate("xyz"):
+        v = np.ascontiguousarray(records[:, 4 * i : 4 * i + 4]).view("<i4") * head["scale"][0, i] + head["offset"][0, i]
+        head[f"min_{c}"], head[f"max_{c}"] = v.min(), v.max()
+    returns = np.bincount(records[:, RETURN_AT] & (15 if wide else 7), minlength=16)[1:]
+    old = not wide and n < 1 << 32
+    head["points"], head["by_return"] = (n, returns[:5]) if old else (0, 0)
+    if head["minor"][0] >= 4:
+        more = np.frombuffer(out, HEADER_14, 1, HEADER.itemsize)
+        more["points"], more["by_return"] = n, returns
+        more["waveforms_at"] = more["extended_at"] = more["extended"] = 0
+    return bytes(out)
+
+
 def files_of(store, base: str) -> list:
     """The .las and .laz files of a path: those its manifest names, or all under it."""
     info = store.get_file_info(base)
@@ -84,9 +115,14 @@ class Records(InputPartition):
     scene: int
 
 
+def with_records(options: dict) -> bool:
+    return str(options.get("records", "false")).lower() == "true"
+
+
 class LasReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.step, self.filters = options["path"], int(options.get("recordsPerTask", 4_000_000)), []
+        self.least, self.records = int(options.get("minBytes", 0)), with_records(options)
 
     def pushFilters(self, filters):
         """Comparisons of cls, x, y and z with literals are applied to the record arrays."""
@@ -101,6 +137,8 @@ class LasReader(DataSourceReader):
         store, base = fs.FileSystem.from_uri(self.path)
         parts = []
         for i, f in enumerate(files_of(store, base)):
+            if self.least and f.size <= self.least:
+                continue
             with store.open_input_file(f.path) as file:
                 n = points_of(file, header_of(file))
             named = re.match(r"scene-(\d+)-", f.base_name)
@@ -121,13 +159,18 @@ class LasReader(DataSourceReader):
             for at in range(part.first, part.first + part.count, 1 << 18):
                 n = min(1 << 18, part.first + part.count - at)
                 file.seek(int(head["offset_to_points"]) + at * length)
-                r = np.frombuffer(file.read(n * length), layout)
+                data = file.read(n * length)
+                r = np.frombuffer(data, layout)
                 v = {c: r[c] * head["scale"][i] + head["offset"][i] for i, c in enumerate("xyz")} | {"cls": (r["cls"] & (255 if wide else 31)).astype(np.int32)}
                 keep = np.ones(n, bool)
                 for f in self.filters:
                     keep &= self._holds(f, v[f.attribute[0]])
                 out = {"scene_id": np.full(n, part.scene, np.int32), "pid": np.arange(at, at + n), **{c: v[c] for c in "xyz"}, "cls": v["cls"]}
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out.values()], names=list(out))
+                columns = {name: pa.array(c[keep]) for name, c in out.items()}
+                if self.records:
+                    rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), n, [None, pa.py_buffer(data)]).filter(pa.array(keep))
+                    columns |= {"source": pa.repeat(part.path, len(rows)), "record": rows.cast(pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     @staticmethod
     def _holds(f, column: np.ndarray) -> np.ndarray:
@@ -163,7 +206,14 @@ class LasWriter(DataSourceArrowWriter):
         store, base = fs.FileSystem.from_uri(self.path)
         store.create_dir(base, recursive=True)
         held: dict[int, list[pa.RecordBatch]] = {}
+        whole: dict[tuple[int, str], list[pa.RecordBatch]] = {}
         for b in batches:
+            if "record" in b.schema.names:
+                named = b.select(["scene_id", "source"])
+                for key in pa.Table.from_batches([named]).group_by(["scene_id", "source"]).aggregate([]).to_pylist():
+                    same = pc.and_(pc.equal(named.column(0), key["scene_id"]), pc.equal(named.column(1), key["source"]))
+                    whole.setdefault((key["scene_id"], key["source"]), []).append(b.select(["record"]).filter(same))
+                continue
             scenes = b.column("scene_id").to_numpy()
             for s in np.unique(scenes):
                 held.setdefault(int(s), []).append(b.filter(pa.array(scenes == s)))
@@ -184,6 +234,16 @@ class LasWriter(DataSourceArrowWriter):
             with store.open_output_stream(paths[-1]) as out:
                 out.write(head.tobytes())
                 out.write(records.tobytes())
+        for (scene, source), parts in whole.items():
+            with store.open_input_file(source) as file:
+                head = header_of(file)
+                file.seek(0)
+                prefix = file.read(int(head["offset_to_points"]))
+            data = b"".join(r for b in parts for r in b.column(0).to_pylist())
+            paths.append(f"{base}/scene-{scene:06d}-{uuid.uuid4().hex}.las")
+            with store.open_output_stream(paths[-1]) as out:
+                out.write(head_of_part(prefix, np.frombuffer(data, np.uint8).reshape(-1, int(head["record_length"]))))
+                out.write(data)
         return Written(paths)
 
     def commit(self, messages) -> None:
@@ -206,7 +266,7 @@ class LasDataSource(DataSource):
         return "las"
 
     def schema(self) -> str:
-        return SCHEMA
+        return WITH_RECORDS if with_records(self.options) else SCHEMA
 
     def reader(self, schema) -> LasReader:
         return LasReader(self.options)
@@ -218,3 +278,15 @@ class LasDataSource(DataSource):
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LasDataSource)
+
+
+def crop(spark: SparkSession, path: str, target: str, polygon: list[tuple[float, float]], **options) -> DataFrame:
+    """Write the records of all files under path inside the polygon to target, whole, and return the points written.
+
+    Every task writes what it reads, so nothing is shuffled; a file of more than
+    recordsPerTask records becomes several.  Of files without points inside, and
+    for polygons of fewer than three vertices, nothing is written.
+    """
+    found = spark.read.format("las").options(records="true", **options).load(path)
+    polygon_crop(found, polygon).write.format("las").mode("append").save(target)
+    return spark.read.format("las").load(target)

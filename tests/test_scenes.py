@@ -86,6 +86,42 @@ def test_las_unknown_versions_are_an_error(tmp_path):
         rows_of(tmp_path)
 
 
+@pytest.mark.parametrize(("minor", "form", "legacy"), [(2, 3, 4), (4, 7, 0)])
+def test_las_crop_keeps_whole_records(spark, tmp_path, minor, form, legacy):
+    las.register(spark)
+    (tmp_path / "in").mkdir()
+    las_file(tmp_path / "in" / "a.las", minor, form, 4, legacy)
+    data = bytearray((tmp_path / "in" / "a.las").read_bytes())
+    start, length = int.from_bytes(data[96:100], "little"), las.LENGTHS[form]
+    for i in range(4):  # marks in the bytes that are not decoded: intensity, return number, the last byte
+        at = start + i * length
+        data[at + 12], data[at + 14], data[at + length - 1] = 7 + i, 1 + i % 2, 90 + i
+    (tmp_path / "in" / "a.las").write_bytes(data)
+    (tmp_path / "in" / "far.las").write_bytes(data[:start] + b"".join((99).to_bytes(4, "little") + bytes(data[start + 4 : start + length]) for _ in range(4)))
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    kept = las.crop(spark, source, target, [(1.5, -1.0), (3.5, -1.0), (3.5, 1.0), (1.5, 1.0)])
+    assert sorted(r.x for r in kept.collect()) == [2.0, 3.0]
+    (made,) = (tmp_path / "out").glob("*.las")
+    out = made.read_bytes()
+    head = np.frombuffer(out, las.HEADER, 1)[0]
+    assert out[start:] == bytes(data[start + length : start + 3 * length])
+    assert (head["min_x"], head["max_x"], head["format"], head["points"]) == (2.0, 3.0, form, 2 if form < 6 else 0)
+    if minor >= 4:
+        more = np.frombuffer(out, las.HEADER_14, 1, las.HEADER.itemsize)[0]
+        assert more["points"] == 2 and list(more["by_return"][:3]) == [1, 1, 0]
+    else:
+        assert list(head["by_return"][:3]) == [1, 1, 0]
+    none = las.crop(spark, source, f"file://{tmp_path}/none", [(50.0, 0.0), (51.0, 0.0), (51.0, 1.0)])
+    assert none.count() == 0 and not list((tmp_path / "none").glob("*.las"))
+
+
+def test_las_small_files_are_skipped_where_asked(tmp_path):
+    las_file(tmp_path / "a.las", 2, 3, 3, 3)
+    las_file(tmp_path / "b.las", 2, 3, 40, 40)
+    reader = las.LasReader({"path": f"file://{tmp_path}", "minBytes": "1024"})
+    assert [p.count for p in reader.partitions()] == [40]
+
+
 @pytest.mark.parametrize("name", sorted(DETECTORS))
 def test_detectors_find_trees(spark, forest, name):
     plan, points = forest
