@@ -95,5 +95,47 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+OP11 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def _clusters() -> str:
+    """Three rounds, unrolled; e has one row a vector and dimension, c one a centroid and dimension."""
+    steps = []
+    for i in range(4):
+        steps.append(
+            f"""d{i} AS MATERIALIZED (SELECT e.vec_id, c.cluster, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS distance FROM e JOIN c{i} c USING (i) GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT vec_id, cluster, distance FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"""
+        )
+        if i < 3:
+            steps.append(f"""m{i} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{i} JOIN e USING (vec_id) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, i, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{i} c LEFT JOIN m{i} USING (cluster, i))""")
+    return f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM v),
+c0 AS MATERIALIZED (
+  SELECT cluster, generate_subscripts(x, 1) AS i, unnest(x) AS x
+  FROM (SELECT x, (row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1)::INTEGER AS cluster FROM v QUALIFY cluster < 16)),
+{", ".join(steps)},
+h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY 1)
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN h USING (cluster)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5, "op6_url_filters": OP6, "op8_topk_search": OP8}
+    return {"op5_mixing": OP5, "op6_url_filters": OP6, "op8_topk_search": OP8, "op11_hard_negatives": OP11, "op12_centroid_clusters": _clusters()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, neardup_text, neardup_vectors, packing, quality, tokenfiles, topk, toxicity, urls
+from . import centroids, hardnegatives, html, mixing, neardup_text, neardup_vectors, packing, quality, syncmers, tokenfiles, topk, toxicity, urls
 from .common import new_path, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -65,8 +65,28 @@ def op10_text_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_text.classify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on by one, so that near vectors of other labels exist."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_next(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_html_extraction, op2_packing, op3_quality, op4_toxicity, op5_mixing, op6_url_filters, op7_token_files, op8_topk_search, op9_vector_neardup, op10_text_neardup,
+    op11_hard_negatives, op12_centroid_clusters, op13_document_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_quality, op4_toxicity, op5_mixing, op6_url_filters, op7_token_files, op8_topk_search, op9_vector_neardup, op10_text_neardup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,6 @@ def usable(vector: Column) -> Column:
     return F.when(fine, v)
 
 
-def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>), dim of the rows that take part."""
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), usable(F.col("embedding")).alias("v")).filter("v IS NOT NULL AND vec_id IS NOT NULL").withColumn("dim", F.size("v"))
+def valid_vectors(rows: DataFrame, *carry: str) -> DataFrame:
+    """vec_id, v (array<double>), carried columns and dim of the rows that take part."""
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), usable(F.col("embedding")).alias("v"), *carry).filter("v IS NOT NULL AND vec_id IS NOT NULL").withColumn("dim", F.size("v"))
