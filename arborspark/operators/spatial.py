@@ -11,10 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import discard, written
+from .tiles import Tiling, member_arrays, nearest_rows, schema_of
 
 
 def _cell(axes: Sequence[str], size: float, prefix: str = "") -> list[Column]:
@@ -48,19 +50,81 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: Sequence
     return pairs.filter(F.col("d2") <= radius * radius).drop(*cells)
 
 
-def nearest_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: Sequence[str], left_id: str, right_id: str, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: Sequence[str], left_id: str, right_id: str, keys: Sequence[str] = ("scene_id",), cap: int = 4096) -> DataFrame:
     """The k nearest right rows (prefixed r_) of every left row, with d2 and rank; ties by r_<right_id>.
 
-    A row searches its cell and those around it, which hold all rows within one
-    cell's width; a row whose k-th neighbour may be farther searches again with
-    cells of twice the width, so rounds grow with the logarithm of its distance.
+    Tiles of about `cap` right rows, with a halo, are searched by a sorted cell index in
+    one task each.  A row whose k-th neighbour might lie beyond its halo knows by then
+    how far off it is at most, and searches again among cells of that width; a
+    row with fewer neighbours so far searches cells of width `cell`, then of twice the width.
     """
-    cells = [f"c{i}" for i in range(len(axes))]
+    keys = list(keys)
     far = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    sizes = right.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias("_want"))
+    tiles = Tiling(right, axes, keys, cap, halo=1.5 * (k / cap) ** (1 / len(axes)))
+    inside, outside = [c for c in left.columns if c not in keys], [c for c in far.columns if c not in keys]
+    schema = schema_of((left, keys), (left, inside), (far, outside)).add("d2", "double").add("rank", "integer").add("_full", "boolean")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(keys)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (s, q), (t, x) = member_arrays(batch.column(n)[row], axes), member_arrays(batch.column(n + 1)[row], axes, "r_")
+                low, high = (np.array(batch.column(n + c)[row].as_py()) for c in (3, 4))
+                at, d2 = nearest_rows(q, x, _ranked(t.field(f"r_{right_id}")), k)
+                wanted = min(k, batch.column(n + 2)[row].as_py())
+                known = np.minimum(q - low, high - q).min(axis=1)
+                full = (d2[:, wanted - 1] <= np.square(known) * (1 - 1e-9)) & (known > 0)
+                i, j = np.nonzero(at >= 0)
+                own = [pa.array([batch.column(c)[row].as_py()] * len(i), batch.schema.field(c).type) for c in range(n)]
+                sides = [*s.take(pa.array(i)).flatten(), *t.take(pa.array(at[i, j])).flatten()]
+                yield pa.RecordBatch.from_arrays([*own, *sides, pa.array(d2[i, j]), pa.array((j + 1).astype(np.int32)), pa.array(full[i])], names=schema.fieldNames())
+
+    found = written(tiles.met(left, far, left_id).mapInArrow(search, schema), "nearest")
+    done = found.filter("_full").drop("_full")
+    met = done.filter("rank = 1").select(*keys, left_id)
+    sizes = tiles.geo.select(*keys, F.least("_n", F.lit(k)).alias("_want"))
+    limit = found.filter(F.col("rank") == k).select(*keys, left_id, F.sqrt("d2").alias("_limit"))
+    rest = left.join(met, [*keys, left_id], "left_anti").join(sizes, keys).join(limit, [*keys, left_id], "left")
+    rest = written(rest.withColumn("_class", F.when(F.col("_limit").isNotNull(), F.ceil(F.log2(F.greatest(F.col("_limit"), F.lit(1e-9)) * (1 + 1e-9))).cast("int"))).drop("_limit"), "unfinished")
+    tiles.discard()
+    classes = sorted(r[0] for r in rest.select("_class").distinct().collect() if r[0] is not None)  # powers of two: a few dozen
+    if classes:
+        done = done.unionByName(_nearest_within(rest.filter("_class IS NOT NULL").drop("_want"), far, k, classes, axes, left_id, right_id, keys))
+    rest = rest.filter("_class IS NULL").drop("_class")
+    return done if not rest.limit(1).count() else done.unionByName(_nearest_rounds(rest, far, k, cell, axes, left_id, right_id, keys))
+
+
+def _nearest_within(rest: DataFrame, far: DataFrame, k: int, classes: list[int], axes: Sequence[str], left_id: str, right_id: str, keys: list[str]) -> DataFrame:
+    """nearest_join of few rows whose k-th neighbour is at most 2 ** _class away: one equi-join on the cells of each class."""
+    cells, width = [f"c{i}" for i in range(len(axes))], F.pow(F.lit(2.0), F.col("_class"))
+    near = rest
+    for c, a in zip(cells, axes, strict=True):
+        at = F.floor(F.col(a) / width)
+        near = near.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
+    met = far.withColumn("_class", F.explode(F.array(*map(F.lit, classes))))
+    met = met.withColumns({c: F.floor(F.col(f"r_{a}") / width) for c, a in zip(cells, axes, strict=True)})
+    pairs = near.join(met, [*keys, "_class", *cells]).withColumn("d2", distance2(axes, "", "r_"))
     rank = F.row_number().over(Window.partitionBy(*keys, left_id).orderBy("d2", f"r_{right_id}"))
-    whole = Window.partitionBy(*keys, left_id)
-    rest, done = left.join(sizes, list(keys)), None
+    return pairs.drop("_class", *cells).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _ranked(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of ids, which may be structs."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False)
+    columns = ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+    table = pa.Table.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names]).to_numpy()
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _nearest_rounds(rest: DataFrame, far: DataFrame, k: int, cell: float, axes: Sequence[str], left_id: str, right_id: str, keys: list[str]) -> DataFrame:
+    """nearest_join of few rows (with _want, the neighbours that exist): 3 ** axes cells a round, twice as wide each time."""
+    cells = [f"c{i}" for i in range(len(axes))]
+    whole, done = Window.partitionBy(*keys, left_id), None
+    rank = F.row_number().over(whole.orderBy("d2", f"r_{right_id}"))
     while True:
         met = far.withColumns(dict(zip(cells, _cell(axes, cell, "r_"), strict=True)))
         pairs = _around(rest, axes, cell, 1).join(met, [*keys, *cells]).withColumn("d2", distance2(axes, "", "r_"))
