@@ -28,6 +28,19 @@ def vegetation(points: DataFrame, min_z: float = 2.0) -> DataFrame:
     return points.join(has, "scene_id").filter(kept).drop("_has")
 
 
+def normalised_vegetation(points: DataFrame, min_z: float = 2.0, bare: str = "median") -> DataFrame:
+    """vegetation(height_normalise(points)) with one aggregate and one join.
+
+    bare: scenes without vegetation stand on their `median` ground or on their `lowest` point.
+    """
+    ground = F.percentile(F.when(F.col("cls") == GROUND, F.col("z")), F.lit(0.5))
+    has = F.max(F.col("cls").isin(*VEGETATION))
+    level = F.coalesce(ground, F.min("z")) if bare == "median" else F.when(has, F.coalesce(ground, F.min("z"))).otherwise(F.min("z"))
+    p = points.join(points.groupBy("scene_id").agg(has.alias("_has"), level.alias("_ground")), "scene_id")
+    p = p.withColumn("z", F.col("z") - F.col("_ground"))
+    return p.filter(F.when(F.col("_has"), F.col("cls").isin(*VEGETATION)).otherwise(F.col("z") >= min_z)).drop("_has", "_ground")
+
+
 def min_height(points: DataFrame, h: float) -> DataFrame:
     return points.filter(F.col("z") >= h)
 

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 
-def extent(points: DataFrame, res: float) -> DataFrame:
-    """scene_id, x_min, y_max, n_cols, n_rows."""
+def extent(points: DataFrame, res: float, whole: bool = False) -> DataFrame:
+    """scene_id, x_min, y_max, n_cols, n_rows; sizes are rounded up and one added, or with `whole` rounded down and one added."""
+    cells = F.floor if whole else F.ceil
     w, h = F.max("x") - F.min("x"), F.max("y") - F.min("y")
     return points.groupBy("scene_id").agg(
-        F.min("x").alias("x_min"), F.max("y").alias("y_max"), (F.ceil(w / res) + 1).cast("int").alias("n_cols"), (F.ceil(h / res) + 1).cast("int").alias("n_rows")
+        F.min("x").alias("x_min"), F.max("y").alias("y_max"), (cells(w / res) + 1).cast("int").alias("n_cols"), (cells(h / res) + 1).cast("int").alias("n_rows")
     )
 
 

@@ -66,7 +66,7 @@ def cone_or_ball(nodes: DataFrame, keys: Sequence[str], depth: str = "depth", r:
 
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation as an aggregate; null where a side is constant."""
-    n, sx, sy = F.count("*"), F.sum(x), F.sum(y)
+    n, sx, sy = F.count(x), F.sum(x), F.sum(y)
     vx, vy = F.sum(x * x) - sx * sx / n, F.sum(y * y) - sy * sy / n
     return F.try_divide(F.sum(x * y) - sx * sy / n, F.when((vx > 1e-12) & (vy > 1e-12), F.sqrt(vx * vy)))
 
@@ -77,9 +77,25 @@ def shape_by_mean(stats: DataFrame) -> DataFrame:
 
 
 def shape_by_correlation(points: DataFrame, keys: Sequence[str], least: int = 10) -> DataFrame:
-    """Conical where the distance to the centre grows with depth (r > 0.7) or the mass lies low (mean z / top < 0.45)."""
-    centre = points.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.max("z").alias("top"))
-    q = points.join(centre, list(keys)).withColumn("r", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))).withColumn("depth", F.col("top") - F.col("z"))
-    out = q.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("r"), F.col("depth")).alias("corr"), F.coalesce(F.try_divide(F.avg("z"), F.max("top")), F.lit(1.0)).alias("low"))
+    """Conical where the distance to the weighted centre grows with depth (r > 0.7) or the mass lies low (mean z / top < 0.45).
+
+    The correlation leaves out the top and points at the centre; clusters of fewer than `least` points, or of
+    fewer than five after that, are spherical.
+    """
+    q = points.join(weighted_centre(points, keys), list(keys)).join(points.groupBy(*keys).agg(F.max("z").alias("top")), list(keys))
+    q = q.withColumn("r", F.hypot(F.col("x") - F.col("wx"), F.col("y") - F.col("wy"))).withColumn("depth", F.col("top") - F.col("z"))
+    fits = (F.col("r") > 0) & (F.col("depth") > 0)
+    r, depth = F.when(fits, F.col("r")), F.when(fits, F.col("depth"))
+    low = F.coalesce(F.try_divide(F.avg("z"), F.max("top")), F.lit(1.0))
+    out = q.groupBy(*keys).agg(F.count("*").alias("n"), F.count(r).alias("fit"), correlation(r, depth).alias("corr"), low.alias("low"))
     cone = (F.coalesce("corr", F.lit(0.0)) > 0.7) | (F.col("low") < 0.45)
-    return out.select(*keys, F.when(F.col("n") < least, BALL).when(cone, CONE).otherwise(BALL).alias("shape"))
+    return out.select(*keys, F.when((F.col("n") < least) | (F.col("fit") < 5), BALL).when(cone, CONE).otherwise(BALL).alias("shape"))
+
+
+def shape_by_profile(nodes: DataFrame, heights: DataFrame, keys: Sequence[str], least: int = 5) -> DataFrame:
+    """Conical where the radii of a stack's nodes(keys, z, r) follow the depth below heights(keys, height) better than its root."""
+    q = nodes.join(heights.select(*keys, "height"), list(keys)).withColumn("depth", F.col("height") - F.col("z"))
+    q = q.join(q.groupBy(*keys).agg(F.max("depth").alias("_deep"), F.max("r").alias("_wide")), list(keys))
+    h, r = F.col("depth") / (F.col("_deep") + 0.01), F.col("r") / (F.col("_wide") + 0.01)
+    line, root = correlation(r, h), correlation(r, F.sqrt(F.greatest(h, F.lit(0.0))))
+    return q.groupBy(*keys).agg(F.when((F.count("*") >= least) & (line > root), CONE).otherwise(BALL).alias("shape"))

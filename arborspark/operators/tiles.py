@@ -72,23 +72,27 @@ class Tiling:
             rest = placed.join(crowded, at, "left_semi").drop(*self.cells)
         self.leaves, self.levels = leaves, list(range(level + 1))
 
-    def own(self, rows: DataFrame) -> DataFrame:
-        """rows with the tile they lie in; rows in empty places between tiles get none (null)."""
+    def own(self, rows: DataFrame, row_id: str = "", reach: float = 0.0) -> DataFrame:
+        """rows with the tile they lie in, or with a reach the first tile within so many tile widths; none where no tile is."""
         if self.one:
             return rows
+        if reach:
+            at = F.min(F.struct("_level", *self.cells)).alias("_at")
+            tiles = self._near(rows, reach).groupBy(*self.keys, row_id).agg(at).select(*self.keys, row_id, "_at.*")
+            return rows.join(tiles, [*self.keys, row_id])
+        return self._near(rows, 0.0)
+
+    def _near(self, rows: DataFrame, reach: float, prefix: str = "") -> DataFrame:
+        """rows once for every tile within `reach` tile widths."""
         placed = rows.join(self.geo, self.keys).withColumn("_level", F.explode(F.array(*map(F.lit, self.levels))))
-        placed = placed.withColumns({t: self._at(i, F.col("_level")) for i, t in enumerate(self.cells)})
+        for i, t in enumerate(self.cells):
+            low, high = self._at(i, F.col("_level"), prefix, -reach), self._at(i, F.col("_level"), prefix, reach)
+            placed = placed.withColumn(t, F.explode(F.sequence(low, high)) if reach else low)
         return placed.join(self.leaves, self.columns, "left_semi").select(*rows.columns, "_level", *self.cells)
 
     def around(self, rows: DataFrame, prefix: str = "r_") -> DataFrame:
         """rows once for every tile in whose halo they lie."""
-        if self.one:
-            return rows
-        placed = rows.join(self.geo, self.keys).withColumn("_level", F.explode(F.array(*map(F.lit, self.levels))))
-        for i, t in enumerate(self.cells):
-            near = F.sequence(self._at(i, F.col("_level"), prefix, -self.halo), self._at(i, F.col("_level"), prefix, self.halo))
-            placed = placed.withColumn(t, F.explode(near))
-        return placed.join(self.leaves, self.columns, "left_semi").select(*rows.columns, "_level", *self.cells)
+        return rows if self.one else self._near(rows, self.halo, prefix)
 
     def boxes(self, gathered: DataFrame) -> DataFrame:
         """One row a tile with _low and _high: the ends of its halo in every axis, infinite where no points lie beyond."""
@@ -109,11 +113,11 @@ class Tiling:
         inside = [c for c in rows.columns if c not in self.columns]
         return dealt.groupBy(*self.columns, "_chunk").agg(F.collect_list(F.struct(*inside)).alias("left"))
 
-    def met(self, left: DataFrame, right: DataFrame, left_id: str, size: int = 2048) -> DataFrame:
+    def met(self, left: DataFrame, right: DataFrame, left_id: str, size: int = 2048, reach: float = 0.0) -> DataFrame:
         """keys, left, right, _n, _low, _high: every chunk of left rows with the rows around its tile (columns prefixed r_)."""
         inside = [c for c in right.columns if c not in self.keys]
         sides = self.boxes(self.around(right).groupBy(*self.columns).agg(F.collect_list(F.struct(*inside)).alias("right")))
-        return self.chunks(self.own(left), left_id, size).join(sides, self.columns).select(*self.keys, "left", "right", "_n", "_low", "_high")
+        return self.chunks(self.own(left, left_id, reach), left_id, size).join(sides, self.columns).select(*self.keys, "left", "right", "_n", "_low", "_high")
 
     def discard(self) -> None:
         discard(*self.kept)

@@ -15,14 +15,15 @@ from ..operators import points as P
 from ..operators import raster as R
 from ..operators import shape as H
 from ..operators import spatial as X
+from ..operators.axes import crown_axes
 from ..scratch import written
 
 TREE = ("scene_id", "tree_id", "x", "y", "height", "radius", "shape")
 LABEL = ("scene_id", "label")
 
 
-def _vegetation(points: DataFrame, min_z: float = 2.0) -> DataFrame:
-    return written(P.vegetation(P.height_normalise(points), min_z), "vegetation")
+def _vegetation(points: DataFrame, min_z: float = 2.0, bare: str = "median") -> DataFrame:
+    return written(P.normalised_vegetation(points, min_z, bare), "vegetation")
 
 
 def _rank(height: str) -> Column:
@@ -45,10 +46,11 @@ def chm_watershed(points: DataFrame, res: float = 0.5) -> DataFrame:
     return trees.select("scene_id", _rank("max_h").alias("tree_id"), "x", "y", F.col("max_h").alias("height"), "radius", "shape")
 
 
-def _slice_nodes(points: DataFrame, eps: float, least: int) -> DataFrame:
-    """slice_id, cluster_id, x, y, z, r of the clusters of half-metre slices."""
-    sliced = written(P.height_slices(points), "slices")
+def slice_nodes(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """slice_id, cluster_id, x, y, z, r of the clusters of half-metre slices; slices under five points have none."""
     keys = ("scene_id", "slice_id")
+    sliced = P.height_slices(points)
+    sliced = written(sliced.join(sliced.groupBy(*keys).count().filter("count >= 5").drop("count"), list(keys)), "slices")
     found = X.dbscan(sliced, eps, least, "xy", keys)
     c = sliced.join(found, [*keys, "pid"])
     centre = c.groupBy(*keys, "cluster_id").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
@@ -66,7 +68,7 @@ def _linked(nodes: DataFrame, squeeze: float, eps: float) -> DataFrame:
 
 def layer_stack(points: DataFrame) -> DataFrame:
     """Slices clustered in the plane and linked upwards; one tree a stack at least 2 m high."""
-    n = _linked(_slice_nodes(_vegetation(points), 0.8, 4), 2.0, 1.5)
+    n = _linked(slice_nodes(_vegetation(points), 0.8, 4), 2.0, 1.5)
     stats = n.groupBy(*LABEL).agg(F.max_by(F.struct("x", "y"), F.struct("z", -F.col("pid"))).alias("top"), F.max("z").alias("height"), F.min("z").alias("low"), F.percentile("r", F.lit(0.9)).alias("radius"))
     stats = stats.filter(F.col("height") - F.col("low") >= 2.0)
     nodes = n.join(stats.select(*LABEL, "height"), list(LABEL)).withColumn("depth", F.col("height") - F.col("z"))
@@ -76,26 +78,12 @@ def layer_stack(points: DataFrame) -> DataFrame:
 
 def _crown(points: DataFrame, min_z: float, strict: bool) -> DataFrame:
     """Peaks snap to points, axes descend through the crown, points join the nearest axis."""
-    p = _vegetation(points, min_z)
+    p = _vegetation(points, min_z, "lowest" if strict else "median")
     p = written(p.filter(F.col("z") >= min_z), "points") if strict else p
-    geo = written(R.extent(p, 0.5), "extent")
+    geo = written(R.extent(p, 0.5, whole=True), "extent")
     raster = written(R.gaussian(R.densify(R.rasterise(p, geo, 0.5), geo), 1.5), "raster")
     peaks = written(R.pixel_xy(R.local_maxima(raster, geo, 5, min_z), geo, 0.5).select("scene_id", F.col("peak_id").alias("axis_id"), "x", "y", F.col("h").alias("z")), "peaks")
-    now = written(X.snap_to_top(peaks, p, 15, 1.0).withColumn("step", F.lit(0)).select("scene_id", "axis_id", "step", "x", "y", "z"), "axes")
-    axes, step = now, 0
-    base = p.select("scene_id", "pid", "x", "y", "z")
-    while True:  # one round lowers every axis by up to 2 m
-        going = now.filter(F.col("z") > min_z / 2)
-        ball = X.radius_join(going, base, 2.5, "xyz")
-        below = (F.col("r_z") < F.col("z")) & (F.col("r_z") > F.col("z") - 2.0)
-        mean = lambda c: F.avg(F.when(below, F.col(f"r_{c}")))
-        moved = ball.groupBy("scene_id", "axis_id", "x", "y", "z").agg(*[mean(c).alias(f"m{c}") for c in "xyz"])
-        step += 1
-        now = moved.select("scene_id", "axis_id", F.lit(step).alias("step"), F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y"), F.coalesce("mz", F.col("z") - 1.0).alias("z"))
-        now = written(now.filter("z > 0.5"), "axes")
-        if not now.limit(1).count():
-            break
-        axes = axes.unionByName(now)
+    axes = written(crown_axes(X.snap_to_top(peaks, p, 15, 1.0), p, min_z / 2), "axes")
     samples = P.axis_samples(axes).withColumn("z", F.col("z") * 0.3).withColumn("pid", F.struct("axis_id", "step", "i"))
     flat = p.withColumn("z", F.col("z") * 0.3).select("scene_id", "pid", "x", "y", "z")
     own = X.nearest_join(flat, samples.select("scene_id", "pid", "axis_id", "x", "y", "z"), 1, 1.0, "xyz", "pid", "pid").select("scene_id", "pid", F.col("r_axis_id").cast("long").alias("label"))
@@ -120,7 +108,7 @@ def smart_fusion(points: DataFrame, res: float = 0.3) -> DataFrame:
     p = written(X.outlier_filter(P.min_height(P.height_normalise(points), 2.5), 8, 1.5), "points")
     geo = written(R.extent(p, res), "extent")
     raster = written(R.gaussian(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), 0.8), "raster")
-    n = _linked(_slice_nodes(p, 0.9, 5), 4.0, 2.0)
+    n = _linked(slice_nodes(p, 0.9, 5), 4.0, 2.0)
     high = n.groupBy(*LABEL).agg(F.percentile("r", F.lit(0.9)).alias("radius"), F.max("z").alias("height"))
     stacks = H.mean_of_top(n, LABEL).join(high, list(LABEL))
     size = F.least(F.lit(30), F.greatest(F.lit(2), F.floor(F.col("radius") / res))).cast("int")
@@ -128,11 +116,9 @@ def smart_fusion(points: DataFrame, res: float = 0.3) -> DataFrame:
     placed = written(placed.drop("x_min", "y_max", "n_cols", "n_rows"), "placed")
     canopy = R.window_max(placed, raster, LABEL)
     height = F.when((F.col("canopy") > F.col("height")) & (F.col("canopy") < F.col("height") + 5), F.col("canopy")).otherwise(F.col("height"))
-    m = n.join(high.select(*LABEL, "height"), list(LABEL)).join(n.groupBy(*LABEL).agg(F.max("r").alias("r_top"), F.count("*").alias("count")), list(LABEL))
-    h, r = F.col("z") / (F.col("height") + 0.01), F.col("r") / (F.col("r_top") + 0.01)
-    line, root = H.correlation(r, h), H.correlation(r, F.sqrt(h))
-    shapes = m.groupBy(*LABEL).agg(F.when((F.max("count") >= 5) & (line > root), H.CONE).otherwise(H.BALL).alias("shape"))
-    main = placed.join(canopy, list(LABEL), "left").join(shapes, list(LABEL)).select("scene_id", _rank("height").alias("tree_id"), "x", "y", height.alias("height"), "radius", "shape")
+    raised = placed.join(canopy, list(LABEL), "left").withColumn("height", height)
+    shapes = H.shape_by_profile(n, raised, LABEL)
+    main = raised.join(shapes, list(LABEL)).select("scene_id", _rank("height").alias("tree_id"), "x", "y", "height", "radius", "shape")
     taken = R.dilate_square(R.disc_mask(placed, F.col("size")), 4)
     free = written(R.uncover(raster, taken), "free")
     found = R.pixel_xy(R.local_maxima(free, geo, 10, 2.5), geo, res)
@@ -147,7 +133,7 @@ def adaptive_fusion(points: DataFrame, res: float = 0.2) -> DataFrame:
     p = written(X.outlier_filter(P.min_height(P.height_normalise(points), 1.0), 12, 2.5), "points")
     geo = written(R.extent(p, res), "extent")
     closed = written(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), "closed")
-    peaks = R.local_maxima(written(R.gaussian(closed, 0.35), "sharp"), geo, max(1, int(1.1 / res)), 1.0)
+    peaks = R.local_maxima(written(R.gaussian(closed, 0.35), "sharp"), geo, max(1, int(1.1 / res)), 2.0)
     labels = R.watershed(R.gaussian(closed, 0.8), peaks, 1.0).select("scene_id", "iy", "ix", "label")
     c = written(R.pixel_of(p, geo, res).join(labels, ["scene_id", "iy", "ix"]), "crowns")
     stats = H.vertical_clusters(H.cluster_stats(c, LABEL))

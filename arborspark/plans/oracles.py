@@ -212,9 +212,20 @@ e AS MATERIALIZED (SELECT a.pid AS a, b.pid AS b FROM t a JOIN t b ON a.scene_id
         "shape_cone_ball": f"""WITH {PROFILE}, f AS (SELECT scene_id, label, count(*) AS n, sum(r * depth) / nullif(sum(depth * depth), 0) AS kc, sum(r * sqrt(depth)) / nullif(sum(depth), 0) AS kb FROM pr GROUP BY 1, 2)
 SELECT scene_id, label, CASE WHEN max(n) < 3 THEN 'undefined' WHEN sum(power(r - kc * depth, 2)) < sum(power(r - kb * sqrt(depth), 2)) THEN 'conical' ELSE 'spherical' END AS shape FROM pr JOIN f USING (scene_id, label) GROUP BY 1, 2""",
         "shape_mean_ratio": f"WITH {LABELS} SELECT scene_id, label, CASE WHEN avg(z) < 0.6 * max(z) THEN 'conical' ELSE 'spherical' END AS shape FROM c GROUP BY 1, 2",
-        "shape_correlation": f"""WITH {STATS}, q AS (SELECT c.scene_id, c.label, z, z_max, z_max - z AS depth, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS r FROM c JOIN s USING (scene_id, label)),
-o AS (SELECT scene_id, label, count(*) AS n, CASE WHEN var_pop(r) > 0 AND var_pop(depth) > 0 THEN corr(r, depth) END AS co, coalesce(avg(z) / nullif(max(z_max), 0), 1) AS low FROM q GROUP BY 1, 2)
-SELECT scene_id, label, CASE WHEN n < 10 THEN 'spherical' WHEN coalesce(co, 0) > 0.7 OR low < 0.45 THEN 'conical' ELSE 'spherical' END AS shape FROM o""",
+        "shape_correlation": f"""WITH {LABELS}, m AS (SELECT scene_id, label, sum(x * power(z, 4)) / nullif(sum(power(z, 4)), 0) AS wx, sum(y * power(z, 4)) / nullif(sum(power(z, 4)), 0) AS wy, max(z) AS top FROM c GROUP BY 1, 2),
+q AS (SELECT scene_id, label, z, top, top - z AS depth, sqrt((x - wx) * (x - wx) + (y - wy) * (y - wy)) AS r FROM c JOIN m USING (scene_id, label)),
+n AS (SELECT scene_id, label, count(*) AS n, count(*) FILTER (r > 0 AND depth > 0) AS fit, coalesce(avg(z) / nullif(max(top), 0), 1) AS low FROM q GROUP BY 1, 2),
+o AS (SELECT scene_id, label, CASE WHEN var_pop(r) > 0 AND var_pop(depth) > 0 THEN corr(r, depth) END AS co FROM q WHERE r > 0 AND depth > 0 GROUP BY 1, 2)
+SELECT scene_id, label, CASE WHEN n < 10 OR fit < 5 THEN 'spherical' WHEN coalesce(co, 0) > 0.7 OR low < 0.45 THEN 'conical' ELSE 'spherical' END AS shape FROM n LEFT JOIN o USING (scene_id, label)""",
+        "smart_shape": f"""WITH {LABELS}, q AS (SELECT scene_id, label, z, sqrt(power(x - floor(x / 5) * 5 - 2.5, 2) + power(y - floor(y / 5) * 5 - 2.5, 2)) AS r, max(z) OVER w + label % 3 - z AS d FROM c WINDOW w AS (PARTITION BY scene_id, label)),
+o AS (SELECT scene_id, label, r, d / (max(d) OVER w + 0.01) AS h FROM q WINDOW w AS (PARTITION BY scene_id, label))
+SELECT scene_id, label, CASE WHEN count(*) >= 5 AND corr(r, h) > corr(r, sqrt(h)) THEN 'conical' ELSE 'spherical' END AS shape FROM o GROUP BY 1, 2""",
+        "layer_nodes": f"""WITH RECURSIVE {NORMAL}, t0 AS (SELECT scene_id, pid, x * 0.2::DOUBLE AS x, y * 0.2::DOUBLE AS y, z, floor((max(z) OVER (PARTITION BY scene_id) - z) / 0.5)::INTEGER AS sl FROM v),
+t AS MATERIALIZED (SELECT * FROM t0 QUALIFY count(*) OVER (PARTITION BY scene_id, sl) > 4),
+e AS MATERIALIZED (SELECT a.pid AS a, b.pid AS b FROM t a JOIN t b ON a.scene_id = b.scene_id AND a.sl = b.sl AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.8::DOUBLE * 0.8::DOUBLE), """
+        + _DBSCAN.format(k=4).replace("SELECT e.a AS pid", ", f AS (SELECT e.a AS pid")
+        + f"""), k AS (SELECT scene_id, sl, cluster_id, x, y, z, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM t JOIN f USING (pid) WINDOW w AS (PARTITION BY cluster_id))
+SELECT scene_id, sl AS slice_id, cluster_id, {r('avg(x)')} AS x, {r('avg(y)')} AS y, {r('avg(z)')} AS z, {r('max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)))')} AS r FROM k GROUP BY 1, 2, 3""",
         "suppress_duplicates": _suppress(f"{_FAR} < 2.0 OR {_FAR} < 0.6 * (t.radius + q.radius)"),
         "suppress_conflicts": _suppress(f"({_FAR} < 0.75 * (t.radius + q.radius) AND t.height < 0.4 * q.height) OR {_FAR} < 0.8"),
         "tree_similarity": f"WITH {SIM} SELECT scene_id, ref_id, pred_id, {', '.join(f'{r(c)} AS {c}' for c in ('s_type', 's_height', 's_radius', 's_pos', 'avg_sim'))} FROM sim",
@@ -245,6 +256,13 @@ SELECT scene_id, cls, count(*) AS n FROM i GROUP BY 1, 2""",
   row_number() OVER (PARTITION BY k.scene_id, k.peak_id ORDER BY power(n.x - (x_min + ix), 2) + power(n.y - (y_max - iy), 2) + power(n.z - h, 2), n.pid) AS rank
 FROM peaks k JOIN geo USING (scene_id) JOIN n ON n.scene_id = k.scene_id), t AS (SELECT scene_id, axis_id, arg_max((x, y, z), (z, -pid)) AS t FROM d WHERE rank <= 15 GROUP BY 1, 2)
 SELECT scene_id, axis_id, {r('t[1]')} AS x, {r('t[2]')} AS y, {r('t[3]')} AS z FROM t""",
+        "crown_axes": f"""WITH RECURSIVE {PEAKS}, d AS (SELECT k.scene_id, k.peak_id AS axis_id, n.pid, n.x, n.y, n.z,
+  row_number() OVER (PARTITION BY k.scene_id, k.peak_id ORDER BY power(n.x - (x_min + ix), 2) + power(n.y - (y_max - iy), 2) + power(n.z - h, 2), n.pid) AS rank
+FROM peaks k JOIN geo USING (scene_id) JOIN n ON n.scene_id = k.scene_id), t AS (SELECT scene_id, axis_id, arg_max((x, y, z), (z, -pid)) AS t FROM d WHERE rank <= 15 GROUP BY 1, 2),
+a(scene_id, axis_id, step, x, y, z) AS (SELECT scene_id, axis_id, 0, t[1], t[2], t[3] FROM t UNION ALL
+  SELECT a.scene_id, a.axis_id, a.step + 1, coalesce(avg(q.x) FILTER (q.z < a.z AND q.z > a.z - 2.0), a.x), coalesce(avg(q.y) FILTER (q.z < a.z AND q.z > a.z - 2.0), a.y), coalesce(avg(q.z) FILTER (q.z < a.z AND q.z > a.z - 2.0), a.z - 1.0)
+  FROM a JOIN n q ON q.scene_id = a.scene_id AND (q.x - a.x) * (q.x - a.x) + (q.y - a.y) * (q.y - a.y) + (q.z - a.z) * (q.z - a.z) <= 6.25::DOUBLE WHERE a.z > 1.0 GROUP BY a.scene_id, a.axis_id, a.step, a.x, a.y, a.z)
+SELECT scene_id, axis_id, step, {r('x', 5)} AS x, {r('y', 5)} AS y, {r('z', 5)} AS z FROM a""",
         "mean_of_top": f"WITH {LABELS}, h AS (SELECT scene_id, label, quantile_cont(z, 0.8) AS high FROM c GROUP BY 1, 2) SELECT scene_id, label, {r('coalesce(avg(x) FILTER (z > high), avg(x))')} AS x, {r('coalesce(avg(y) FILTER (z > high), avg(y))')} AS y FROM c JOIN h USING (scene_id, label) GROUP BY 1, 2",
         "points_in_regions": f"WITH {BASINS}, q AS (SELECT scene_id, floor(y_max - y)::INTEGER AS iy, floor(x - x_min)::INTEGER AS ix FROM v JOIN geo USING (scene_id)) SELECT scene_id, label, count(*) AS n FROM q JOIN b USING (scene_id, iy, ix) GROUP BY 1, 2",
         "canopy_around": f"WITH {PEAKS}, o AS (SELECT *, least(4, floor(h / 12))::INTEGER AS rad FROM peaks) SELECT o.scene_id, peak_id, {r('max(c.h)')} AS canopy FROM o JOIN c ON c.scene_id = o.scene_id AND abs(c.iy - o.iy) <= rad AND abs(c.ix - o.ix) <= rad GROUP BY 1, 2",

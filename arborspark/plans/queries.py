@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..operators import axes
 from ..operators import points as P
 from ..operators import raster as R
 from ..operators import scoring as S
@@ -30,7 +31,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _canopy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The dense 1 m canopy raster of normalised vegetation, and its grid."""
-    p = P.vegetation(P.height_normalise(views.points(spark, sf_dir)))
+    p = P.normalised_vegetation(views.points(spark, sf_dir))
     geo = R.extent(p, RES)
     return R.densify(R.rasterise(p, geo, RES), geo), geo
 
@@ -383,13 +384,35 @@ def peak_snap(s, d):
     return rounded(X.snap_to_top(peaks, P.height_normalise(views.points(s, d)), 15, 4.0))
 
 
+def crown_axes(s, d):
+    """The axes that descend from every snapped canopy peak, node by node."""
+    raster, geo = _canopy(s, d)
+    peaks = written(R.pixel_xy(R.local_maxima(raster, geo, 2, 2.0), geo, RES).select("scene_id", F.col("peak_id").alias("axis_id"), "x", "y", F.col("h").alias("z")), "peaks")
+    p = written(P.height_normalise(views.points(s, d)), "points")
+    return rounded(axes.crown_axes(written(X.snap_to_top(peaks, p, 15, 4.0), "snapped"), p, 1.0), 5)
+
+
+def layer_nodes(s, d):
+    """Nodes of the clusters of half-metre slices of a dense scan: the same points on a twenty-fifth of the area."""
+    dense = P.normalised_vegetation(views.points(s, d)).withColumn("x", F.col("x") * 0.2).withColumn("y", F.col("y") * 0.2)
+    return rounded(detectors.slice_nodes(dense, 0.8, 4).drop("pid"))
+
+
+def smart_shape(s, d):
+    """Shapes of columns of points by their radii against the depth below a height that the canopy raised."""
+    centre = lambda c: F.floor(F.col(c) / 5) * 5 + 2.5
+    nodes = _clusters(s, d).withColumn("r", F.hypot(F.col("x") - centre("x"), F.col("y") - centre("y")))
+    heights = nodes.groupBy(*KEYS).agg((F.max("z") + F.col("label") % 3).alias("height"))
+    return H.shape_by_profile(nodes, heights, KEYS)
+
+
 def mean_of_top(s, d):
     return rounded(H.mean_of_top(_clusters(s, d), KEYS))
 
 
 def points_in_regions(s, d):
     """Vegetation points of every basin."""
-    p = P.vegetation(P.height_normalise(views.points(s, d)))
+    p = P.normalised_vegetation(views.points(s, d))
     geo = R.extent(p, RES)
     labels = R.basins(R.densify(R.rasterise(p, geo, RES), geo), 2.0)
     return R.pixel_of(p, geo, RES).join(labels.select("scene_id", "iy", "ix", "label"), ["scene_id", "iy", "ix"]).groupBy("scene_id", "label").agg(F.count("*").alias("n"))
@@ -430,5 +453,5 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     shape_correlation, suppress_duplicates, suppress_conflicts, tree_similarity, optimal_assignment, unmatched_ref, scene_scores, paired_scores,
     shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, las_round_trip, las_crop,
     detected_trees, adaptive_fusion_trees, layer_stack_trees, crown_axis_trees, crown_axis_strict_trees, smart_fusion_trees,
-    watershed_labels, pixel_to_xy, nearest_vertex, peak_snap, mean_of_top, points_in_regions, canopy_around, uncovered_canopy,
+    watershed_labels, pixel_to_xy, nearest_vertex, peak_snap, crown_axes, layer_nodes, smart_shape, mean_of_top, points_in_regions, canopy_around, uncovered_canopy,
 )
