@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, staged
 
 
 def _hex(text: Column, first: int, digits: int) -> Column:
@@ -89,6 +89,37 @@ def sainte_lague(parties: DataFrame, group: Sequence[str], order: Sequence[str],
     return won.groupBy(*kept).agg((F.first("_sure") + F.sum("_won")).alias("quota"))
 
 
+def dealt(docs: DataFrame, carry: Sequence[str], seed: str, shards: int, rows_per_shard: int) -> DataFrame:
+    """docs with size and shard; rows go to shards by the hash of their id and text.
+
+    Rows that equal each other in id, text and source, where there are more of them
+    than a shard holds, are numbered, and the number is hashed too.  Numbers are drawn
+    within salted parts first and then moved on by the parts before, so no window holds
+    all copies of a row.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    name = F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text))
+    rows = docs.select(
+        F.struct(*carry).alias("doc"),
+        F.col("source").isNull().alias("src_null"),
+        F.coalesce(F.col("source"), F.lit("")).alias("src"),
+        F.col("doc_id").alias("_id"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        name.alias("_name"),
+    )
+    same = ["src_null", "src", "_name"]
+    many = staged(rows.groupBy(*same).count().filter(F.col("count") > rows_per_shard).select(*same), "mix-repeated")
+    held = rows.join(many, same, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1024)))
+    own = held.withColumn("_n", F.row_number().over(Window.partitionBy(*same, "_salt").orderBy(F.lit(0))))
+    before = Window.partitionBy(*same).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    own = staged(own, "mix-numbered")  # a number must not change between two readings
+    moved = own.groupBy(*same, "_salt").agg(F.count("*").alias("_c")).withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    numbered = own.join(moved, [*same, "_salt"]).withColumn("_n", (F.col("_n") + F.col("_first")).cast("long")).drop("_salt", "_first")
+    rest = rows.join(many, same, "left_anti").withColumn("_n", F.lit(0).cast("long"))
+    h = F.concat(F.col("_name"), F.lit("|"), F.col("_n").cast("string"))
+    return rest.unionByName(numbered).withColumn("shard", _hex(h, 1, 8) % shards).withColumn("_at", _hex(h, 9, 15))
+
+
 def mix(
     docs: DataFrame,
     carry: Sequence[str],
@@ -108,18 +139,8 @@ def mix(
     left out, with the work it takes, unless `whole`.
     """
     shards = max(1, -(-docs.count() // rows_per_shard))
-    h = F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     key = ["src_null", "src", "shard"]
-    rows = docs.select(
-        F.struct(*carry).alias("doc"),
-        F.col("source").isNull().alias("src_null"),
-        F.coalesce(F.col("source"), F.lit("")).alias("src"),
-        F.col("doc_id").alias("_id"),
-        F.xxhash64("text").alias("_tie"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        (_hex(h, 1, 8) % shards).alias("shard"),
-        _hex(h, 9, 15).alias("_at"),
-    )
+    rows = dealt(docs, carry, seed, shards, rows_per_shard)
     sizes = rows.groupBy(*key).agg(F.sum("size").alias("shard_size"))
     sources = fair_targets(sizes.groupBy("src_null", "src").agg(F.sum("shard_size").alias("source_size")), weights, cap)
     sources = sources.withColumn("seats", F.floor(F.sum("source_size").over(Window.partitionBy()) / block_tokens).cast("long"))
@@ -151,7 +172,7 @@ def mix(
         .withColumn("wrap", F.greatest(F.lit(0), F.col("to") - F.col("shard_size")))
         .select(*key, "passes", "from", "to", "wrap")
     )
-    running = Window.partitionBy(*key).orderBy("_at", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*key).orderBy("_at", "_id", "_name", "_n").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("size").over(running)).withColumn("begin", F.col("end") - F.col("size"))
 
     def overlap(a, b):

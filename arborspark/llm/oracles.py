@@ -4,13 +4,16 @@ from __future__ import annotations
 
 #: Every seat is ranked here, where the operator ranks only the open ones.
 OP5 = r"""
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS h
+         'mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS name
   FROM documents),
+d AS (
+  SELECT doc_id, source, size, name, md5(name || '|' || CASE WHEN count(*) OVER w > 250 THEN row_number() OVER w2 ELSE 0 END) AS h
+  FROM d0 WINDOW w AS (PARTITION BY source, name), w2 AS (PARTITION BY source, name ORDER BY size)),
 k AS (SELECT greatest(1, (count(*) + 249) // 250) AS shards FROM d),
 r AS (
-  SELECT doc_id, source IS NULL AS src_null, coalesce(source, '') AS src, size,
+  SELECT doc_id, name, source IS NULL AS src_null, coalesce(source, '') AS src, size,
          ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard, ('0x' || substr(h, 9, 15))::BIGINT AS pos
   FROM d, k),
 s AS (SELECT src_null, src, sum(size)::BIGINT AS source_size FROM r GROUP BY ALL),
@@ -35,7 +38,7 @@ run AS (
          ('0x' || substr(md5('mix-1|run|' || src || '|' || shard), 1, 15))::BIGINT % shard_size AS a
   FROM sh LEFT JOIN quota USING (src_null, src, shard) WHERE shard_size > 0),
 run2 AS (SELECT *, CASE WHEN passes = 3 THEN 0 ELSE quota - passes * shard_size END AS rest FROM run),
-placed AS (SELECT *, sum(size) OVER (PARTITION BY src_null, src, shard ORDER BY pos, doc_id) AS e FROM r)
+placed AS (SELECT *, sum(size) OVER (PARTITION BY src_null, src, shard ORDER BY pos, doc_id, name) AS e FROM r)
 SELECT p.doc_id, p.size, sq.source_size, sq.target,
        (coalesce(passes, 0) * size + coalesce(greatest(0, least(e, a + rest) - greatest(e - size, a))
         + greatest(0, least(e, greatest(0, a + rest - shard_size)) - (e - size)), 0))::BIGINT AS taken

@@ -5,10 +5,10 @@
    aggregates; only the selected terms (at most `terms`) reach the driver.
 2. Matching: texts are cut at white space, and these chunks into words of letters
    and digits as the lexicon's are; a chunk is looked up whole (stripped of marks)
-   if none of its words hits.  Tries hold the words and the stems.  A Levenshtein
-   automaton (one edit, or two neighbouring letters exchanged) runs over them for
-   every new word and accepts at a word's end, or at a stem's end as a prefix, so
-   misspelled terms are found; words known from clean documents are exceptions.
+   if none of its words hits.  A trie holds the words and the stems.  A Levenshtein
+   automaton (one edit, or two neighbouring letters exchanged) over it, deterministic
+   and so one look-up a letter, accepts at a word's end, or at a stem's end as a prefix,
+   so misspelled terms are found; words known from clean documents are exceptions.
    Of four letters, only exchanged, replaced or inserted inner letters count.
 3. Context: each hit is weighed by the window around it.  Hits inside quotation
    marks or after a reporting verb count as quotation, hits near a second-person
@@ -25,10 +25,11 @@ score alike; other columns are carried only if asked for.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ _EDGE = " \t\n\r.,;:!?\"'()[]{}<>«»“”„‚‘’‹›…*#$%&/\\|-–—
 #: Words as `learn_lexicon` cuts them.
 _WORD = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = "“„«‹", "”»›"
+_QUOTES = frozenset(_OPEN + _CLOSE + '"')
 
 #: Words that report speech, and second-person words, in the supported languages.
 REPORTING = frozenset("said says wrote writes called quote quoted quotes term word dit disait écrit mot sagte sagt schrieb nannte wort dijo dice escribió llamó palabra".split())
@@ -49,86 +51,134 @@ SECOND_PERSON = frozenset("you your yours you're ya u tu toi ton ta tes vous vot
 FEATURES = ("abuse", "quotation", "directed", "density")
 
 
-@dataclass
+class Automaton:
+    """Levenshtein automaton of one edit over the trie of words and stems, made deterministic as texts ask for its states.
+
+    A state is a set of (trie node, edits left) and of exchanges that wait for their
+    second letter; each letter of a word is one look-up in its state's table.  The table
+    holds at most `most` states and starts anew beyond that.
+    """
+
+    def __init__(self, words: frozenset[str], stems: frozenset[str], most: int = 100_000):
+        self.children: list[dict[str, int]] = [{}]
+        self.word_ends: set[int] = set()
+        self.stem_ends: set[int] = set()
+        for terms, ends in ((words, self.word_ends), (stems, self.stem_ends)):
+            for term in terms:
+                if len(term) >= 5:
+                    ends.add(self._insert(term))
+        self.letters = frozenset(c for node in self.children for c in node)
+        #: Of four letters: terms with one letter left open, and the terms themselves.
+        self.short = frozenset(t for t in words | stems if len(t) == 4)
+        self.short_open = frozenset(t[:i] + "\0" + t[i + 1 :] for t in self.short for i in range(4))
+        self.most = most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.tables: list[dict[str, int]] = []
+        self.accepts: list[int] = []  # 2: a stem is met, whatever follows; 1: a word is met if the text's word ends here
+        self._number(frozenset())  # 0: nothing can be met any more
+        self.start = self._number(frozenset([(0, 1, "")]))
+
+    def _insert(self, term: str) -> int:
+        node = 0
+        for c in term:
+            if c not in self.children[node]:
+                self.children[node][c] = len(self.children)
+                self.children.append({})
+            node = self.children[node][c]
+        return node
+
+    def _number(self, state: frozenset) -> int:
+        n = self.numbers.get(state)
+        if n is None:
+            n = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.tables.append({})
+            reached = {node for node, _, wait in state if not wait} | {c for node, left, wait in state if left and not wait for c in self.children[node].values()}
+            self.accepts.append(2 if reached & self.stem_ends else 1 if reached & self.word_ends else 0)
+        return n
+
+    def _step(self, n: int, letter: str) -> int:
+        """The state after a letter; letters of no term are all alike ('')."""
+        out: set[tuple[int, int, str]] = set()
+        for node, left, wait in self.states[n]:
+            if wait:
+                if wait == letter:
+                    out.add((node, 0, ""))
+                continue
+            children = self.children[node]
+            if letter in children:
+                out.add((children[letter], left, ""))
+            if left:
+                out.add((node, 0, ""))  # a letter too many
+                for c, child in children.items():
+                    below = self.children[child].get(letter)
+                    if below is not None:
+                        out.add((below, 0, ""))  # c was left out
+                    if c != letter:
+                        out.add((child, 0, ""))
+                        if below is not None:
+                            out.add((below, 0, c))  # exchanged, if c comes next
+        found = self._number(frozenset(out))
+        self.tables[n][letter] = found
+        return found
+
+    def near(self, word: str) -> bool:
+        """Whether word is within one edit of a word, or begins within one edit of a stem; an exchange of neighbours is one."""
+        if len(self.states) > self.most:
+            self._reset()
+        tables, accepts, n = self.tables, self.accepts, self.start
+        for c in word:
+            to = tables[n].get(c)
+            if to is None:
+                if c not in self.letters:
+                    c = ""
+                    to = tables[n].get(c)
+                if to is None:
+                    to = self._step(n, c)
+            n = to
+            if not n:
+                return False
+            if accepts[n] == 2:
+                return True
+        return accepts[n] > 0
+
+    def near_short(self, w: str) -> bool:
+        """Within one replaced or exchanged letter of a term of four letters, or one inserted inner letter."""
+        if len(w) == 4:
+            if any(w[:i] + "\0" + w[i + 1 :] in self.short_open for i in range(4)):
+                return True
+            return any(w[:i] + w[i + 1] + w[i] + w[i + 2 :] in self.short for i in range(3))
+        return len(w) == 5 and any(w[:i] + w[i + 1 :] in self.short for i in range(1, 4))
+
+
+@functools.lru_cache(maxsize=1)
+def _automaton(words: frozenset[str], stems: frozenset[str]) -> Automaton:
+    """The Python worker's automaton: tasks share its table."""
+    return Automaton(words, stems)
+
+
+@dataclass(frozen=True)
 class Lexicon:
-    """Terms as words and stems, with exceptions, and the automaton over their trie."""
+    """Terms as words and stems, with exceptions."""
 
     words: frozenset[str] = frozenset()
     stems: frozenset[str] = frozenset()
     exceptions: frozenset[str] = frozenset()
-    trie: dict = field(default_factory=dict, compare=False)
-
-    def __post_init__(self):
-        self.trie, self.stem_trie, self.short_trie = {}, {}, {}
-        self.short_parts: set[tuple[str, str]] = set()  # halves and outer letters of the terms of four letters
-        self.halves: dict[int, tuple[int, set, set, set]] = {}  # by length of terms: heads, tails, and both without the middle
-        self.stem_halves: dict[int, tuple[int, set, set, set]] = {}
-        for terms, trie, halves in ((self.words, self.trie, self.halves), (self.stems, self.stem_trie, self.stem_halves)):
-            for w in terms:
-                if len(w) < 5:
-                    if len(w) == 4:
-                        self._insert(self.short_trie, w)
-                        self.short_parts |= {(w[:2], ""), ("", w[2:]), (w[0], w[3])}
-                    continue
-                self._insert(trie, w)
-                half = len(w) // 2
-                _, heads, tails, rims = halves.setdefault(len(w), (half, set(), set(), set()))
-                heads.add(w[:half])
-                tails.add(w[half:])
-                rims.add((w[: half - 1], w[half + 1 :]))
-        self.stem_sizes = sorted({len(s) for s in self.stems})
-
-    @staticmethod
-    def _insert(trie: dict, word: str) -> None:
-        for c in word:
-            trie = trie.setdefault(c, {})
-        trie[""] = word
-
-    def _maybe_near(self, w: str) -> bool:
-        """One edit leaves a term's first or second half as it was, or exchanges the letters where they meet."""
-        n = len(w)
-        for size in (n - 1, n, n + 1):
-            if size in self.halves:
-                half, heads, tails, rims = self.halves[size]
-                if w[:half] in heads or w[n - size + half :] in tails or (size == n and (w[: half - 1], w[half + 1 :]) in rims):
-                    return True
-        return False
-
-    def _maybe_near_stem(self, w: str) -> bool:
-        """The same for the prefixes of w."""
-        for size, (half, heads, tails, rims) in self.stem_halves.items():
-            if w[:half] in heads or any(w[half + d : size + d] in tails for d in (-1, 0, 1)) or (w[: half - 1], w[half + 1 : size]) in rims:
-                return True
-        return False
-
-    def near(self, word: str, trie: dict | None = None, prefix: bool = False) -> str | None:
-        """The term within one edit of word (or of a prefix of it): the automaton's states are (trie node, letters read, edits left)."""
-        states = [(self.trie if trie is None else trie, 0, 1)]
-        n = len(word)
-        while states:
-            node, i, left = states.pop()
-            if (prefix or n - i <= left) and "" in node:
-                return node[""]
-            if i < n and word[i] in node:
-                states.append((node[word[i]], i + 1, left))
-            if left:
-                if i < n:
-                    states.append((node, i + 1, 0))
-                for c, child in node.items():
-                    if c:
-                        states.append((child, i, 0))
-                        if i < n and c != word[i]:
-                            states.append((child, i + 1, 0))
-                            if i + 1 < n and c == word[i + 1] and word[i] in child:
-                                states.append((child[word[i]], i + 2, 0))
-        return None
-
-    def _near_short(self, w: str) -> bool:
-        """Within one edit of a term of four letters whose outer letters stand; what begins or ends otherwise is mostly another word."""
-        if len(w) not in (4, 5) or self.short_parts.isdisjoint(((w[:2], ""), ("", w[-2:]), (w[0], w[-1]))):
-            return False
-        term = self.near(w, self.short_trie)
-        return term is not None and (len(w) == 4 or (w[0] == term[0] and w[-1] == term[-1]))
+
+    def __reduce__(self):
+        return Lexicon, (self.words, self.stems, self.exceptions)
+
+    @functools.cached_property
+    def automaton(self) -> Automaton:
+        return _automaton(self.words, self.stems)
+
+    @functools.cached_property
+    def stem_sizes(self) -> list[int]:
+        return sorted({len(s) for s in self.stems})
 
     def hit(self, chunk: str) -> str:
         """'' or how a word, or a chunk of text as a whole, matches: word, stem or near."""
@@ -140,15 +190,16 @@ class Lexicon:
                 return "stem"
         if len(w) < 4 or w in self.exceptions:
             return ""
-        if (self._maybe_near(w) and self.near(w)) or (self._maybe_near_stem(w) and self.near(w, self.stem_trie, prefix=True)) or self._near_short(w):
-            return "near"
-        return ""
+        return "near" if self.automaton.near(w) or self.automaton.near_short(w) else ""
 
     def hits(self, chunk: str) -> int:
         """How many terms a chunk holds: its words are looked up, then the whole for marks and digits inside a term."""
+        whole = chunk.strip(_EDGE).lower()
+        if whole.isalnum():
+            return int(bool(self.hit(whole)))
         words = _WORD.findall(chunk.lower())
         found = sum(bool(self.hit(w)) for w in words)
-        if found or (len(words) == 1 and words[0] == chunk.lower().strip(_EDGE)) or any(w in self.exceptions for w in words):
+        if found or (len(words) == 1 and words[0] == whole) or any(w in self.exceptions for w in words):
             return found
         return int(bool(self.hit(chunk)))
 
@@ -173,6 +224,7 @@ def evidence(text: str, lexicon: Lexicon, memo: dict[str, int], window: int = 8)
         return 0.0, 0.0, 0.0, 0.0
     abuse = quotation = directed = 0.0
     depth, plain = 0, False  # inside typographic quotes; inside straight ones
+    quoted = not _QUOTES.isdisjoint(text)
     for i, c in enumerate(chunks):
         if c in hits:
             around = [w for x in chunks[max(0, i - window) : i + window + 1] for w in _words(x)]
@@ -184,6 +236,8 @@ def evidence(text: str, lexicon: Lexicon, memo: dict[str, int], window: int = 8)
             else:
                 abuse += hits[c]
                 directed += hits[c] * any(x in SECOND_PERSON for x in around)
+        if not quoted or _QUOTES.isdisjoint(c):
+            continue
         if '"' in c:
             plain ^= c.count('"') % 2 == 1
         for ch in c:

@@ -239,8 +239,10 @@ def test_automaton_equals_edit_distance(word):
         return d[len(a), len(b)]
 
     near = min(distance(word, w) for w in ("idiot", "worthless")) <= 1
-    assert (LEXICON.near(word) is not None) == near
-    assert LEXICON._maybe_near(word) or not near or len(word) < 4
+    begins = any(distance(word[:n], "lowei") <= 1 for n in range(len(word) + 1))
+    assert LEXICON.automaton.near(word) == (near or begins)
+    small = toxicity.Automaton(LEXICON.words, LEXICON.stems, most=5)  # a table that starts anew gives the same
+    assert [small.near(w) for w in (word, word[::-1], word)] == [LEXICON.automaton.near(w) for w in (word, word[::-1], word)]
 
 
 def test_quotation_is_told_from_abuse():

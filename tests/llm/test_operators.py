@@ -203,6 +203,37 @@ def test_evidence_of_the_table(spark, data):
         assert tuple(r)[1:] == toxicity.evidence(texts[r.doc_id], lexicon, {})
 
 
+def test_hits_of_the_table_by_edit_distance(spark, data):
+    """Every word of the table against the terms, one pair at a time."""
+
+    def distance(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    words, stems, exceptions = {"there", "which", "house", "idiot"}, {"strea", "morn"}, {"these", "where"}
+    lexicon = toxicity.Lexicon(frozenset(words), frozenset(stems), frozenset(exceptions))
+
+    def expected(w):
+        if w in words:
+            return "word"
+        if any(w.startswith(s) for s in stems):
+            return "stem"
+        if len(w) < 4 or w in exceptions:
+            return ""
+        near = any(abs(len(w) - len(t)) < 2 and distance(w, t) <= 1 for t in words)
+        begins = any(distance(w[:n], "strea") <= 1 for n in (4, 5, 6))
+        short = (len(w) == 4 and distance(w, "morn") == 1) or (len(w) == 5 and any(w[:i] + w[i + 1 :] == "morn" for i in (1, 2, 3)))
+        return "near" if near or begins or short else ""
+
+    seen = {w for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect() for w in regex.findall(r"[^\W_]+", (r.text or "").lower())}
+    assert {w: lexicon.hit(w) for w in seen} == {w: expected(w) for w in seen}
+    assert {"word", "near", ""} <= {lexicon.hit(w) for w in seen}
+
+
 def test_toxicity_learns_and_covers_odd_texts(spark, docs, none):
     train, labels = labelled(spark)
     odd = docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")
@@ -216,6 +247,17 @@ def test_toxicity_learns_and_covers_odd_texts(spark, docs, none):
     assert toxicity.score_toxicity(train, labels.limit(0)).select("score").distinct().count() == 1
 
 
+def test_mixing_parts_rows_without_ids_and_repeated_rows(spark, monkeypatch):
+    """Shards stay small though a third of the rows has no id, one id is repeated and one row too."""
+    rows = [(None, f"text {i} here", "a") for i in range(900)] + [(7, f"other {i}", "b") for i in range(900)] + [(8, "one and the same", "a")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    largest = mixing.dealt(df, ["doc_id"], "mix-1", 28, 100).groupBy("shard").count().agg(F.max("count")).first()[0]
+    assert largest < 160
+    got = mixing.mix(df, ["doc_id"], block_tokens=1, rows_per_shard=100, whole=False)
+    again = mixing.mix(df.repartition(3), ["doc_id"], block_tokens=1, rows_per_shard=100, whole=False)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, again.collect()))
+
+
 def test_mixing_cases(spark, docs, none):
     rows = mixing.mix(docs, ["doc_id", "size"], block_tokens=1, rows_per_shard=2).collect()
     assert len(rows) == docs.count() and all(0 <= r.taken <= 3 * r.size for r in rows)
