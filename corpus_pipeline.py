@@ -1,4 +1,13 @@
-"""A training-data pipeline over `documents`: filter by quality and toxicity, drop near-duplicates, mix sources, pack."""
+"""A training-data pipeline over `documents`: filter by quality and toxicity, drop near-duplicates, mix sources, pack.
+
+Defined cases, for every stage: a null text counts as empty; empty texts have no
+words, so the classifiers judge them like any text and the mix never takes them (it takes words);
+rows without doc_id are documents like others, and unlike texts stay apart
+though they share an id or have none; of equal and near-equal texts one row stays, the one
+of least doc_id, then content key, then least columns; repeated rows before that
+stage are judged alike; an empty table passes through all stages as an empty table; columns beyond
+COLUMNS are left out by name, so they cannot clash with computed ones.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.llm import mixing, neardup_text, packing, quality, toxicity
-from arborspark.llm.common import new_path, table
+from arborspark.llm.common import bounded_batches, discard, new_path, table
 from arborspark.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: All stages share the executors' Python workers, so batches and groups are smaller here than in single queries.
+BATCH_MB, GROUP_TOKENS = 4, 1 << 19
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    bounded_batches(spark, BATCH_MB)
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
     return scored.filter("predicted = 1").select("doc.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model lets pass."""
+    bounded_batches(spark, BATCH_MB)
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS)
     return scored.filter("predicted = 0").select("doc.*")
 
@@ -50,7 +63,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces; see op2."""
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    bounded_batches(spark, BATCH_MB)
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), group_tokens=GROUP_TOKENS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -67,10 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet to the shared folder and read again by the next."""
+    """All stages over `documents`, each written as Parquet to the shared folder and read again by the next, which then deletes it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
+        if hasattr(docs, "scratch_path"):
+            discard(docs)
         docs = spark.read.parquet(path)
+        docs.scratch_path = path
     return docs
