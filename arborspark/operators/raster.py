@@ -6,16 +6,14 @@ rows and then columns, so a raster is never joined with its own offsets.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import discard, written
+from .flood import watershed
 
 
 def extent(points: DataFrame, res: float, whole: bool = False) -> DataFrame:
@@ -134,51 +132,14 @@ def basins(raster: DataFrame, floor: float) -> DataFrame:
     now = written(climb.select("scene_id", "iy", "ix", "h", "cell", (-F.col("top.col2")).alias("label")), "climb")
     while True:
         up = now.select("scene_id", F.col("cell").alias("label"), F.col("label").alias("next"))
-        new = written(now.join(up, ["scene_id", "label"]).select("scene_id", "iy", "ix", "h", "cell", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "climb")
+        old, new = now, written(now.join(up, ["scene_id", "label"]).select("scene_id", "iy", "ix", "h", "cell", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "climb")
         now = new.drop("moved")
+        now.scratch_path = new.scratch_path
+        discard(old)
         if not new.filter("moved").limit(1).count():
             return now.drop("cell")
 
 
-def flood(h: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Labels of the mask's pixels by flooding from the markers, the highest pixels first and of equals the one met first.
-
-    A pixel gets the label of the neighbour (of 4) from which the flood meets it.
-    """
-    rows, cols = h.shape
-    labels = np.where(mask, markers, 0)
-    queue = [(-h[y, x], i, y, x) for i, (y, x) in enumerate(zip(*np.nonzero(labels), strict=True))]
-    heapq.heapify(queue)
-    met = len(queue)
-    while queue:
-        _, _, y, x = heapq.heappop(queue)
-        for v, u in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            if 0 <= v < rows and 0 <= u < cols and mask[v, u] and not labels[v, u]:
-                labels[v, u] = labels[y, x]
-                heapq.heappush(queue, (-h[v, u], met, v, u))
-                met += 1
-    return labels
-
-
-def watershed(raster: DataFrame, markers: DataFrame, floor: float) -> DataFrame:
-    """scene_id, iy, ix, h, label of the pixels above floor that the flood from markers(scene_id, iy, ix, peak_id) meets.
-
-    The flood is sequential, so a scene's raster is one group; scenes are bounded and their number grows.
-    """
-    rows = raster.join(markers.select("scene_id", "iy", "ix", F.col("peak_id").cast("long").alias("label")), ["scene_id", "iy", "ix"], "left")
-    rows = rows.select("scene_id", "iy", "ix", "h", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
-
-    def solve(table: pa.Table) -> pa.Table:
-        y, x, h, label = (table.column(c).to_numpy() for c in ("iy", "ix", "h", "label"))
-        shape = (int(y.max()) + 1, int(x.max()) + 1)
-        high, seeds = np.full(shape, -np.inf), np.zeros(shape, np.int64)
-        high[y, x], seeds[y, x] = h, label
-        found = flood(high, seeds, high > floor)[y, x]
-        return table.set_column(4, "label", pa.array(found)).filter(pa.array(found > 0))
-
-    return rows.groupBy("scene_id").applyInArrow(solve, rows.schema)
-
-
 def window_max(centres: DataFrame, raster: DataFrame, keys: Sequence[str], size: str = "size") -> DataFrame:
     """keys, canopy: the highest pixel in the square of `size` pixels around each centre (keys, iy, ix)."""
     spread = lambda c: F.explode(F.sequence(F.col(c) - F.col(size), F.col(c) + F.col(size))).alias(c)

@@ -129,44 +129,6 @@ def test_one_far_outlier_ends_in_a_few_rounds(spark, monkeypatch):
     assert [r.r_pid for r in got] == [1000, 0, 1] and rounds.count("nearest") <= 12
 
 
-def slow_flood(h, markers, mask):
-    """Flooding order by looking at every waiting pixel each time."""
-    labels, waiting, met = np.where(mask, markers, 0), [], 0
-    for y, x in zip(*np.nonzero(labels), strict=True):
-        waiting.append((-h[y, x], met, y, x))
-        met += 1
-    while waiting:
-        first = min(waiting)
-        waiting.remove(first)
-        _, _, y, x = first
-        for dy, dx in ((-1, 0), (0, -1), (0, 1), (1, 0)):
-            v, u = y + dy, x + dx
-            if 0 <= v < h.shape[0] and 0 <= u < h.shape[1] and mask[v, u] and labels[v, u] == 0:
-                labels[v, u] = labels[y, x]
-                waiting.append((-h[v, u], met, v, u))
-                met += 1
-    return labels
-
-
-def test_watershed_floods_from_the_markers(spark):
-    rng = np.random.default_rng(6)
-    scenes, peaks, want = [], [], {}
-    for scene in range(6):
-        h = rng.integers(0, 9 if scene % 2 else 1000, (12, 9)).astype(float)
-        marks = np.zeros((12, 9), np.int64)
-        for i, (y, x) in enumerate(rng.integers(0, 9, (4, 2))):
-            marks[y, x] = i + 1
-        scenes += [(scene, y, x, float(h[y, x])) for y in range(12) for x in range(9)]
-        peaks += [(scene, int(y), int(x), int(marks[y, x])) for y, x in zip(*np.nonzero(marks), strict=True)]
-        labels = slow_flood(h, marks, h > 2)
-        want |= {(scene, y, x): int(labels[y, x]) for y in range(12) for x in range(9) if labels[y, x]}
-    raster = spark.createDataFrame(scenes, "scene_id int, iy int, ix int, h double")
-    markers = spark.createDataFrame(peaks, "scene_id int, iy int, ix int, peak_id int")
-    got = {(r.scene_id, r.iy, r.ix): r.label for r in R.watershed(raster, markers, 2.0).collect()}
-    assert got == want
-    assert R.watershed(raster.limit(0), markers, 2.0).count() == 0
-
-
 def test_assignment_of_many_scenes_in_small_batches(spark):
     rng = np.random.default_rng(2)
     rows = [(s, r, p, float(v)) for s in range(30) for r in range(s % 5 + 1) for p, v in enumerate(rng.random(4))]
