@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release_memory
+
 #: Latin letters, digits and marks whose Unicode class has never changed, and whose lower case is among them.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 _NUMBER = "0-9²³¹¼-¾"
@@ -51,14 +53,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
-        self.pattern, self.words, self.most = _PIECES[kind], kind == "words", memo
+        self.pattern, self.words, self.most, self.slice_bytes = _PIECES[kind], kind == "words", memo, _SLICE
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def forget(self) -> None:
         """Give the memo's memory back; called where a task ends, for workers live on."""
         self.young, self.old = {}, {}
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,7 +99,7 @@ class Encoder:
         parts, at = [(np.zeros(0, np.int64), np.zeros(0, np.uint32))], 0
         until = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         while at < len(texts):  # a few MB at a time
-            stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + _SLICE, "right")))
+            stop = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + self.slice_bytes, "right")))
             parts.append(self._encode(pc.fill_null(texts[at:stop], ""), end_id))
             at = stop
             pa.default_memory_pool().release_unused()

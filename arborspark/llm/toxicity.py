@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, staged
+from .common import bounded_batches, held_out, release_memory, staged
 from .quality import learnable, sampled_labels
 
 _EDGE = " \t\n\r.,;:!?\"'()[]{}<>«»“”„‚‘’‹›…*#$%&/\\|-–—_=+~^`"
@@ -314,6 +314,8 @@ def with_evidence(docs: DataFrame, lexicon: Lexicon, memo_size: int = 150_000) -
             columns = [pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*carried, *FEATURES])
             pa.default_memory_pool().release_unused()
+        memo.clear()
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 

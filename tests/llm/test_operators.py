@@ -247,6 +247,13 @@ def test_toxicity_learns_and_covers_odd_texts(spark, docs, none):
     assert toxicity.score_toxicity(train, labels.limit(0)).select("score").distinct().count() == 1
 
 
+def test_packing_does_not_depend_on_its_slices(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60).coalesce(1).cache()
+    whole = packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), group_tokens=20_000)
+    sliced = packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), group_tokens=20_000, slice_bytes=2_000, memo=50)
+    assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, sliced.collect()))
+
+
 def test_mixing_parts_rows_without_ids_and_repeated_rows(spark, monkeypatch):
     """Shards stay small though a third of the rows has no id, one id is repeated and one row too."""
     rows = [(None, f"text {i} here", "a") for i in range(900)] + [(7, f"other {i}", "b") for i in range(900)] + [(8, "one and the same", "a")] * 900
