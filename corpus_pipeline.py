@@ -20,7 +20,7 @@ from arborspark.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: All stages share the executors' Python workers, so batches and groups are smaller here than in single queries.
-BATCH_MB, GROUP_TOKENS = 4, 1 << 19
+BATCH_MB, GROUP_TOKENS, SLICE_BYTES, MEMO = 4, 1 << 19, 1 << 20, 40_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces; see op2."""
     bounded_batches(spark, BATCH_MB)
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), group_tokens=GROUP_TOKENS)
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), group_tokens=GROUP_TOKENS, slice_bytes=SLICE_BYTES, memo=MEMO)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
