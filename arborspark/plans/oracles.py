@@ -268,5 +268,8 @@ SELECT scene_id, axis_id, step, {r('x', 5)} AS x, {r('y', 5)} AS y, {r('z', 5)}
         "canopy_around": f"WITH {PEAKS}, o AS (SELECT *, least(4, floor(h / 12))::INTEGER AS rad FROM peaks) SELECT o.scene_id, peak_id, {r('max(c.h)')} AS canopy FROM o JOIN c ON c.scene_id = o.scene_id AND abs(c.iy - o.iy) <= rad AND abs(c.ix - o.ix) <= rad GROUP BY 1, 2",
         "uncovered_canopy": f"""WITH {PEAKS}, o AS (SELECT *, least(4, floor(h / 12))::INTEGER AS rad FROM peaks)
 SELECT scene_id, iy, ix, {r('CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.scene_id = c.scene_id AND power(o.iy - c.iy, 2) + power(o.ix - c.ix, 2) <= rad * rad) THEN 0 ELSE h END')} AS h FROM c""",
+        "stream_distinct_means": f"SELECT event_type AS parser, count(*) AS runs, {r('avg(value)')} AS score FROM events GROUP BY 1",
+        "stalled_runs": """WITH t AS (SELECT DISTINCT user_id AS run, epoch_us(ts) AS us FROM events)
+SELECT run, us AS last_micros FROM t QUALIFY coalesce(lead(us) OVER (PARTITION BY run ORDER BY us), (SELECT max(us) FROM t)) - us > 120000000""",
         "stream_running_mean": f"SELECT event_type AS parser, count(*) AS runs, {r('avg(value)')} AS score FROM events GROUP BY 1",
     }

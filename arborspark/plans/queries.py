@@ -15,7 +15,7 @@ from ..operators import scoring as S
 from ..operators import shape as H
 from ..operators import spatial as X
 from ..scratch import written
-from ..streaming.results import running_means
+from ..streaming import results, stalls
 from . import detectors, reports, views
 from .views import uniform
 
@@ -442,7 +442,21 @@ def run_labels(s, d):
 
 
 def stream_running_mean(s, d):
-    return rounded(running_means(s, d))
+    return rounded(results.running_means(s, d))
+
+
+def stream_distinct_means(s, d):
+    """Running means over results of which every third is told again half a minute later."""
+    runs = results.event_stream(s, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("parser"), F.col("value").alias("score"))
+    again = results.event_stream(s, d).filter("event_id % 3 = 0").select("event_id", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 30 SECONDS")).alias("ts"), F.col("event_type").alias("parser"), F.col("value").alias("score"))
+    return rounded(results.caught_up(s, results.means(results.distinct_runs(runs.unionByName(again), "event_id", "ts", "1 hour"))))
+
+
+def stalled_runs(s, d):
+    """Users without an event for 120 s, from the event stream."""
+    progress = results.event_stream(s, d).select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("at"))
+    found = stalls.run_to_end(s, stalls.stalls(progress), "stalls")
+    return found.select("run", F.unix_micros("last_progress").alias("last_micros"))
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
@@ -451,7 +465,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     tall_mask, disc_mask, minmax_normalise, percentile_stretch, eps_neighbours, knn_k8, sor_filter, nearest_peak, descent_step, connected_components,
     dbscan_slice, dbscan_link, cluster_stats, vertical_clusters, weighted_centre, radius_percentiles, radial_profile, shape_cone_ball, shape_mean_ratio,
     shape_correlation, suppress_duplicates, suppress_conflicts, tree_similarity, optimal_assignment, unmatched_ref, scene_scores, paired_scores,
-    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, las_round_trip, las_crop,
+    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, stream_distinct_means, stalled_runs, las_round_trip, las_crop,
     detected_trees, adaptive_fusion_trees, layer_stack_trees, crown_axis_trees, crown_axis_strict_trees, smart_fusion_trees,
     watershed_labels, pixel_to_xy, nearest_vertex, peak_snap, crown_axes, layer_nodes, smart_shape, mean_of_top, points_in_regions, canopy_around, uncovered_canopy,
 )
