@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import percentiles
+
 GROUND, VEGETATION = 2, (3, 4, 5)
+_GROUND = ("CASE WHEN cls = 2 THEN z END", 0.5)
 
 
 def ground_level(points: DataFrame) -> DataFrame:
     """scene_id, z_ground: the median height of ground returns, else the lowest point."""
-    ground = F.percentile(F.when(F.col("cls") == GROUND, F.col("z")), F.lit(0.5))
-    return points.groupBy("scene_id").agg(F.coalesce(ground, F.min("z")).alias("z_ground"))
+    levels = percentiles(points, ["scene_id"], {"_ground": _GROUND}, more=[F.min("z").alias("_low")])
+    return levels.select("scene_id", F.coalesce("_ground", "_low").alias("z_ground"))
 
 
 def height_normalise(points: DataFrame) -> DataFrame:
@@ -29,14 +32,14 @@ def vegetation(points: DataFrame, min_z: float = 2.0) -> DataFrame:
 
 
 def normalised_vegetation(points: DataFrame, min_z: float = 2.0, bare: str = "median") -> DataFrame:
-    """vegetation(height_normalise(points)) with one aggregate and one join.
+    """vegetation(height_normalise(points)) with the same aggregates and one join.
 
     bare: scenes without vegetation stand on their `median` ground or on their `lowest` point.
     """
-    ground = F.percentile(F.when(F.col("cls") == GROUND, F.col("z")), F.lit(0.5))
-    has = F.max(F.col("cls").isin(*VEGETATION))
-    level = F.coalesce(ground, F.min("z")) if bare == "median" else F.when(has, F.coalesce(ground, F.min("z"))).otherwise(F.min("z"))
-    p = points.join(points.groupBy("scene_id").agg(has.alias("_has"), level.alias("_ground")), "scene_id")
+    has = F.max(F.col("cls").isin(*VEGETATION)).alias("_has")
+    levels = percentiles(points, ["scene_id"], {"_ground": _GROUND}, more=[F.min("z").alias("_low"), has])
+    level = F.coalesce("_ground", "_low") if bare == "median" else F.when(F.col("_has"), F.coalesce("_ground", "_low")).otherwise(F.col("_low"))
+    p = points.join(levels.select("scene_id", "_has", level.alias("_ground")), "scene_id")
     p = p.withColumn("z", F.col("z") - F.col("_ground"))
     return p.filter(F.when(F.col("_has"), F.col("cls").isin(*VEGETATION)).otherwise(F.col("z") >= min_z)).drop("_has", "_ground")
 

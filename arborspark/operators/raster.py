@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import discard, written
 from .flood import watershed
+from .selection import percentiles
 
 
 def extent(points: DataFrame, res: float, whole: bool = False) -> DataFrame:
@@ -183,5 +184,5 @@ def minmax(raster: DataFrame) -> DataFrame:
 
 def percentile_stretch(raster: DataFrame, low: float = 0.05, high: float = 0.99) -> DataFrame:
     """Heights clipped to [low percentile of the positive pixels, high percentile of all]."""
-    lim = raster.groupBy("scene_id").agg(F.percentile(F.when(F.col("h") > 0, F.col("h")), F.lit(low)).alias("lo"), F.percentile("h", F.lit(high)).alias("hi"))
+    lim = percentiles(raster, ["scene_id"], {"lo": ("CASE WHEN h > 0 THEN h END", low), "hi": ("h", high)})
     return raster.join(lim, "scene_id").withColumn("h", F.least(F.greatest("h", F.coalesce("lo", "h")), "hi")).drop("lo", "hi")

@@ -169,6 +169,10 @@ def oracle_sql() -> dict[str, str]:
 SELECT pid FROM d WHERE CASE WHEN pid % 2 = 0 THEN d <= 8.0 * (1 - z / 30.0) * 2.6 ELSE power(d / 8.0, 2) + power((z - 18.0) / 12.0, 2) <= 1 OR (d < 2.4 AND z < 6.0) END""",
         "polygon_crop": f"""WITH {POINTS}, e(x1, y1, x2, y2) AS (VALUES {edges})
 SELECT scene_id, pid FROM p, e GROUP BY ALL HAVING sum(((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1)::INT) % 2 = 1""",
+        "points_in_polygons": f"""WITH {POINTS}, k AS (SELECT (p_partkey // 500)::INTEGER AS scene_id, p_partkey AS polygon_id, p_partkey * 131 AS k, (3 + p_partkey % 10)::BIGINT AS n, unnest(range(0, 3 + p_partkey % 10)) AS i FROM part),
+v AS (SELECT scene_id, polygon_id, n, i, {_u("k + 91")} * 25.0::DOUBLE + {_u("k + 2 * i")} * (1.0::DOUBLE + {_u("k + 90")} * 7.0::DOUBLE) AS x, {_u("k + 92")} * 25.0::DOUBLE + {_u("k + 2 * i + 1")} * (1.0::DOUBLE + {_u("k + 90")} * 7.0::DOUBLE) AS y FROM k),
+e AS (SELECT a.scene_id, a.polygon_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.polygon_id = b.polygon_id AND b.i = (a.i + 1) % a.n)
+SELECT p.scene_id, pid, polygon_id FROM p JOIN e ON p.scene_id = e.scene_id AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1""",
         "height_slices": f"WITH {POINTS}, t AS (SELECT scene_id, max(z) AS m FROM p GROUP BY 1) SELECT scene_id, floor((m - z) / 0.5)::INTEGER AS slice_id, count(*) AS n FROM p JOIN t USING (scene_id) GROUP BY ALL",
         "axis_densify": f"""WITH {POINTS}, s AS (SELECT *, pid // 8 AS axis_id, row_number() OVER (PARTITION BY scene_id, pid // 8 ORDER BY z DESC, pid)::INTEGER AS step FROM p),
 b AS (SELECT a.*, b.x AS x2, b.y AS y2, b.z AS z2 FROM s a JOIN s b ON a.scene_id = b.scene_id AND a.axis_id = b.axis_id AND b.step = a.step + 1),
@@ -246,6 +250,9 @@ SELECT scene_id, sl AS slice_id, cluster_id, {r('avg(x)')} AS x, {r('avg(y)')} A
   regexp_replace(parser || '/' || printf('N%.2f_D%.2f_O%.2f_M%.2f_G%.2f', {', '.join(_FACTORS)}), '[^A-Za-z0-9 _-]', '_', 'g') AS file,
   printf('%02d:%02d:%02d', (floor(score * 37)::BIGINT // 3600) % 24, (floor(score * 37)::BIGINT // 60) % 60, floor(score * 37)::BIGINT % 60) AS clock FROM res""",
         "las_round_trip": f"WITH {POINTS} SELECT scene_id, cls, count(*) AS n, sum(floor(z * 10 + 0.2337::DOUBLE)::BIGINT)::BIGINT AS z_dm FROM p GROUP BY 1, 2",
+        "stream_las": f"""WITH {POINTS}, low AS (SELECT scene_id, min(z) AS lz FROM p GROUP BY 1),
+m AS (SELECT scene_id, cls, round((z - lz) / 0.001::DOUBLE) * 0.001::DOUBLE + lz AS z FROM p JOIN low USING (scene_id))
+SELECT scene_id, cls, count(*) AS n, sum(floor(z * 10 + 0.2337::DOUBLE)::BIGINT)::BIGINT AS z_dm FROM m WHERE z >= 9.9995::DOUBLE GROUP BY 1, 2""",
         "las_crop": f"""WITH {POINTS}, low AS (SELECT scene_id, min(x) AS lx, min(y) AS ly FROM p GROUP BY 1), e(x1, y1, x2, y2) AS (VALUES {edges}),
 m AS (SELECT scene_id, pid, cls, round((x - lx) / 0.001::DOUBLE) * 0.001::DOUBLE + lx AS x, round((y - ly) / 0.001::DOUBLE) * 0.001::DOUBLE + ly AS y FROM p JOIN low USING (scene_id)),
 i AS (SELECT scene_id, pid, cls FROM m, e GROUP BY ALL HAVING sum(((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1)::INT) % 2 = 1)

@@ -14,6 +14,7 @@ from ..operators import raster as R
 from ..operators import scoring as S
 from ..operators import shape as H
 from ..operators import spatial as X
+from ..operators.polygons import points_in_polygons as points_in
 from ..scratch import written
 from ..streaming import results, stalls
 from . import detectors, reports, views
@@ -79,6 +80,11 @@ def polygon_crop(s, d):
     return P.polygon_crop(views.points(s, d), POLYGON).select("scene_id", "pid")
 
 
+def points_in_polygons(s, d):
+    """The polygons of its scene that every point lies in."""
+    return points_in(views.points(s, d), views.polygons(s, d), ["scene_id"]).select("scene_id", "pid", "polygon_id")
+
+
 def height_slices(s, d):
     return P.height_slices(views.points(s, d)).groupBy("scene_id", "slice_id").agg(F.count("*").alias("n"))
 
@@ -319,6 +325,21 @@ def las_round_trip(s, d):
     return back.groupBy("scene_id", "cls").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("z") * 10 + 0.2337).cast("long")).alias("z_dm"))
 
 
+def stream_las(s, d):
+    """Points as LAS files that a stream takes, keeps from 10 m upwards and writes to other LAS files, a batch each."""
+    from ..scratch import new_path
+    from ..sources import las
+
+    las.register(s)
+    source, target = new_path(s, "las"), new_path(s, "las-streamed")
+    views.points(s, d).repartition("scene_id").write.format("las").mode("append").save(source)
+    high = s.readStream.format("las").option("logPath", new_path(s, "las-log")).load(source).filter("z >= 9.9995")
+    query = high.writeStream.format("las").option("checkpointLocation", new_path(s, "stream")).trigger(availableNow=True).start(target)
+    query.awaitTermination()
+    back = s.read.format("las").load(target)
+    return back.groupBy("scene_id", "cls").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("z") * 10 + 0.2337).cast("long")).alias("z_dm"))
+
+
 def las_crop(s, d):
     """Scenes written as LAS files and cropped to the polygon, whole records from file to file."""
     from ..scratch import new_path
@@ -460,12 +481,12 @@ def stalled_runs(s, d):
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    ground_level, height_normalise, veg_filter, min_height, class_from_height, dropout_keep, occlusion_thin, void_mask, crown_solid, polygon_crop,
+    ground_level, height_normalise, veg_filter, min_height, class_from_height, dropout_keep, occlusion_thin, void_mask, crown_solid, polygon_crop, points_in_polygons,
     height_slices, axis_densify, grid_extent, chm_max, grey_closing, gaussian_smooth, canopy_peaks, local_maxima, basin_labels, region_props,
     tall_mask, disc_mask, minmax_normalise, percentile_stretch, eps_neighbours, knn_k8, sor_filter, nearest_peak, descent_step, connected_components,
     dbscan_slice, dbscan_link, cluster_stats, vertical_clusters, weighted_centre, radius_percentiles, radial_profile, shape_cone_ball, shape_mean_ratio,
     shape_correlation, suppress_duplicates, suppress_conflicts, tree_similarity, optimal_assignment, unmatched_ref, scene_scores, paired_scores,
-    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, stream_distinct_means, stalled_runs, las_round_trip, las_crop,
+    shape_report, scene_keys, report_quality, report_time, report_components, chart_nearest_x, axis_limits, run_labels, stream_running_mean, stream_distinct_means, stalled_runs, las_round_trip, las_crop, stream_las,
     detected_trees, adaptive_fusion_trees, layer_stack_trees, crown_axis_trees, crown_axis_strict_trees, smart_fusion_trees,
     watershed_labels, pixel_to_xy, nearest_vertex, peak_snap, crown_axes, layer_nodes, smart_shape, mean_of_top, points_in_regions, canopy_around, uncovered_canopy,
 )

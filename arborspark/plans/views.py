@@ -33,6 +33,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene_id, polygon_id, vertices of a polygon a part, 500 a scene: 3 to 12 vertices in a square of 1 to 8 m; most cross themselves."""
+    p, k = table(spark, sf_dir, "part").select("p_partkey"), F.col("p_partkey")
+    size = 1.0 + uniform(k * 131 + 90) * 7.0
+    vertex = lambda i: F.struct(*[(uniform(k * 131 + 91 + j) * 25.0 + uniform(k * 131 + 2 * i + j) * size).alias(c) for j, c in enumerate("xy")])
+    return p.select(F.floor(k / 500).cast("int").alias("scene_id"), k.alias("polygon_id"), F.transform(F.sequence(F.lit(0), 2 + k % 10), vertex).alias("vertices"))
+
+
 def trees_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_partkey")
     height = 4.0 + F.col("p_size") * 0.6

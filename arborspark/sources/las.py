@@ -3,8 +3,8 @@
 The public ASPRS layout, uncompressed.  Reading: LAS 1.0 to 1.4 with point formats
 0 to 10, other files are an error; one task for each range of records, only the
 needed bytes of a record are decoded, and filters on cls and on x and y reach the
-reader.  Where a folder has `_files.json`, its files are read and no others, so
-that those of failed attempts never count; else all .las files under it.  Files of
+reader.  Where a folder has `_files.json` or `_batches` (see las_stream), the files named
+there are read and no others, so that those of failed attempts never count; else all .las files under it.  Files of
 at most `minBytes` bytes (option, 0) are skipped.  Writing (LAS 1.2): one file a
 scene and task, point format 3, scale 0.001, offsets at the scene's minimum, so
 coordinates are whole millimetres.  Paths are URIs that pyarrow's file systems open.
@@ -44,6 +44,8 @@ HEADER = np.dtype(
     ]
 )
 MANIFEST = "_files.json"
+#: Folder of the manifests that a stream writes, one a batch.
+BATCHES = "_batches"
 #: Bytes of a record by point format, and where LAS 1.4 has its 64-bit point count.
 LENGTHS = (20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67)
 POINTS_AT = 247
@@ -92,16 +94,32 @@ def head_of_part(prefix: bytes, records: np.ndarray) -> bytes:
     return bytes(out)
 
 
+def read_json(store, path: str):
+    with store.open_input_stream(path) as file:
+        return json.loads(file.read())
+
+
+def write_json(store, path: str, value) -> None:
+    """The whole file or none: it is written under another name first."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(json.dumps(value).encode())
+    store.move(part, path)
+
+
 def files_of(store, base: str) -> list:
-    """The .las and .laz files of a path: those its manifest names, or all under it."""
+    """The .las and .laz files of a path: those its manifests name, or all under it."""
     info = store.get_file_info(base)
     if info.type == fs.FileType.File:
         return [info]
+    batches = store.get_file_info(fs.FileSelector(f"{base}/{BATCHES}", allow_not_found=True))
+    manifests = [f.path for f in batches if f.path.endswith(".json")]
     if store.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
-        with store.open_input_stream(f"{base}/{MANIFEST}") as file:
-            found = store.get_file_info([f"{base}/{name}" for name in json.loads(file.read())])
+        manifests.append(f"{base}/{MANIFEST}")
+    if manifests:
+        found = store.get_file_info([f"{base}/{name}" for path in manifests for name in read_json(store, path)])
         if lost := [f.path for f in found if f.type != fs.FileType.File]:
-            raise FileNotFoundError(f"named in {MANIFEST}: {lost}")
+            raise FileNotFoundError(f"named in a manifest of {base}: {lost}")
     else:
         found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
     return sorted((f for f in found if f.path.lower().endswith((".las", ".laz"))), key=lambda f: f.path)
@@ -135,17 +153,17 @@ class LasReader(DataSourceReader):
 
     def partitions(self):
         store, base = fs.FileSystem.from_uri(self.path)
-        parts = []
-        for i, f in enumerate(files_of(store, base)):
-            if self.least and f.size <= self.least:
-                continue
-            with store.open_input_file(f.path) as file:
-                n = points_of(file, header_of(file))
-            named = re.match(r"scene-(\d+)-", f.base_name)
-            scene = int(named[1]) if named else i
-            parts += [Records(f.path, at, min(self.step, n - at), scene) for at in range(0, n, self.step)]
+        parts = [part for i, f in enumerate(files_of(store, base)) if not self.least or f.size > self.least for part in self.parts_of(store, f.path, i)]
         return parts or [Records("", 0, 0, 0)]
 
+    def parts_of(self, store, path: str, number: int) -> list[Records]:
+        """Ranges of a file's records; its scene is in its name, else its number."""
+        with store.open_input_file(path) as file:
+            n = points_of(file, header_of(file))
+        named = re.match(r"scene-(\d+)-", path.rsplit("/", 1)[-1])
+        scene = int(named[1]) if named else number
+        return [Records(path, at, min(self.step, n - at), scene) for at in range(0, n, self.step)]
+
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:
         if not part.count:
             return
@@ -200,7 +218,11 @@ class LasWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool = False):
         self.path = options["path"]
         store, base = fs.FileSystem.from_uri(self.path)
-        self.before = [] if overwrite else [f.path.removeprefix(f"{base}/") for f in files_of(store, base)]
+        found = [] if overwrite else [f.path.removeprefix(f"{base}/") for f in files_of(store, base)]
+        streamed = {name for f in store.get_file_info(fs.FileSelector(f"{base}/{BATCHES}", allow_not_found=True)) if f.path.endswith(".json") for name in read_json(store, f.path)}
+        if overwrite and streamed:
+            raise ValueError("a folder that a stream writes to cannot be overwritten by a batch")
+        self.before = [name for name in found if name not in streamed]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, base = fs.FileSystem.from_uri(self.path)
@@ -250,8 +272,7 @@ class LasWriter(DataSourceArrowWriter):
         store, base = fs.FileSystem.from_uri(self.path)
         store.create_dir(base, recursive=True)
         names = [p.removeprefix(f"{base}/") for m in messages if m for p in m.paths]
-        with store.open_output_stream(f"{base}/{MANIFEST}") as out:
-            out.write(json.dumps(sorted(self.before + names)).encode())
+        write_json(store, f"{base}/{MANIFEST}", sorted(self.before + names))
 
     def abort(self, messages) -> None:
         store, _ = fs.FileSystem.from_uri(self.path)
@@ -274,6 +295,16 @@ class LasDataSource(DataSource):
     def writer(self, schema, overwrite: bool) -> LasWriter:
         return LasWriter(self.options, overwrite)
 
+    def streamReader(self, schema):
+        from .las_stream import LasStreamReader
+
+        return LasStreamReader(self.options)
+
+    def streamWriter(self, schema, overwrite: bool):
+        from .las_stream import LasStreamWriter
+
+        return LasStreamWriter(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

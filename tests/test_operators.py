@@ -150,3 +150,21 @@ def test_running_means_equal_the_batch(spark, data):
 
     batch = spark.read.parquet(f"{data}/events.parquet").groupBy(F.col("event_type").alias("parser")).agg(F.count("*").alias("runs"))
     assert {tuple(r) for r in running_means(spark, data).select("parser", "runs").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_discs_are_those_of_the_midpoint_rule(spark):
+    """Filled discs drawn by the integer midpoint rule, row spans in eight octants, are the Euclidean discs of radius 0 to 30."""
+    from pyspark.sql import functions as F
+
+    from arborspark.operators import raster as R
+
+    want = set()
+    for r in range(31):
+        dx, dy = r, 0
+        while dx >= dy:
+            for row, half in ((dy, dx), (-dy, dx), (dx, dy), (-dx, dy)):
+                want |= {(r, 50 + row, 50 + x) for x in range(-half, half + 1)}
+            dy += 1
+            dx -= dx * dx + dy * dy > r * r
+    centres = spark.range(31).select(F.col("id").alias("scene_id"), F.lit(50).alias("iy"), F.lit(50).alias("ix"))
+    assert {tuple(x) for x in R.disc_mask(centres, F.col("scene_id")).collect()} == want
