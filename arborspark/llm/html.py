@@ -51,6 +51,7 @@ BLOCK = frozenset(
 FOREIGN = ("svg", "math")
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = frozenset(("p", "blockquote", "pre", *HEADINGS))
 
 #: Words in class names, ids and roles of elements that are not main text.
 DROPPED_NAMES = frozenset(
@@ -68,24 +69,25 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 _STOP = re.compile(r"[>\"'<]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s>=/]|$)", re.I)
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "main", "heading")
+    __slots__ = ("parts", "linked", "main", "heading", "form")
 
-    def __init__(self, main: bool, heading: bool):
+    def __init__(self, main: bool, heading: bool, form: int):
         self.parts: list[str] = []
-        self.linked, self.main, self.heading = 0, main, heading
+        self.linked, self.main, self.heading, self.form = 0, main, heading, form
 
 
 class _Scope:
-    """An open block element: name, whether its text is left out, whether it is in a marked article, and its open inline elements."""
+    """An open block element: name, whether its text is left out, whether it is in a marked article, the number of its form, and its open inline elements."""
 
-    __slots__ = ("name", "drop", "main", "inline", "count")
+    __slots__ = ("name", "drop", "main", "form", "inline", "count")
 
-    def __init__(self, name: str, drop: bool, main: bool):
-        self.name, self.drop, self.main = name, drop, main
+    def __init__(self, name: str, drop: bool, main: bool, form: int):
+        self.name, self.drop, self.main, self.form = name, drop, main, form
         self.inline: list[tuple[str, bool]] = []
         self.count: dict[str, int] = {}
 
@@ -103,22 +105,25 @@ class _Scope:
                     return
 
 
-def _named(names: str, tag: str = "div") -> bool:
+def _named(names: str, tag: str = "div", text: bool = False) -> bool:
     """Whether a class name, id or role marks something other than main text.
 
     A name of one word always does; one of several by its first or last word,
-    but not on an article or beside a name of main text, and not as a setting.
+    but not on an article or beside a name of main text, and not as a setting; on
+    running text of a marked article (`text`) by its last word only.
     """
     found = names.split()
     whole = tag == "article" or any(n.lower() in CONTENT_NAMES for n in found)
     for name in found:
         words = [w.lower() for w in _NAME_WORDS.findall(name)]
+        if tag == "form":  # that a form is called one says nothing
+            words = [w for w in words if w != "form"]
         if not words or {"with", "has", "no", "without"} & set(words):
             continue
         if len(words) == 1:
             if words[0] in DROPPED_NAMES:
                 return True
-        elif not whole and words[-1] not in SETTINGS and (words[0] in DROPPED_NAMES or words[-1] in DROPPED_NAMES):
+        elif not whole and words[-1] not in SETTINGS and (words[-1] in DROPPED_NAMES or (not text and words[0] in DROPPED_NAMES)):
             return True
     return False
 
@@ -156,17 +161,17 @@ class _Tags:
 def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, share of it in links, inside a marked article, heading) of each block with text that is not left out."""
     done: list[_Block] = []
-    scopes = [_Scope("", False, False)]
+    scopes = [_Scope("", False, False, 0)]
     opened: dict[str, int] = {}  # block elements in scopes, by name
-    now = _Block(False, False)
-    links = breaks = at = 0
+    now = _Block(False, False, 0)
+    links = breaks = at = forms = 0
     tags = _Tags(page)
 
     def cut(heading: bool = False) -> None:
         nonlocal now
         if now.parts:
             done.append(now)
-        now = _Block(scopes[-1].main, heading)
+        now = _Block(scopes[-1].main, heading, scopes[-1].form)
 
     def add(text: str) -> None:
         nonlocal breaks
@@ -199,7 +204,7 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
                 cut()
             continue
         if name == "a":
-            links = 0 if closing else 1
+            links = int(not closing and bool(_HREF.search(rest)))
         if closing:
             if name not in BLOCK:
                 scopes[-1].close(name)
@@ -216,12 +221,12 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
                 cut()
             continue
         scope = scopes[-1]
-        drop, main = name in DROPPED, scope.main
+        drop, main = name in DROPPED and name != "form", scope.main
         if "=" in rest or "hidden" in rest:
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
             names = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
             if name not in ("html", "body", "main"):
-                drop = drop or _named(names, name) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)))
+                drop = drop or _named(names, name, main and (name in RUNNING or name not in BLOCK)) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", rest)))
                 drop = drop or "display:none" in attributes.get("style", "").replace(" ", "").lower()
             main = main or attributes.get("itemprop") == "articleBody" or attributes.get("role") in ("main", "article") or any(n.lower() in ARTICLE_NAMES for n in names.split())
         if name == "header" and not main:
@@ -232,7 +237,11 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
                 pop()
             if name == "li" and scope.name in ("li", "p"):
                 pop()
-            scopes.append(_Scope(name, drop or scopes[-1].drop, main))
+            form = scopes[-1].form
+            if name == "form" and not form:
+                forms += 1
+                form = forms
+            scopes.append(_Scope(name, drop or scopes[-1].drop, main, form))
             opened[name] = opened.get(name, 0) + 1
             cut(name in HEADINGS)
         elif not (rest.endswith("/>") and (name in FOREIGN or any(scope.count.get(f) for f in FOREIGN))):
@@ -242,12 +251,39 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool]]:
             at = end.start()
     if now.parts:
         done.append(now)
-    out = []
+    out, inside = [], []
     for b in done:
         text = " ".join("".join(b.parts).split())
         if text:
             out.append((text, min(1.0, b.linked / len(text)), b.main, b.heading))
-    return out
+            inside.append(b.form)
+    return _opened(out, inside) if any(inside) else out
+
+
+def _opened(blocks: list[tuple[str, float, bool, bool]], forms: list[int]) -> list[tuple[str, float, bool, bool]]:
+    """The blocks without those of forms, but for a form that holds more of what pass 1 calls good than all the rest of the page."""
+    good: dict[int, int] = {}
+    for (text, link, _, heading), form in zip(blocks, forms, strict=True):
+        if len(text) >= 140 and _first(text, link, heading, _stops(text)):
+            good[form] = good.get(form, 0) + len(text)
+    most = max(good, key=lambda f: good[f], default=0)
+    whole = most if 2 * good.get(most, 0) > sum(good.values()) else 0
+    return [b for b, form in zip(blocks, forms, strict=True) if form in (0, whole)]
+
+
+def _stops(text: str) -> float:
+    """The share of stop words."""
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def _first(text: str, link: float, heading: bool, stops: float) -> bool | None:
+    """Pass 1: whether a block is main text, or None where that is open."""
+    if link > 0.5 or (link > 0.25 and len(text) < 140):
+        return False
+    if not heading and stops >= 0.2 and len(text) >= 140:
+        return True
+    return None
 
 
 def classify(blocks: list[tuple[str, float, bool, bool]]) -> list[bool]:
@@ -257,16 +293,8 @@ def classify(blocks: list[tuple[str, float, bool, bool]]) -> list[bool]:
     shares: list[float] = []
     running = [0, 0]  # characters of running text outside and inside a marked article
     for text, link, main, heading in blocks:
-        words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
-        stops = sum(w in STOP_WORDS for w in words) / len(words)
-        if link > 0.5 or (link > 0.25 and len(text) < 140):
-            label = False
-        elif heading or len(text) < 70:
-            label = None
-        elif stops >= 0.2 and len(text) >= 140:
-            label = True
-        else:
-            label = None
+        stops = _stops(text)
+        label = _first(text, link, heading, stops)
         labels.append(label)
         leaning.append(heading or stops >= 0.1 or len(text) >= 140)
         shares.append(stops)

@@ -414,3 +414,23 @@ def test_main_text_of_a_very_long_page():
 
 def test_crc_is_over_32_bit_ids():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\0\0\0")
+
+
+LONG = "This is the story of the man who was in the city and saw that it is not what they had said of it, and so he went on to the sea. " * 2
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<body><a name=top><p>{LONG}</p><p>{LONG}</p></body>", f"{LONG.strip()}\n{LONG.strip()}"),  # an anchor is no link
+        (f"<body><p><a href='/x'>{LONG}</a></p><p>{LONG}</p></body>", LONG.strip()),
+        (f"<body><form id=aspnetForm><div><p>{LONG}</p><p>{LONG}</p></div></form></body>", f"{LONG.strip()}\n{LONG.strip()}"),  # a form around the page
+        (f"<body><p>{LONG}</p><p>{LONG}</p><form><p>{LONG}</p></form></body>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<body><form><p>Your name</p><input></form><p>{LONG}</p></body>", LONG.strip()),
+        (f"<body><form class=comment-form><p>{LONG}</p></form></body>", ""),
+        (f"<article><p>{LONG}</p><p class='share-price'>The share price rose.</p><p>{LONG}</p></article>", f"{LONG.strip()}\nThe share price rose.\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><div class='share-buttons'>Tell them all.</div><p>{LONG}</p></article>", f"{LONG.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_anchors_forms_and_names_of_running_text(page, text):
+    assert html.main_text(page) == text
