@@ -10,7 +10,7 @@ if it holds at least as much running text as the rest of the page (else the mark
 are of teasers, whose open blocks are good between good ones only), blocks in it need fewer stop words to be
 good, and are good where nothing near them is decided; open blocks outside need a
 good block outside.  A link with stop words stays open in the article and is good
-between good blocks.
+between good blocks.  A form that holds most of the page's good text is opened.
 
 Each row is handled on its own, so nothing is shuffled.  Defined cases: null or
 empty html gives the empty text; malformed markup is read as far as it goes, an
