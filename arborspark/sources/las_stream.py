@@ -6,7 +6,8 @@ belongs to a batch is written to the log in the folder `logPath` (option,
 shared, one a query) before the batch starts: entry n names the files of offset n.
 A restarted query therefore reads the same files for the same offsets, however
 the folder, its listing order and the files' times have changed since.
-`maxFilesPerTrigger` bounds an entry.  `records`, `minBytes` and
+`maxFilesPerTrigger` bounds an entry.  The trigger availableNow does one batch a start, as for
+every source in Python; after a failure that is the batch which was planned.  `records`, `minBytes` and
 `recordsPerTask` are as in the batch reader.
 
 Writing: every task writes files of its own names; the commit of batch n names

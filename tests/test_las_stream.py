@@ -59,9 +59,12 @@ def test_a_lost_output_entry_reads_the_same_files_again(spark):
     source, target, log, checkpoint = (new_path(spark, n) for n in ("las-in", "las-out", "las-log", "las-checkpoint"))
     _points(spark, 0, 30).repartition(1).write.format("las").mode("append").save(source)
     _run(spark, source, target, log, checkpoint)
+    first = _rows(spark.read.format("las").load(source))
     for done in [*_local(checkpoint).glob("commits/*"), *_local(target).glob("_batches/*.json")]:
         done.unlink()
     _points(spark, 30, 30).repartition(1).write.format("las").mode("append").save(source)
+    _run(spark, source, target, log, checkpoint)  # availableNow does one batch a start: the planned one
+    assert _rows(spark.read.format("las").load(target)) == first and len(first) == 30
     _run(spark, source, target, log, checkpoint)
     assert _rows(spark.read.format("las").load(target)) == _rows(spark.read.format("las").load(source))
     assert len(list(_local(target).glob("_batches/*.json"))) == 2
