@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.spatial import components, hot_join, hot_keys
-from .common import bounded_batches, discard, staged
+from .common import bounded_batches, discard, release_memory, staged
 
 K = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +172,7 @@ def sketch_documents(docs: DataFrame, length: int, count: int, short: int, short
             pa.default_memory_pool().release_unused()
             columns = [batch.column(0), *_key_columns(keys), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "bands"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -185,6 +186,7 @@ def with_key(docs: DataFrame) -> DataFrame:
         for batch in batches:
             words = (word_hashes(t.as_py()) for t in batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, *_key_columns([content_key(w) if len(w) else None for w in words])], names=[f.name for f in schema])
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
@@ -200,6 +202,7 @@ def kmers_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 keys.append(content_key(w) if len(w) else None)
                 out.append((labelled_kmers(w) >> np.uint64(32)).astype("<u4").tobytes() if len(w) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *_key_columns(keys), pa.array(out, pa.binary())], names=["doc_id", "k1", "k2", "kmers"])
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, k1 long, k2 long, kmers binary")
     same = (rows.k1 == chosen.k1) & (rows.k2 == chosen.k2) & rows.doc_id.eqNullSafe(chosen.lead)
@@ -227,6 +230,7 @@ def verify(pairs: DataFrame, kmers: DataFrame, threshold: float, star: int = 256
                     a.append(who)
                     b.append(to)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        release_memory()
 
     met = centres.unionByName(leaves).repartition("b", "salt").sortWithinPartitions("b", "salt", "leaf")
     return met.mapInArrow(run, "a long, b long")
