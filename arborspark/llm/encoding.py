@@ -58,8 +58,10 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        """Give the memo's memory back; called where a task ends, for workers live on."""
+        """Give the memo's memory back, and a tokenizer's that is not kept; called where a task ends, for workers live on."""
         self.young, self.old = {}, {}
+        if self not in _encoders.values():
+            self.tokenizer = self.model = None
         release_memory()
 
     def _whole(self, text: str) -> bytes:
@@ -137,8 +139,12 @@ class Encoder:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """The Python worker's encoder: tasks share the tokenizer."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+def encoder(path: str, kind: str, keep: bool = True) -> Encoder:
+    """The Python worker's encoder: tasks share the tokenizer, or without `keep` it ends with the task."""
+    if (path, kind) in _encoders:
+        return _encoders[path, kind]
+    made = Encoder(path, kind)
+    release_memory()  # what reading the file took
+    if keep:
+        _encoders[path, kind] = made
+    return made

@@ -75,17 +75,18 @@ def assign(lengths: list[int], sequence: int, linear: float = 1.0, quadratic: fl
     return bins
 
 
-def pack(docs: DataFrame, vocabulary: str, *, kind: str = "words", sequence: int = 4096, end_id: int = 2, group_tokens: int = 1 << 20, slice_bytes: int | None = None, memo: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, kind: str = "words", sequence: int = 4096, end_id: int = 2, group_tokens: int = 1 << 20, slice_bytes: int | None = None, memo: int | None = None, keep: bool = True) -> DataFrame:
     """Pieces of docs(doc_id, text): see PIECES.  ids are little-endian unsigned 32-bit; a sequence's pieces, by offset, are its tokens.
 
-    slice_bytes and memo bound what the encoder holds at once, where memory is short; the pieces do not depend on them.
+    slice_bytes and memo bound what the encoder holds at once, where memory is short; without `keep` a worker's tokenizer ends with
+    the task (reading it again takes 0.2 s).  The pieces do not depend on them.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary, kind)
+        enc = encoder(vocabulary, kind, keep)
         enc.slice_bytes, enc.most = slice_bytes or enc.slice_bytes, memo or enc.most
         next_id = TaskContext.get().partitionId() << 33
         held: list[tuple[int | None, memoryview]] = []
