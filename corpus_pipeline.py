@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces; see op2."""
     bounded_batches(spark, BATCH_MB)
-    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), group_tokens=GROUP_TOKENS, slice_bytes=SLICE_BYTES, memo=MEMO)
+    pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"), group_tokens=GROUP_TOKENS, slice_bytes=SLICE_BYTES, memo=MEMO, keep=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
