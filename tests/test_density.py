@@ -82,6 +82,6 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["eps_neighbours", "dbscan_link"])
+@pytest.mark.parametrize("name", ["eps_neighbours", "connected_components", "dbscan_link"])
 def test_points_are_not_broadcast(spark, data, name):
     assert "Broadcast" not in _plan(queries.__dict__[name](spark, data))
