@@ -68,7 +68,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, by: Sequence[str]
     spread = points.filter(finite).select(*[F.col(c).alias(f"_{c}") for c in by], F.struct(*points.columns).alias("p"), F.inline(at))
     spread = spread.withColumn("cx", _cell(x, F.col("level_x"))).withColumn("cy", _cell(y, F.col("level_y")))
     i = index.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in index.columns if c not in by])
-    met = spread.join(i, [*[f"_{c}" for c in by], "level_x", "level_y", "cx", "cy"])
+    met = spread.join(i.hint("merge"), [*[f"_{c}" for c in by], "level_x", "level_y", "cx", "cy"])  # else Spark may broadcast every point once a pair of levels
 
     def crosses(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)

@@ -85,3 +85,7 @@ def _plan(df) -> str:
 @pytest.mark.parametrize("name", ["eps_neighbours", "connected_components", "dbscan_link"])
 def test_points_are_not_broadcast(spark, data, name):
     assert "Broadcast" not in _plan(queries.__dict__[name](spark, data))
+
+
+def test_points_among_polygons_are_not_broadcast(spark, data):
+    assert "Broadcast" not in _plan(queries.points_in_polygons(spark, data))
