@@ -89,3 +89,12 @@ def test_points_are_not_broadcast(spark, data, name):
 
 def test_points_among_polygons_are_not_broadcast(spark, data):
     assert "Broadcast" not in _plan(queries.points_in_polygons(spark, data))
+
+
+@pytest.mark.parametrize("name", ["suppress_conflicts"])
+def test_trees_are_not_broadcast(spark, data, monkeypatch, name):
+    plans = []
+    write = X.written
+    monkeypatch.setattr(X, "written", lambda df, label: plans.append(_plan(df)) or write(df, label))
+    plans.append(_plan(queries.__dict__[name](spark, data)))
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
