@@ -91,7 +91,7 @@ def test_points_among_polygons_are_not_broadcast(spark, data):
     assert "Broadcast" not in _plan(queries.points_in_polygons(spark, data))
 
 
-@pytest.mark.parametrize("name", ["suppress_conflicts"])
+@pytest.mark.parametrize("name", ["suppress_conflicts", "suppress_duplicates"])
 def test_trees_are_not_broadcast(spark, data, monkeypatch, name):
     plans = []
     write = X.written
