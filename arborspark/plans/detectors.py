@@ -51,8 +51,8 @@ def slice_nodes(points: DataFrame, eps: float, least: int) -> DataFrame:
     keys = ("scene_id", "slice_id")
     sliced = P.height_slices(points)
     sliced = written(sliced.join(sliced.groupBy(*keys).count().filter("count >= 5").drop("count"), list(keys)), "slices")
-    found = X.dbscan(sliced, eps, least, "xy", keys)
-    c = sliced.join(found, [*keys, "pid"])
+    found = written(X.dbscan(sliced, eps, least, "xy", keys), "clusters")  # read twice below
+    c = X.shuffled_join(sliced, found, [*keys, "pid"])
     centre = c.groupBy(*keys, "cluster_id").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
     r = F.max(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
     nodes = c.join(centre, [*keys, "cluster_id"]).groupBy(*keys, "cluster_id").agg(F.first("cx").alias("x"), F.first("cy").alias("y"), F.first("cz").alias("z"), r.alias("r"))

@@ -5,7 +5,7 @@ import pytest
 
 from arborspark.operators import spatial as X
 from arborspark.operators.tiles import merge_roots, near_pairs
-from arborspark.plans import queries
+from arborspark.plans import detectors, queries
 
 POINT = "scene_id int, pid long, x double, y double, z double"
 
@@ -87,10 +87,6 @@ def test_points_are_not_broadcast(spark, data, name):
     assert "Broadcast" not in _plan(queries.__dict__[name](spark, data))
 
 
-def test_points_among_polygons_are_not_broadcast(spark, data):
-    assert "Broadcast" not in _plan(queries.points_in_polygons(spark, data))
-
-
 @pytest.mark.parametrize("name", ["suppress_conflicts", "suppress_duplicates"])
 def test_trees_are_not_broadcast(spark, data, monkeypatch, name):
     plans = []
@@ -98,3 +94,18 @@ def test_trees_are_not_broadcast(spark, data, monkeypatch, name):
     monkeypatch.setattr(X, "written", lambda df, label: plans.append(_plan(df)) or write(df, label))
     plans.append(_plan(queries.__dict__[name](spark, data)))
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_points_among_polygons_are_not_broadcast(spark, data):
+    assert "Broadcast" not in _plan(queries.points_in_polygons(spark, data))
+
+
+def test_slices_write_no_pairs(spark, monkeypatch):
+    written = {}
+    for module in (X, detectors):
+        write = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, write=write: written.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(3)
+    rows = [(0, i, *map(float, rng.random(2)), 0.1) for i in range(400)]  # all within 0.8 m of most others
+    assert detectors.slice_nodes(spark.createDataFrame(rows, POINT), 1.5, 4).count() == 1
+    assert max(t.count() for t in written.values()) <= 400
