@@ -109,3 +109,15 @@ def test_slices_write_no_pairs(spark, monkeypatch):
     rows = [(0, i, *map(float, rng.random(2)), 0.1) for i in range(400)]  # all within 0.8 m of most others
     assert detectors.slice_nodes(spark.createDataFrame(rows, POINT), 1.5, 4).count() == 1
     assert max(t.count() for t in written.values()) <= 400
+
+
+def test_stacks_write_no_pairs(spark, monkeypatch):
+    written = {}
+    for module in (X, detectors):
+        write = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, write=write: written.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(4)
+    rows = [(0, i, float(rng.random()), float(rng.random()), i / 10, 1.0) for i in range(300)]  # nodes of one stack
+    nodes = spark.createDataFrame(rows, POINT + ", r double")
+    assert [tuple(r) for r in detectors._linked(nodes, 60.0, 1.5).groupBy("label").count().collect()] == [(0, 300)]
+    assert max(t.count() for t in written.values()) <= 300
