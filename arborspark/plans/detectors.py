@@ -16,7 +16,7 @@ from ..operators import raster as R
 from ..operators import shape as H
 from ..operators import spatial as X
 from ..operators.axes import crown_axes
-from ..scratch import written
+from ..scratch import discard, written
 
 TREE = ("scene_id", "tree_id", "x", "y", "height", "radius", "shape")
 LABEL = ("scene_id", "label")
@@ -26,6 +26,14 @@ def _vegetation(points: DataFrame, min_z: float = 2.0, bare: str = "median") ->
     return written(P.normalised_vegetation(points, min_z, bare), "vegetation")
 
 
+def _cleaned(points: DataFrame, min_z: float, k: int, multiplier: float) -> DataFrame:
+    """Normalised points from min_z upwards without outliers; heights are written, since the filter reads them five times."""
+    high = written(P.min_height(P.height_normalise(points), min_z), "heights")
+    p = written(X.outlier_filter(high, k, multiplier), "points")
+    discard(high)
+    return p
+
+
 def _rank(height: str) -> Column:
     """Tree numbers of a scene, the tallest first."""
     return F.row_number().over(Window.partitionBy("scene_id").orderBy(F.desc(height), "label")).cast("int")
@@ -86,7 +94,7 @@ def _crown(points: DataFrame, min_z: float, strict: bool) -> DataFrame:
     axes = written(crown_axes(X.snap_to_top(peaks, p, 15, 1.0), p, min_z / 2), "axes")
     samples = P.axis_samples(axes).withColumn("z", F.col("z") * 0.3).withColumn("pid", F.struct("axis_id", "step", "i"))
     flat = p.withColumn("z", F.col("z") * 0.3).select("scene_id", "pid", "x", "y", "z")
-    own = X.nearest_join(flat, samples.select("scene_id", "pid", "axis_id", "x", "y", "z"), 1, 1.0, "xyz", "pid", "pid").select("scene_id", "pid", F.col("r_axis_id").cast("long").alias("label"))
+    own = X.nearest_join(flat, samples.select("scene_id", "pid", "axis_id", "x", "y", "z"), 1, 1.0, "xyz", "pid", "pid", wanted=("r_axis_id",)).select("scene_id", "pid", F.col("r_axis_id").cast("long").alias("label"))
     c = written(p.join(own, ["scene_id", "pid"]), "crowns")
     stats = H.cluster_stats(c, LABEL).filter((F.col("n") >= 30) & (F.col("z_max") >= min_z))
     radius = H.percentile_radius(c, LABEL, 0.9).select(*LABEL, "radius")
@@ -105,7 +113,7 @@ def crown_axis_strict(points: DataFrame) -> DataFrame:
 
 def smart_fusion(points: DataFrame, res: float = 0.3) -> DataFrame:
     """Stacked slices, raised to the canopy raster; peaks of the raster that no stack covers are added; duplicates fall."""
-    p = written(X.outlier_filter(P.min_height(P.height_normalise(points), 2.5), 8, 1.5), "points")
+    p = _cleaned(points, 2.5, 8, 1.5)
     geo = written(R.extent(p, res), "extent")
     raster = written(R.gaussian(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), 0.8), "raster")
     n = _linked(slice_nodes(p, 0.9, 5), 4.0, 2.0)
@@ -130,7 +138,7 @@ def smart_fusion(points: DataFrame, res: float = 0.3) -> DataFrame:
 
 def adaptive_fusion(points: DataFrame, res: float = 0.2) -> DataFrame:
     """The flood of the smooth canopy from the peaks of a sharper one owns its points; centres weigh high points; radii come from a height band; conflicts fall."""
-    p = written(X.outlier_filter(P.min_height(P.height_normalise(points), 1.0), 12, 2.5), "points")
+    p = _cleaned(points, 1.0, 12, 2.5)
     geo = written(R.extent(p, res), "extent")
     closed = written(R.close_cross(R.densify(R.rasterise(p, geo, res), geo)), "closed")
     peaks = R.local_maxima(written(R.gaussian(closed, 0.35), "sharp"), geo, max(1, int(1.1 / res)), 2.0)

@@ -44,3 +44,35 @@ def test_smoothing_of_uneven_scenes_over_batches(spark):
     for s, h in scenes.items():
         want = np.apply_along_axis(_smooth, 0, np.apply_along_axis(_smooth, 1, h, 1.5), 1.5)
         assert all(found[s, y, x] == want[y, x] for y in range(h.shape[0]) for x in range(h.shape[1]))
+
+
+def test_peaks_read_their_raster_once(spark, monkeypatch):
+    plans = []
+    write = R.written
+    monkeypatch.setattr(R, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    rng = np.random.default_rng(9)
+    h = rng.integers(0, 12, (40, 33)).astype(float)
+    raster = spark.createDataFrame([(0, y, x, float(h[y, x])) for y in range(40) for x in range(33)], PIXEL)
+    geo = spark.createDataFrame([(0, 33, 40)], "scene_id int, n_cols int, n_rows int")
+    found = {(r.iy, r.ix) for r in R.local_maxima(raster, geo, 2, 2.0).collect()}
+    tops = [(y, x) for y in range(2, 38) for x in range(2, 31) if h[y, x] == h[y - 2 : y + 3, x - 2 : x + 3].max() > 2]
+    beaten = {(y, x) for y, x in tops for v, u in tops if (v, u) < (y, x) and abs(v - y) <= 2 and abs(u - x) <= 2 and h[v, u] == h[y, x]}
+    assert found == set(tops) - beaten and beaten
+    assert [name for name, _ in plans] == ["maxima"]
+    assert plans[0][1].count("Scan ExistingRDD") + plans[0][1].count("LocalTableScan") == 2  # the raster and its grid
+
+
+def test_a_closing_and_its_smoothing_share_shuffles(spark):
+    rng = np.random.default_rng(10)
+    h = rng.random((30, 21)) * 30
+    raster = spark.createDataFrame([(0, y, x, float(h[y, x])) for y in range(30) for x in range(21)], PIXEL)
+
+    def cross(a, pick, edge):
+        p = np.pad(a, 1, constant_values=edge)
+        return pick.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+
+    want = cross(cross(h, np.maximum, -np.inf), np.minimum, np.inf)
+    closed = R.close_cross(raster)
+    assert all(r.h == want[r.iy, r.ix] for r in closed.collect())
+    plan = R.gaussian(closed, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4  # rows, columns twice, rows twice, columns
