@@ -35,16 +35,19 @@ def mean_of_top(nodes: DataFrame, keys: Sequence[str], p: float = 0.8) -> DataFr
     return nodes.join(high, list(keys)).groupBy(*keys).agg(at("x"), at("y"))
 
 
-def percentile_radius(points: DataFrame, keys: Sequence[str], p: float = 0.9) -> DataFrame:
-    """radius: percentile p, and r_max: maximum, of the horizontal distance to the centroid."""
-    centre = points.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+def percentile_radius(points: DataFrame, keys: Sequence[str], p: float = 0.9, stats: DataFrame | None = None) -> DataFrame:
+    """radius: percentile p, and r_max: maximum, of the horizontal distance to the centroid.  stats: cluster_stats of the points, where they are at hand."""
+    centre = points.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")) if stats is None else stats.select(*keys, "cx", "cy")
     d = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
     return points.join(centre, list(keys)).withColumn("d", d).groupBy(*keys).agg(F.percentile("d", F.lit(p)).alias("radius"), F.max("d").alias("r_max"))
 
 
-def radial_profile(points: DataFrame, keys: Sequence[str], bins: int = 7, least: int = 3, p: float = 0.85) -> DataFrame:
-    """keys, bin, depth, r: percentile p of the distance to the top point by equal bins of depth below it; bins of more than `least` points."""
-    stats = cluster_stats(points, keys).select(*keys, "top_x", "top_y", "z_max")
+def radial_profile(points: DataFrame, keys: Sequence[str], bins: int = 7, least: int = 3, p: float = 0.85, stats: DataFrame | None = None) -> DataFrame:
+    """keys, bin, depth, r: percentile p of the distance to the top point by equal bins of depth below it; bins of more than `least` points.
+
+    stats: cluster_stats of the points, where they are at hand.
+    """
+    stats = (cluster_stats(points, keys) if stats is None else stats).select(*keys, "top_x", "top_y", "z_max")
     q = points.join(stats, list(keys)).withColumn("dz", F.col("z_max") - F.col("z"))
     q = q.withColumn("bin", F.floor(F.try_divide(F.col("dz"), F.col("z_max") / bins)).cast("int")).filter((F.col("bin") >= 0) & (F.col("bin") < bins))
     d = F.hypot(F.col("x") - F.col("top_x"), F.col("y") - F.col("top_y"))

@@ -96,9 +96,10 @@ def _crown(points: DataFrame, min_z: float, strict: bool) -> DataFrame:
     flat = p.withColumn("z", F.col("z") * 0.3).select("scene_id", "pid", "x", "y", "z")
     own = X.nearest_join(flat, samples.select("scene_id", "pid", "axis_id", "x", "y", "z"), 1, 1.0, "xyz", "pid", "pid", wanted=("r_axis_id",)).select("scene_id", "pid", F.col("r_axis_id").cast("long").alias("label"))
     c = written(p.join(own, ["scene_id", "pid"]), "crowns")
-    stats = H.cluster_stats(c, LABEL).filter((F.col("n") >= 30) & (F.col("z_max") >= min_z))
-    radius = H.percentile_radius(c, LABEL, 0.9).select(*LABEL, "radius")
-    shape = H.cone_or_ball(H.radial_profile(c, LABEL), LABEL, epsilon=1e-6 if strict else 0.0)
+    whole = written(H.cluster_stats(c, LABEL), "crown-stats")
+    stats = whole.filter((F.col("n") >= 30) & (F.col("z_max") >= min_z))
+    radius = H.percentile_radius(c, LABEL, 0.9, whole).select(*LABEL, "radius")
+    shape = H.cone_or_ball(written(H.radial_profile(c, LABEL, stats=whole), "profiles"), LABEL, epsilon=1e-6 if strict else 0.0)
     out = stats.join(radius, list(LABEL)).join(shape, list(LABEL), "left")
     return out.select("scene_id", F.col("label").cast("int").alias("tree_id"), F.col("top_x").alias("x"), F.col("top_y").alias("y"), F.col("z_max").alias("height"), "radius", F.coalesce("shape", F.lit(H.UNKNOWN)).alias("shape"))
 

@@ -4,6 +4,7 @@ import numpy as np
 
 from arborspark.operators import axes
 from arborspark.operators import shape as H
+from arborspark.plans import detectors, views
 from pyspark.sql import functions as F
 
 POINT = "scene_id int, pid long, x double, y double, z double"
@@ -41,3 +42,17 @@ def test_a_perfect_cone_is_conical(spark):
     df = spark.createDataFrame(nodes, "scene_id int, label int, z double, r double")
     got = H.shape_by_profile(df, df.groupBy("scene_id", "label").agg(F.lit(20.0).alias("height")), ("scene_id", "label"))
     assert {r.label: r["shape"] for r in got.collect()} == {1: "conical", 2: "spherical", 3: "spherical"}
+
+
+def test_crowns_are_summed_up_once(spark, data, monkeypatch):
+    calls = []
+    stats = H.cluster_stats
+    monkeypatch.setattr(H, "cluster_stats", lambda *args: calls.append(1) or stats(*args))
+    assert detectors.crown_axis(views.points(spark, data)).count()
+    assert len(calls) == 1
+    points = views.points(spark, data).withColumn("label", F.floor(F.col("x") / 5))
+    keys = ("scene_id", "label")
+    given = stats(points, keys)
+    for same, other in ((H.percentile_radius(points, keys, 0.9, given), H.percentile_radius(points, keys)), (H.radial_profile(points, keys, stats=given), H.radial_profile(points, keys))):
+        rounded = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+        assert rounded(same) == rounded(other)

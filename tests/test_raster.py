@@ -76,3 +76,13 @@ def test_a_closing_and_its_smoothing_share_shuffles(spark):
     assert all(r.h == want[r.iy, r.ix] for r in closed.collect())
     plan = R.gaussian(closed, 0.8)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 4  # rows, columns twice, rows twice, columns
+
+
+def test_grids_of_one_file_are_dealt_to_tasks(spark):
+    geo = spark.createDataFrame([(s, 30, 20) for s in range(3)], "scene_id int, n_cols int, n_rows int").coalesce(1)
+    raster = spark.createDataFrame([(1, 2, 3, 4.0)], PIXEL)
+    full = R.densify(raster, geo)
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(sequence(0, (n_cols") < plan.index("REPARTITION_BY_NUM") < plan.index("explode(sequence(0, (n_rows")  # from the result down: pixels, deal, lines
+    rows = full.collect()
+    assert len(rows) == 1800 and [(r.scene_id, r.iy, r.ix) for r in rows if r.h] == [(1, 2, 3)]

@@ -60,3 +60,23 @@ def test_cell_index_finds_all_within_a_cell(spark):
         seen |= {int(i): set(near.tolist()) for i in points}
     for i, row in enumerate(q):
         assert set(np.flatnonzero(((x - row) ** 2).sum(axis=1) <= 0.49).tolist()) <= seen[i]
+
+
+@pytest.mark.parametrize("shift", [0.0, 5e6])
+def test_one_nearest_row_needs_no_cells(monkeypatch, shift):
+    monkeypatch.setattr(tiles, "CellIndex", None)  # cells took eight times as long for a scene's points and axes
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.random((300, 3)) * 25, rng.integers(0, 4, (200, 3)), np.full((50, 3), 7.0)]) + shift
+    q = np.concatenate([rng.random((400, 3)) * 30 - 2, rng.integers(0, 8, (200, 3)) / 2]) + shift
+    ids = rng.permutation(len(x))
+    at, d2 = tiles.nearest_rows(q, x, ids, 1)
+    far = tiles.squares(q, x)
+    assert (d2[:, 0] == far.min(axis=1)).all()
+    ties = np.where(far == far.min(axis=1)[:, None], ids, len(x))
+    assert (ids[at[:, 0]] == ties.min(axis=1)).all() and ((ties < len(x)).sum(axis=1) > 1).any()
+
+
+def test_one_nearest_row_beside_rows_that_are_not_numbers():
+    x = np.array([[np.nan, 0.0], [1.0, 1.0], [0.0, 3.0]])
+    at, d2 = tiles.nearest_rows(np.array([[0.0, 0.0], [0.0, 2.5]]), x, np.arange(3), 1)
+    assert at[:, 0].tolist() == [1, 2] and d2[:, 0].tolist() == [2.0, 0.25]
